@@ -32,10 +32,10 @@ def details_rows(landed: DataFrame, payload: str, fields: str, keys: list[str],
     csv = (
         landed.filter(F.col(kind) == "csv")
         .select(*keys, lines.alias("lines"))
-        .select(*keys, F.split(F.element_at("lines", 1), ",").alias("head"),
+        .select(*keys, _cells(F.element_at("lines", 1)).alias("head"),
                 F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line"))
         # the header decides which cell is which field
-        .select(*keys, F.map_from_arrays("head", F.split("line", ",", -1)).alias("m"))
+        .select(*keys, F.map_from_arrays("head", _cells(F.col("line"))).alias("m"))
         .select(*keys, *[
             F.nullif(F.element_at("m", n), F.lit("")).try_cast(t).alias(n)
             for n, t in zip(names, _types(fields))
@@ -54,6 +54,17 @@ def details_rows(landed: DataFrame, payload: str, fields: str, keys: list[str],
     return bind_rows(details, csv, lists)
 
 
+def _cells(line: Column) -> Column:
+    """Cells of one CSV line; quoted cells may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(
+        raw,
+        lambda x: F.when(
+            F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
+        ).otherwise(x),
+    )
+
+
 def _ddl(fields: str) -> str:
     return ",".join(":".join(f.strip().split(" ", 1)) for f in fields.split(","))
 
