@@ -167,7 +167,7 @@ _PRENORM_SQL = nested_rules(
     "fn_town_prenorm",
     f"""
     WITH r AS (SELECT p_partkey, unnest([p_name || ' hts', 'n ' || p_name || ' il', p_brand || ' vlg. e',
-                                         'mt ' || p_type || ' spgs', 'argo chgo ' || p_name, 's.w. ' || p_name || ',  pk so']) AS raw
+                                         'mt ' || p_type || ' spgs', 'argo chgo ' || p_name, 's. w. ' || p_name || ',  pk so']) AS raw
                FROM part)
     SELECT p_partkey, raw, {_PRENORM_SQL} AS town FROM r
     """,
@@ -179,7 +179,7 @@ def _prenorm(t):
         F.concat("p_brand", F.lit(" vlg. e")),
         F.concat(F.lit("mt "), "p_type", F.lit(" spgs")),
         F.concat(F.lit("argo chgo "), "p_name"),
-        F.concat(F.lit("s.w. "), "p_name", F.lit(",  pk so")),
+        F.concat(F.lit("s. w. "), "p_name", F.lit(",  pk so")),
     )
     rows = t.part.select("p_partkey", F.explode(raws).alias("raw"))
     return rows.select("p_partkey", "raw", text.normalise_town(F.col("raw")).alias("town"))
@@ -190,8 +190,8 @@ def _prenorm(t):
     r"""
     SELECT conv_id, turn,
            list_aggregate(list_transform(
-             regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_'']+|[^\p{L}\p{M}\p{N}_'']+'),
-             lambda w: upper(left(w, 1)) || substr(w, 2)), 'string_agg', '') AS titled
+             regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+([''.:][\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*)*|[^\p{L}\p{M}\p{N}_]+'),
+             lambda w: CASE WHEN left(w, 1) = 'ß' THEN 'Ss' ELSE upper(left(w, 1)) END || substr(w, 2)), 'string_agg', '') AS titled
     FROM conversations
     """,
 )
@@ -446,7 +446,7 @@ def _geoid(t):
 @query(
     "fn_case_fold",
     r"""
-    SELECT doc_id, lower(text) AS low, upper(text) AS up,
+    SELECT doc_id, lower(text) AS low, replace(upper(replace(text, 'ß', 'SS')), 'ẞ', 'SS') AS up,
            regexp_replace(E' \t' || text || E'\r\n ', '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS trimmed FROM documents
     """,
 )

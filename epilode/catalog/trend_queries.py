@@ -25,7 +25,7 @@ _SAMPLES_SQL = """
       full_days AS (SELECT * FROM al QUALIFY count(*) OVER (PARTITION BY day) = 5),
       means AS (SELECT site, avg(marker) AS mm, avg(flow) AS fm FROM full_days GROUP BY site),
       firsts AS (SELECT site, day, arg_min(v, own) AS v, arg_min(marker, own) AS marker FROM full_days GROUP BY site, day)
-    SELECT f.site, f.day, f.v AS value, round(f.v * fm * (mm / f.marker), 4) AS norm
+    SELECT f.site, f.day, f.v AS value, round(f.v * fm * (mm / f.marker), 1) AS norm
     FROM firsts f JOIN means m ON f.site = m.site
     """,
 )
@@ -38,7 +38,7 @@ def _prepare(t):
     )
     out = normalise_sites(raw, {"t": "value"}, site="site", date="day", time="time", marker="marker", flow="flow",
                           late_site="5-LOW", sites=5)
-    return out.select("site", "day", "value", F.round("t_flow_pmmov_norm_site", 4).alias("norm"))
+    return out.select("site", "day", "value", F.round("t_flow_pmmov_norm_site", 1).alias("norm"))
 
 
 def _series(t):

@@ -34,9 +34,12 @@ def trim_blanks(text: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Capitalise every word, also after `-` and `/`; `o'brien` has one word."""
+    """Capitalise every word, also after `-` and `/`.
+
+    A single `'`, `.` or `:` between letters does not end a word: `O'brien`.
+    """
     # initcap splits on blanks only, so put a marked blank where a word starts.
-    marked = F.regexp_replace(text, r"(?U)(?<=[^\w' ])(?=\w)", "\u0001 ")
+    marked = F.regexp_replace(text, r"(?U)(?<=[^\w ])(?<!\p{L}['.:\u2019])(?=\w)", "\u0001 ")
     return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
 
 

@@ -145,21 +145,19 @@ def closest_in_block(df: DataFrame, name: str, block: str, candidates: DataFrame
         df.select(F.col(name).alias("name"), F.col(block).alias("block"))
         .filter("name is not null and block is not null")
         .distinct()
-        .withColumn("folded", F.lower("name"))
-        .withColumn("tokens", _tokens(F.col("folded")))
     )
     right = candidates.select(
         F.col(candidate_block).alias("block"),
         F.lower(F.col(candidate)).alias("candidate"),
         F.col(ordinal).alias("ordinal"),
         F.col(candidate).alias("candidate_text"),
-    ).withColumn("tokens_b", _tokens(F.col("candidate")))
-    need = _overlap_needed(F.length("folded"), F.length("candidate"), threshold)
+    )
+    la, lb = F.length("name"), F.length("candidate")
+    # Blocks are short lists, so lengths alone decide which pairs to measure.
     pairs = (
         left.join(right, "block")
-        .filter(F.size(F.array_intersect("tokens", "tokens_b")) >= need)
-        .select("name", "block", "folded", "candidate", "ordinal", "candidate_text")
-        .withColumn("distance", D.jaro(F.col("folded"), F.col("candidate")))
+        .filter(_overlap_needed(la, lb, threshold) <= F.least(la, lb))
+        .withColumn("distance", D.jaro(F.lower("name"), F.col("candidate")))
         .filter(F.col("distance") <= threshold)
     )
     return _best(pairs, ["name", "block"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from epilode.functions import geometry as G
 from epilode.functions.measures import SQFT_PER_SQMI
@@ -176,31 +177,78 @@ def intersects(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
     open_ = pairs.join(crossing, ["l", "r"], "left_anti")
     lp = left.select(F.col(left_id).alias("l"), F.col("geom")[0][0][0].alias("p"))
     rp = right.select(F.col(right_id).alias("r"), F.col("geom")[0][0][0].alias("p"))
-    first_in_second = _inside(open_.join(lp, "l"), re, "r")
-    second_in_first = _inside(open_.join(rp, "r"), _other(le), "l")
+    first_in_second = _inside(open_.join(lp, "l"), re, "r", size)
+    second_in_first = _inside(open_.join(rp, "r"), _other(le), "l", size)
     inner = first_in_second.unionByName(second_in_first).distinct()
     return crossing.unionByName(inner).select(F.col("l").alias(left_id), F.col("r").alias(right_id))
 
 
-def _crosses(px: Column, py: Column) -> Column:
-    """+1 or -1 if edge (u1, v1)-(u2, v2) crosses the ray from the point to the right."""
-    u1, v1, u2, v2 = F.col("u1"), F.col("v1"), F.col("u2"), F.col("v2")
-    at = u1 + (py - v1) * F.try_divide(u2 - u1, v2 - v1)
-    up = (v1 <= py) & (v2 > py) & (at > px)
-    down = (v2 <= py) & (v1 > py) & (at > px)
-    return F.when(up, 1).when(down, -1).otherwise(0)
+# Cells of a grid row that are summed together before rows are.
+_BLOCK = 1024
 
 
-def _inside(probes: DataFrame, shape_edges: DataFrame, shape: str) -> DataFrame:
-    """Pairs (l, r) whose probe point `p` lies inside the shape of the pair."""
-    turns = _crosses(F.col("p")["x"], F.col("p")["y"])
-    return (
-        probes.join(shape_edges, shape)
-        .groupBy("l", "r")
-        .agg(F.sum(turns).alias("w"))
-        .filter("w != 0")
-        .select("l", "r")
+def winding(probes: DataFrame, ids: list[str], shapes: DataFrame, key: str, size: float) -> DataFrame:
+    """How often the edges of group `key` wind around each probe point.
+
+    probes(*ids, key, px, py), shapes(key, u1, v1, u2, v2); returns (*ids, key, w).
+    A probe never meets all edges of a shape.  The winding number on the base
+    line of its grid row comes from running sums over the row's cells, and only
+    the edges inside its own cell correct it for the place within the cell.
+    """
+    c = F.col
+    at_cell = probes.withColumns({"cx": F.floor(c("px") / size), "cy": F.floor(c("py") / size)})
+    # Where edges cross the base lines y = cy * size, upwards +1, downwards -1.
+    low, high = F.ceil(F.least("v1", "v2") / size), F.floor(F.greatest("v1", "v2") / size)
+    line = c("cy") * size
+    up, down = (c("v1") <= line) & (c("v2") > line), (c("v2") <= line) & (c("v1") > line)
+    crossings = (
+        shapes.filter((c("v1") != c("v2")) & (low <= high))
+        .withColumn("cy", F.explode(F.sequence(low, high)))
+        .withColumn("sign", F.when(up, 1).when(down, -1).otherwise(0))
+        .filter("sign != 0")
+        .withColumn("at", c("u1") + (line - c("v1")) * (c("u2") - c("u1")) / (c("v2") - c("v1")))
+        .withColumn("cx", F.floor(c("at") / size))
+        .select(key, "cx", "cy", "at", "sign")
+    )
+    cells = (
+        crossings.select(key, "cx", "cy", "sign")
+        .unionByName(at_cell.select(key, "cx", "cy").distinct().withColumn("sign", F.lit(0)))
+        .groupBy(key, "cy", "cx")
+        .agg(F.sum("sign").alias("s"))
+        .withColumn("block", F.floor(c("cx") / _BLOCK))
+    )
+    right = Window.partitionBy(key, "cy", "block").orderBy(c("cx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(key, "cy").orderBy(c("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy(key, "cy", "block").agg(F.sum("s").alias("bs")).withColumn("beyond", F.sum("bs").over(later))
+    base = cells.withColumn("within", F.sum("s").over(right)).join(blocks.drop("bs"), [key, "cy", "block"]).select(
+        key, "cx", "cy", (F.coalesce("within", F.lit(0)) + F.coalesce("beyond", F.lit(0))).alias("w")
     )
+    on_cell = [key, "cx", "cy"]
+    on_line = at_cell.join(crossings, on_cell).filter(c("at") > c("px"))
+    # Going up from the base line to the probe: an edge to the right adds one.
+    height = c("v1") + (c("px") - c("u1")) * (c("v2") - c("v1")) / (c("u2") - c("u1"))
+    rising, falling = (c("u1") <= c("px")) & (c("u2") > c("px")), (c("u2") <= c("px")) & (c("u1") > c("px"))
+    local = _edges_by_cell(shapes, "u1", "v1", "u2", "v2", size)
+    above = (
+        at_cell.join(local, on_cell)
+        .filter(rising | falling)
+        .withColumn("height", height)
+        .filter((c("height") > c("cy") * size) & (c("height") <= c("py")))
+        .withColumn("sign", F.when(rising, 1).otherwise(-1))
+    )
+    out = list(dict.fromkeys([*ids, key]))
+    parts = (
+        at_cell.join(base, on_cell).select(*out, "w")
+        .unionByName(on_line.select(*out, c("sign").cast("bigint").alias("w")))
+        .unionByName(above.select(*out, c("sign").cast("bigint").alias("w")))
+    )
+    return parts.groupBy(*out).agg(F.sum("w").alias("w"))
+
+
+def _inside(probes: DataFrame, shape_edges: DataFrame, shape: str, size: float) -> DataFrame:
+    """Pairs (l, r) whose probe point `p` lies inside the shape of the pair."""
+    points = probes.select("l", "r", F.col("p")["x"].alias("px"), F.col("p")["y"].alias("py"))
+    return winding(points, ["l", "r"], shape_edges, shape, size).filter("w != 0").select("l", "r")
 
 
 # ---- overlay -----------------------------------------------------------------
@@ -282,36 +330,25 @@ def _split_at_crossings(all_edges: DataFrame, size: float | None, digits: int) -
     )
 
 
-def _covered(pieces: DataFrame, layers: dict[str, DataFrame], strip: float, offset: float) -> DataFrame:
-    """Pieces with, per layer, whether it covers their left and right side."""
+def _covered(pieces: DataFrame, layers: dict[str, DataFrame], size: float, offset: float) -> DataFrame:
+    """Pieces with, per layer, how often it covers their left and right side."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     norm = F.sqrt(dx * dx + dy * dy)
     mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    sides = F.array(F.lit(1.0), F.lit(-1.0))
-    probes = pieces.select(*EDGE, F.explode(sides).alias("side")).withColumns(
-        {"px": mx - F.col("side") * offset * dy / norm, "py": my + F.col("side") * offset * dx / norm}
-    ).withColumn("strip", F.floor(F.col("py") / strip))
     shapes = None
     for name, rows in layers.items():
         part = _other(rows).select("u1", "v1", "u2", "v2", F.lit(name).alias("layer"))
         shapes = part if shapes is None else shapes.unionByName(part)
-    strips = shapes.withColumn(
-        "strip", F.explode(_cells(F.least("v1", "v2"), F.greatest("v1", "v2"), strip))
-    )
-    turns = _crosses(F.col("px"), F.col("py"))
-    # Only edges that cross the ray meet a probe; one that none meets is outside.
-    reach = (F.greatest("u1", "u2") > F.col("px")) & (F.least("v1", "v2") <= F.col("py")) & (
-        F.greatest("v1", "v2") > F.col("py")
-    )
-    counted = (
-        probes.join(strips.withColumnRenamed("strip", "s2"), (F.col("strip") == F.col("s2")) & reach, "left")
-        .groupBy(*EDGE)
-        .agg(*[
-            F.sum(F.when((F.col("layer") == n) & (F.col("side") == s), turns).otherwise(0)).alias(f"{n}_{tag}")
-            for n in layers for s, tag in ((1.0, "left"), (-1.0, "right"))
-        ])
+    probes = (
+        pieces.select(*EDGE, F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("side"))
+        .withColumns({"px": mx - F.col("side") * offset * dy / norm, "py": my + F.col("side") * offset * dx / norm})
+        .withColumn("layer", F.explode(F.array(*[F.lit(n) for n in layers])))
     )
-    return counted
+    turns = winding(probes, [*EDGE, "side"], shapes, "layer", size)
+    return turns.groupBy(*EDGE).agg(*[
+        F.max(F.when((F.col("layer") == n) & (F.col("side") == s), F.col("w"))).alias(f"{n}_{tag}")
+        for n in layers for s, tag in ((1.0, "left"), (-1.0, "right"))
+    ])
 
 
 def overlay(a: DataFrame, b: DataFrame | None = None, how: str = "union", size: float | None = None,
@@ -436,9 +473,10 @@ def rings_to_shape(rings: DataFrame, size: float | None = None) -> DataFrame:
     """Polygons of assembled rings: (ring_id, geom), holes given to the outline around them."""
     outer = rings.filter("area > 0").select("ring_id", "area", F.array(F.array("ring")).alias("geom"))
     holes = rings.filter("area < 0").select(F.col("ring_id").alias("hole_id"), F.array(F.array("ring")).alias("geom"))
-    pairs = box_pairs(holes, "hole_id", outer, "ring_id", size or cell_size(outer))
+    size = size or cell_size(outer)
+    pairs = box_pairs(holes, "hole_id", outer, "ring_id", size)
     probes = pairs.join(holes.select(F.col("hole_id").alias("l"), F.col("geom")[0][0][0].alias("p")), "l")
-    inside = _inside(probes, _other(edges(outer.withColumnRenamed("ring_id", "r"), "r")), "r")
+    inside = _inside(probes, _other(edges(outer.withColumnRenamed("ring_id", "r"), "r")), "r", size)
     owner = inside.join(outer.select(F.col("ring_id").alias("r"), "area"), "r").groupBy("l").agg(
         F.min_by("r", F.struct("area", "r")).alias("ring_id")
     )

@@ -10,8 +10,9 @@ Stages, in order; the first that answers wins:
  4 any city, Jaro <= 0.05
  5 the only city one edit away
 
-The ladder runs on distinct (town, zip) pairs.  Stages 4, 6, 7 and 9 read one
-relation of scored pairs.
+All that does not depend on the zip is settled once per distinct town; stages 4,
+6, 7 and 9 read one relation of scored pairs.  The (town, zip) pairs then only
+look up their town, their zip and the cities of the zip.
 """
 
 from __future__ import annotations
@@ -42,68 +43,81 @@ class Gazetteer:
     state_zips: DataFrame  # zip
 
 
-def match_keys(keys: DataFrame, gaz: Gazetteer, anchor: str = V.ANCHOR_TOWN) -> DataFrame:
-    """(town, zip) pairs with `clean` and `match_stage`."""
-    keys = cut_lineage(
-        keys.select("town", "zip").distinct().withColumn("norm", blank_to_null(normalise_town(F.col("town")))),
-        "town_keys",
+def _town_answers(towns: DataFrame, gaz: Gazetteer) -> DataFrame:
+    """Everything the ladder can say about a town without its zip, one row per town."""
+    cities = gaz.cities.select(F.col("city").alias("exact")).distinct()
+    own_areas = gaz.areas.select(F.col("area").alias("own_area")).distinct().join(
+        cities, F.col("own_area") == F.col("exact"), "left_anti"
     )
-    cities = gaz.cities.select("city").distinct()
-    own_areas = gaz.areas.select("area").distinct().join(cities, F.col("area") == F.col("city"), "left_anti")
-    open_ = (
-        keys.filter("norm is not null")
-        .join(cities, F.col("norm") == F.col("city"), "left_anti")
-        .join(own_areas, F.col("norm") == F.col("area"), "left_anti")
-    )
-
-    in_zip = M.closest_in_block(open_, "norm", "zip", gaz.city_zips, "city", "zip", "ordinal", IN_ZIP)
-    anchor_zips = gaz.city_zips.filter(F.col("city") == anchor).select(F.col("zip").alias("az")).distinct()
-    near_area = M.closest(
-        open_.join(anchor_zips, F.col("zip") == F.col("az"), "left_semi"),
-        "norm", gaz.areas, "area", "ordinal", IN_AREAS,
+    known = cut_lineage(
+        # Two steps, so that the chain of rules runs once per town.
+        towns.withColumn("raw", normalise_town(F.col("town")))
+        .withColumn("norm", blank_to_null(F.col("raw")))
+        .drop("raw")
+        .join(cities, F.col("norm") == F.col("exact"), "left")
+        .join(own_areas, F.col("norm") == F.col("own_area"), "left"),
+        "towns",
     )
-
+    left_open = known.filter("norm is not null and exact is null and own_area is null").select("norm").distinct()
+    names = left_open.select(F.lower("norm").alias("name")).distinct()
     options = gaz.cities.select(
         F.lower("city").alias("candidate"), "ordinal", F.col("city").alias("candidate_text"), "in_cook"
     )
-    names = open_.select(F.lower("norm").alias("name")).distinct()
-    order = F.struct("distance", "ordinal")
-    county = F.col("in_cook")
+    order, county = F.struct("distance", "ordinal"), F.col("in_cook")
     near = M.jaro_pairs(names, options, max(VERY_CLOSE, OUT_OF_STATE, IN_COUNTY, ANYWHERE)).groupBy("name").agg(
         F.min_by("candidate_text", order).alias("any_city"),
         F.min("distance").alias("any_distance"),
         F.min_by("candidate_text", F.when(county, order)).alias("county_city"),
         F.min(F.when(county, F.col("distance"))).alias("county_distance"),
     )
-    edit = M.only_one_edit_away(open_, "norm", gaz.cities, "city", "ordinal")
-    single = single_city_zips(gaz.city_zips)
-    state = gaz.state_zips.select(F.col("zip").alias("sz")).distinct()
-
-    rows = (
-        keys.join(cities.select(F.col("city").alias("exact")), F.col("norm") == F.col("exact"), "left")
-        .join(own_areas.select(F.col("area").alias("own_area")), F.col("norm") == F.col("own_area"), "left")
-        .join(in_zip.select(F.col("name").alias("zn"), F.col("block").alias("zb"), F.col("match").alias("zip_city")),
-              (F.col("norm") == F.col("zn")) & (F.col("zip") == F.col("zb")), "left")
-        .join(anchor_zips, F.col("zip") == F.col("az"), "left")
-        .join(near_area.select(F.col("name").alias("an")), F.col("norm") == F.col("an"), "left")
-        .join(near.withColumnRenamed("name", "nn"), F.lower("norm") == F.col("nn"), "left")
+    edit = M.only_one_edit_away(left_open, "norm", gaz.cities, "city", "ordinal")
+    area = M.closest(left_open, "norm", gaz.areas, "area", "ordinal", IN_AREAS)
+    return (
+        known.join(near.withColumnRenamed("name", "nn"), F.lower("norm") == F.col("nn"), "left")
         .join(edit.select(F.col("name").alias("en"), F.col("match").alias("edit_city")),
               F.lower("norm") == F.col("en"), "left")
-        .join(single.withColumnRenamed("zip", "oz"), F.col("zip") == F.col("oz"), "left")
-        .join(state, F.col("zip") == F.col("sz"), "left")
+        .join(area.select(F.col("name").alias("near_area")), F.col("norm") == F.col("near_area"), "left")
+        .drop("nn", "en")
+    )
+
+
+def _zip_facts(gaz: Gazetteer, anchor: str) -> DataFrame:
+    """Per listed zip: its only city, whether it holds the anchor town, whether in the state."""
+    listed = gaz.city_zips.groupBy(F.col("zip").alias("z")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("city").alias("c"), F.bool_or(F.col("city") == anchor).alias("has_anchor")
+    )
+    state = gaz.state_zips.select(F.col("zip").alias("sz")).distinct()
+    return listed.join(state, F.col("z") == F.col("sz"), "full").select(
+        F.coalesce("z", "sz").alias("zz"), F.when(F.col("n") == 1, F.col("c")).alias("only_city"),
+        F.coalesce("has_anchor", F.lit(False)).alias("has_anchor"), F.col("sz").isNotNull().alias("in_state"),
+    )
+
+
+def match_keys(keys: DataFrame, gaz: Gazetteer, anchor: str = V.ANCHOR_TOWN) -> DataFrame:
+    """(town, zip) pairs with `clean` and `match_stage`."""
+    keys = cut_lineage(keys.select("town", "zip").distinct(), "town_keys")
+    towns = cut_lineage(_town_answers(keys.select("town").distinct(), gaz), "town_answers")
+    open_ = F.col("norm").isNotNull() & F.col("exact").isNull() & F.col("own_area").isNull()
+    rows = null_safe_join(keys, towns, ["town"])
+    in_zip = M.closest_in_block(
+        rows.filter(open_ & F.col("zip").isNotNull()), "norm", "zip", gaz.city_zips, "city", "zip", "ordinal", IN_ZIP
     )
+    rows = rows.join(
+        in_zip.select(F.col("name").alias("zn"), F.col("block").alias("zb"), F.col("match").alias("zip_city")),
+        (F.col("norm") == F.col("zn")) & (F.col("zip") == F.col("zb")), "left",
+    ).join(_zip_facts(gaz, anchor), F.col("zip") == F.col("zz"), "left")
     c = F.col
 
     def step(stage: int, value: Column) -> Column:
         return F.struct(value.cast("string").alias("clean"), F.lit(stage).alias("match_stage"))
 
-    outside = c("zip").isNotNull() & c("sz").isNull()
+    outside = c("zip").isNotNull() & ~F.coalesce("in_state", F.lit(False))
     decided = (
         F.when(c("norm").isNull(), step(0, F.lit(None)))
         .when(c("exact").isNotNull(), step(1, c("exact")))
         .when(c("own_area").isNotNull(), step(2, F.lit(anchor)))
         .when(c("zip_city").isNotNull(), step(3, c("zip_city")))
-        .when(c("az").isNotNull() & c("an").isNotNull(), step(3, F.lit(anchor)))
+        .when(c("has_anchor") & c("near_area").isNotNull(), step(3, F.lit(anchor)))
         .when(c("any_distance") <= VERY_CLOSE, step(4, c("any_city")))
         .when(c("edit_city").isNotNull(), step(5, c("edit_city")))
         .when(outside, step(6, F.when(c("any_distance") <= OUT_OF_STATE, c("any_city"))))
