@@ -144,18 +144,18 @@ _TOWN_SQL = nested_rules("regexp_replace(raw, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '
 @query(
     "fn_town_rules",
     f"""
-    WITH r AS (SELECT doc_id, text AS raw FROM documents
-               UNION ALL SELECT -1 - p_partkey, ' ' || p_brand || ' Pk, Il  Hts. Cicerocicero Elk Grove' FROM part)
-    SELECT doc_id, {_TOWN_SQL} AS cleaned FROM r
+    WITH r AS (SELECT conv_id, turn, text AS raw FROM conversations
+               UNION ALL SELECT -1 - p_partkey, 0, ' ' || p_brand || ' Pk, Il  Hts. Cicerocicero Elk Grove' FROM part)
+    SELECT conv_id, turn, {_TOWN_SQL} AS cleaned FROM r
     """,
 )
 def _town_rules(t):
     made = t.part.select(
-        (-1 - F.col("p_partkey")).alias("doc_id"),
+        (-1 - F.col("p_partkey")).alias("conv_id"), F.lit(0).cast("bigint").alias("turn"),
         F.concat(F.lit(" "), "p_brand", F.lit(" Pk, Il  Hts. Cicerocicero Elk Grove")).alias("text"),
     )
-    rows = t.documents.select("doc_id", "text").unionByName(made)
-    return rows.select("doc_id", text.correct_town(F.col("text")).alias("cleaned"))
+    rows = t.conversations.select("conv_id", "turn", "text").unionByName(made)
+    return rows.select("conv_id", "turn", text.correct_town(F.col("text")).alias("cleaned"))
 
 
 _PRENORM_SQL = nested_rules(

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Digits kept before a distance is compared with a threshold or another one.
 DIGITS = 12
@@ -78,7 +79,7 @@ def _in_blocks(
     return pd.Series(out).where(known, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _jaro(left: pd.Series, right: pd.Series) -> pd.Series:
     return _in_blocks(left, right, _jaro_block)
 
@@ -90,7 +91,9 @@ def jaro(left: Column, right: Column, prefix_weight: float = 0.0, boost: float =
     characters out of order counts rounded down.  A positive `prefix_weight`
     shortens distances above `boost` by the common prefix (four at most).
     """
-    d = _jaro(left, right)
+    # Declared non-deterministic, or a filter on the distance would be pushed
+    # through the projection and every pair measured twice.
+    d = _jaro.asNondeterministic()(left, right)
     if prefix_weight:
         same = [F.substring(left, 1, k) == F.substring(right, 1, k) for k in (4, 3, 2, 1)]
         fits = [F.least(F.length(left), F.length(right)) >= k for k in (4, 3, 2, 1)]
@@ -129,11 +132,11 @@ def osa(left: Column, right: Column, deletion: float = 1.0, insertion: float = 1
             two_back, one_back = one_back, row
         return out
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def _osa(left: pd.Series, right: pd.Series) -> pd.Series:
         return _in_blocks(left, right, block)
 
-    return F.round(_osa(left, right), DIGITS)
+    return F.round(_osa.asNondeterministic()(left, right), DIGITS)
 
 
 def one_edit_apart(left: Column, right: Column) -> Column:

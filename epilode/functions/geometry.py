@@ -14,10 +14,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POINT = "struct<x:double,y:double>"
 RING = f"array<{POINT}>"
 GEOM = f"array<array<{RING}>>"
+_POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+_GEOM_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(_POINT_TYPE)))
 
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -133,12 +136,12 @@ def _unpack(data) -> list | None:
     return shapes
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _to_wkb(geom: pd.Series) -> pd.Series:
     return geom.map(_pack, na_action="ignore")
 
 
-@F.pandas_udf(GEOM)
+@F.pandas_udf(_GEOM_TYPE)
 def _from_wkb(data: pd.Series) -> pd.Series:
     return data.map(_unpack, na_action="ignore")
 

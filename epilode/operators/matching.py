@@ -7,6 +7,10 @@ joins partition, can be split by AQE when a key is hot, and turn into broadcast
 joins only when the measured size of the candidate side allows it.  Distances
 are computed on the surviving pairs, and the best candidate is a `min_by`, which
 combines on the map side.
+
+Keys are exploded with `explode_outer`: for a plain `explode` the optimizer adds
+a not-empty test on the key array and pushes it below the `distinct`, where the
+keys would be computed for every row instead of every distinct name.
 """
 
 from __future__ import annotations
@@ -24,6 +28,15 @@ _LETTERS = "qjxzkvbywgpfmucdlhrsniotae "
 _NEAR = 0.25
 
 
+def _known(keys: Column) -> Column:
+    """Key array that cannot be NULL.
+
+    Joins add not-null tests on what they compare; on an array that may be NULL
+    such a test would be pushed to the scan and compute the keys for every row.
+    """
+    return F.coalesce(keys, F.array().cast("array<string>"))
+
+
 def _tokens(text: Column) -> Column:
     """Characters with their occurrence number, rarest first.
 
@@ -39,7 +52,7 @@ def _tokens(text: Column) -> Column:
             c.alias("c"),
         ),
     )
-    return F.transform(F.array_sort(numbered), lambda t: F.concat(t["c"], F.abs(t["o"]).cast("string")))
+    return _known(F.transform(F.array_sort(numbered), lambda t: F.concat(t["c"], F.abs(t["o"]).cast("string"))))
 
 
 def _overlap_needed(la: Column, lb: Column, threshold: float) -> Column:
@@ -62,11 +75,11 @@ def _length_tokens(df: DataFrame, mine: str, other: str, known: Column, threshol
     need = _overlap_needed(F.col(mine), F.col(other), threshold)
     return (
         df.withColumn("known", known)
-        .withColumn(other, F.explode("known"))
+        .withColumn(other, F.explode_outer("known"))
         .withColumn("need", need)
         .filter(F.col("need") <= F.least(F.col(mine), F.col(other)))
-        .withColumn("prefix", F.slice("tokens", F.lit(1), F.col(mine) - F.col("need") + 1))
-        .withColumn("token", F.explode("prefix"))
+        .withColumn("prefix", _known(F.slice("tokens", F.lit(1), F.col(mine) - F.col("need") + 1)))
+        .withColumn("token", F.explode_outer("prefix"))
         .drop("known")
     )
 
@@ -173,7 +186,7 @@ def edit_keys(text: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
         lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
     )
-    return F.array_distinct(F.concat(F.array(text), removed))
+    return _known(F.array_distinct(F.concat(F.array(text), removed)))
 
 
 def only_one_edit_away(df: DataFrame, name: str, candidates: DataFrame, candidate: str,
@@ -185,12 +198,12 @@ def only_one_edit_away(df: DataFrame, name: str, candidates: DataFrame, candidat
     left = (
         df.select(F.lower(F.col(name)).alias("name")).filter("name is not null").distinct()
         .withColumn("keys", edit_keys(F.col("name")))
-        .withColumn("edit_key", F.explode("keys"))
+        .withColumn("edit_key", F.explode_outer("keys"))
     )
     right = (
         _folded(candidates, candidate, ordinal)
         .withColumn("keys_b", edit_keys(F.col("candidate")))
-        .withColumn("edit_key", F.explode("keys_b"))
+        .withColumn("edit_key", F.explode_outer("keys_b"))
     )
     pairs = left.join(right, "edit_key").filter(
         # count a pair at the first key of the name that the candidate shares
@@ -228,8 +241,8 @@ def _cosine_prefix(text: Column, similarity: float) -> Column:
 
 def _sharing(names: DataFrame, candidates: DataFrame, keys) -> DataFrame:
     """Pairs that share one of the keys `keys(text)`, each once."""
-    left = names.withColumn("keys", keys(F.col("name"))).withColumn("key", F.explode("keys"))
-    right = candidates.withColumn("keys_b", keys(F.col("candidate"))).withColumn("key", F.explode("keys_b"))
+    left = names.withColumn("keys", _known(keys(F.col("name")))).withColumn("key", F.explode_outer("keys"))
+    right = candidates.withColumn("keys_b", _known(keys(F.col("candidate")))).withColumn("key", F.explode_outer("keys_b"))
     return left.join(right, "key").filter(
         F.element_at(F.array_intersect("keys", "keys_b"), 1) == F.col("key")
     ).drop("key", "keys", "keys_b")
@@ -250,17 +263,16 @@ def nearest(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ord
         measure, near = D.jaro, jaro_pairs(names, options, _NEAR)
     else:
         measure = D.cosine
-        near = (
-            _sharing(names, options, lambda t: _cosine_prefix(t, 1 - _NEAR))
-            .withColumn("distance", D.cosine(F.col("name"), F.col("candidate")))
-            .filter(F.col("distance") <= _NEAR)
+        near = _sharing(names, options, lambda t: _cosine_prefix(t, 1 - _NEAR)).withColumn(
+            "distance", D.cosine(F.col("name"), F.col("candidate"))
         )
-    close = _best(near, ["name"])
+    # The threshold comes after the aggregate, so each distance is computed once.
+    close = _best(near, ["name"]).filter(F.col("distance") <= _NEAR)
     left_open = names.join(close, "name", "left_anti")
     rest = _sharing(left_open, options, lambda t: F.array_sort(F.array_distinct(D.characters(t)))).withColumn(
         "distance", measure(F.col("name"), F.col("candidate"))
     )
-    far = _best(rest.filter("distance < 1"), ["name"])
+    far = _best(rest, ["name"]).filter("distance < 1")
     first = options.agg(F.min_by("candidate_text", "ordinal")).scalar()
     found = close.unionByName(far)
     return names.join(found, "name", "left").select(
