@@ -9,6 +9,7 @@ from epilode.operators import aggregates as A
 from epilode.operators import ordered as O
 from epilode.plans.geocoding import add_batches
 from epilode.plans.reports import weekly_report
+from epilode.session import cut_lineage
 
 # Events and orders as samples: type or priority = site, day = sample date.
 
@@ -201,6 +202,7 @@ def _mean(t):
 )
 def _share(t):
     counts = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts, "counts")
     return A.add_share(A.add_share(counts, "n", ["day"]), "n", out="of_all")
 
 

@@ -7,6 +7,7 @@ expressions; WKB holds raw bytes and needs a small Arrow UDF.
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 from dataclasses import dataclass
@@ -19,8 +20,6 @@ from pyspark.sql import types as T
 POINT = "struct<x:double,y:double>"
 RING = f"array<{POINT}>"
 GEOM = f"array<array<{RING}>>"
-_POINT_TYPE = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-_GEOM_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(_POINT_TYPE)))
 
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -95,19 +94,20 @@ def from_wkt(text: Column) -> Column:
     return F.from_json(nested, GEOM)
 
 
-def _pack(geom) -> bytes | None:
-    if geom is None:
+def _pack(text: str | None) -> bytes | None:
+    if text is None:
         return None
+    geom = json.loads(text)
     out = [struct.pack("<BII", 1, 6, len(geom))]
     for rings in geom:
         out.append(struct.pack("<BII", 1, 3, len(rings)))
         for ring in rings:
-            flat = [v for p in ring for v in (p["x"], p["y"])]
+            flat = [float(v) for p in ring for v in (p["x"], p["y"])]
             out.append(struct.pack(f"<I{len(flat)}d", len(ring), *flat))
     return b"".join(out)
 
 
-def _unpack(data) -> list | None:
+def _unpack(data: bytes | None) -> str | None:
     if data is None:
         return None
 
@@ -128,32 +128,33 @@ def _unpack(data) -> list | None:
 
     _, kind, count, at = header(0)
     if kind == 3:
-        return [polygon(0)[0]]
+        return json.dumps([polygon(0)[0]])
     shapes = []
     for _ in range(count):
         rings, at = polygon(at)
         shapes.append(rings)
-    return shapes
+    return json.dumps(shapes)
 
 
+# Shapes pass to and from Python as JSON text; Spark builds and parses it.
 @F.pandas_udf(T.BinaryType())
-def _to_wkb(geom: pd.Series) -> pd.Series:
-    return geom.map(_pack, na_action="ignore")
+def _to_wkb(shapes: pd.Series) -> pd.Series:
+    return shapes.map(_pack)
 
 
-@F.pandas_udf(_GEOM_TYPE)
+@F.pandas_udf(T.StringType())
 def _from_wkb(data: pd.Series) -> pd.Series:
-    return data.map(_unpack, na_action="ignore")
+    return data.map(_unpack)
 
 
 def to_wkb(geom: Column) -> Column:
     """Well-known binary (multipolygon, little endian)."""
-    return _to_wkb(geom)
+    return _to_wkb(F.to_json(geom))
 
 
 def from_wkb(data: Column) -> Column:
     """Shape of a polygon or multipolygon in well-known binary."""
-    return _from_wkb(data)
+    return F.from_json(_from_wkb(data), GEOM)
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,8 @@
 
 Group statistics that go back to the rows are computed by a partial/final
 aggregate and joined back, not by a window: a window sorts each group in one
-task, which fails when a group holds a large part of the rows.
+task, which fails when a group holds a large part of the rows.  The statistics
+are written first, so the planner knows their size when it joins them back.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql.window import Window
 
 from epilode.functions.nulls import ratio, strict_count_if, strict_mean, strict_sum
 from epilode.operators.joins import null_safe_join
+from epilode.session import cut_lineage
 
 
 def attach(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
     """Attach group statistics to every row; missing keys form a group."""
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return null_safe_join(df, totals, keys)
+    return null_safe_join(df, cut_lineage(totals, "group_stats"), keys)
 
 
 def add_share(df: DataFrame, n: str = "n", by: list[str] | None = None, out: str = "proportion") -> DataFrame:
@@ -61,22 +63,28 @@ def median_sd(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     one in 250 of a large group) are then ranked, so no task holds a group.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    stats = rows.groupBy(*keys).agg(
-        F.percentile_approx("v", [0.499, 0.501], 10_000).alias("br"),
-        F.count("v").alias("n"),
-        F.stddev_samp("v").alias("sd"),
+    stats = cut_lineage(
+        rows.groupBy(*keys).agg(
+            F.percentile_approx("v", [0.499, 0.501], 10_000).alias("br"),
+            F.count("v").alias("n"),
+            F.stddev_samp("v").alias("sd"),
+        ),
+        "median_bracket",
     )
-    near = null_safe_join(rows, stats.select(*keys, "br"), keys)
-    below = near.filter(F.col("v") < F.col("br")[0]).groupBy(*keys).agg(F.count("v").alias("below"))
-    inside = (
-        near.filter((F.col("v") >= F.col("br")[0]) & (F.col("v") <= F.col("br")[1]))
-        .groupBy(*keys, "v")
-        .agg(F.count("v").alias("c"))
+    v, br = F.col("v"), F.col("br")
+    # Values outside the bracket are only counted, those inside kept apart.
+    counted = cut_lineage(
+        null_safe_join(rows, stats.select(*keys, "br"), keys)
+        .filter(v <= br[1])
+        .groupBy(*keys, F.when(v >= br[0], v).alias("v"))
+        .agg(F.count(F.lit(1)).alias("c")),
+        "median_counts",
     )
-    base = null_safe_join(stats, below, keys).fillna(0, ["below"])
+    below = counted.filter("v is null").select(*keys, F.col("c").alias("below"))
+    base = null_safe_join(stats.select(*keys, "n"), below, keys).fillna(0, ["below"])
     w = Window.partitionBy(*keys).orderBy("v")
     ranked = null_safe_join(
-        inside.withColumn("cum", F.sum("c").over(w)), base.select(*keys, "n", "below"), keys
+        counted.filter("v is not null").withColumn("cum", F.sum("c").over(w)), base, keys
     ).withColumns({"lo": F.col("below") + F.col("cum") - F.col("c"), "hi": F.col("below") + F.col("cum")})
     r1, r2 = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     middle = ranked.groupBy(*keys).agg(

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epilode.functions import distance as D
+from epilode.session import cut_lineage
 
 # Letters from rare to frequent; any fixed order is correct, a rarity order
 # makes the shared keys selective.  Other characters count as rare.
@@ -144,7 +145,8 @@ def closest(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ord
 def add_closest(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ordinal: str,
                 threshold: float = 0.25) -> DataFrame:
     """`df` with the nearest candidate (`match`, `distance`), NULL beyond the threshold."""
-    found = closest(df, name, candidates, candidate, ordinal, threshold).withColumnRenamed("name", "_name")
+    found = cut_lineage(closest(df, name, candidates, candidate, ordinal, threshold), "closest")
+    found = found.withColumnRenamed("name", "_name")
     return df.join(found, F.col(name) == F.col("_name"), "left").drop("_name")
 
 

@@ -28,7 +28,8 @@ def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def keep_complete(df: DataFrame, key: str, size: int) -> DataFrame:
     """Rows of groups that have exactly `size` rows."""
     full = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == size)
-    return df.join(full.select(F.col(key).alias("__k")), F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    full = cut_lineage(full.select(F.col(key).alias("__k")), "complete")
+    return df.join(full, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
 
 
 def with_group_size(df: DataFrame, key: str, out: str = "num_sites") -> DataFrame:
@@ -44,7 +45,7 @@ def late_dates(df: DataFrame, site: str, date: str, late_site: str, others: int)
 
 def align_late_site(df: DataFrame, dates: DataFrame, site: str, date: str, late_site: str) -> DataFrame:
     """Move the late site's sample back one day on the given dates."""
-    marks = dates.select("late_date").distinct()
+    marks = cut_lineage(dates.select("late_date").distinct(), "late_dates")
     moved = df.join(
         marks, (F.col(date) == F.col("late_date")) & (F.col(site) == late_site), "left"
     )

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from epilode.operators.aggregates import median_sd, sample_support
 from epilode.operators.joins import null_safe_join
+from epilode.session import cut_lineage
 
 # Smallest basis, deviations above the median that make an
 # outlier, shrinkage of the penalty's null space.
@@ -36,7 +37,8 @@ def drop_outliers(df: DataFrame, keys: list[str], value: str, deviations: float
     stats = median_sd(df, keys, value).select(
         *keys, (F.col("median") + F.lit(deviations) * F.col("sd")).alias("__limit")
     )
-    return null_safe_join(df, stats, keys).filter(F.col(value) < F.col("__limit")).drop("__limit")
+    limits = cut_lineage(stats, "outlier_limits")
+    return null_safe_join(df, limits, keys).filter(F.col(value) < F.col("__limit")).drop("__limit")
 
 
 def _curvature(knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +191,7 @@ def trend_support(df: DataFrame, keys: list[str], date: str, value: str) -> Data
 
 def fit_trends(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
     """Chosen model per group: one row with its coefficients."""
-    support = trend_support(df, keys, date, value).filter("status = 'ok'")
+    support = cut_lineage(trend_support(df, keys, date, value).filter("status = 'ok'"), "trend_support")
     v = F.col(value).cast("double")
     daily = (
         drop_outliers(df, keys, value)
@@ -222,7 +224,7 @@ def fit_trends(df: DataFrame, keys: list[str], date: str, value: str) -> DataFra
 def trend_curve(df: DataFrame, keys: list[str], date: str, value: str, conf_level: float = 0.95,
                 models: DataFrame | None = None) -> DataFrame:
     """Prediction, one-day slope of the log trend and its interval on sample days."""
-    models = fit_trends(df, keys, date, value) if models is None else models
+    models = cut_lineage(fit_trends(df, keys, date, value), "trend_models") if models is None else models
     days = df.select(*keys, F.col(date).alias("__date")).distinct()
     rows = null_safe_join(days, models, keys, "inner")
     types = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}

@@ -10,6 +10,7 @@ from epilode.functions.measures import suppress_count
 from epilode.functions.text import correct_town
 from epilode.operators.aggregates import add_share
 from epilode.operators.columns import across_contains, drop_position, strip_headers
+from epilode.session import cut_lineage
 
 
 def clean_report(report: DataFrame, formatted: bool = True, exact_tokens: bool = False) -> DataFrame:
@@ -28,6 +29,8 @@ def weekly_report(events: DataFrame, date: str, condition: str, threshold: int =
     counts = daily.groupBy(
         week_start(F.col("day")).alias("week_start"), condition
     ).agg(F.sum("n").alias("n"))
+    # The events are read once; totals and shares come from the written counts.
+    counts = cut_lineage(counts, "weekly_counts")
     return add_share(counts, "n", ["week_start"]).select(
         "week_start",
         week_end(F.col("week_start")).alias("week_end"),

@@ -137,7 +137,9 @@ def match_towns(df: DataFrame, town: str, zip_code: str | None, gaz: Gazetteer,
     """
     zips = F.col(zip_code).cast("string") if zip_code else F.lit(None).cast("string")
     keyed = df.withColumns({"__town": F.col(town), "__zip": zips})
-    found = match_keys(keyed.select(F.col("__town").alias("town"), F.col("__zip").alias("zip")), gaz, anchor)
+    found = cut_lineage(
+        match_keys(keyed.select(F.col("__town").alias("town"), F.col("__zip").alias("zip")), gaz, anchor), "matched"
+    )
     found = found.select(
         F.col("town").alias("__town"), F.col("zip").alias("__zip"),
         F.col("clean").alias(out), F.col("match_stage").alias(stage),

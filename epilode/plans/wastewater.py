@@ -11,6 +11,7 @@ from epilode.operators.aggregates import first_per_group, site_means
 from epilode.operators.columns import relabel
 from epilode.operators.joins import null_safe_join
 from epilode.operators.ordered import align_late_site, first_row, keep_complete, late_dates
+from epilode.session import cut_lineage
 
 
 def label_plants(raw: DataFrame, county: int = V.PLANT_COUNTY, location: str = V.PLANT_LOCATION) -> DataFrame:
@@ -37,8 +38,10 @@ def normalise_sites(samples: DataFrame, targets: dict[str, str], site: str = "sh
     moved sample can make a day overfull, and such a day is dropped.
     """
     late = late_dates(samples, site, date, late_site, sites - 1)
-    one = first_row(samples, [site, date], [F.col(time).asc_nulls_last(), F.col(tie).asc()])
-    one = one.withColumn("__own_date", F.col(date))
+    needed = [site, date, time, tie, marker, flow, *targets.values()]
+    one = first_row(samples.select(*dict.fromkeys(needed)), [site, date], [F.col(time).asc_nulls_last(), F.col(tie).asc()])
+    # One row per site and day from here on: small, and read several times.
+    one = cut_lineage(one.withColumn("__own_date", F.col(date)), "daily_samples")
     aligned = align_late_site(one, late, site, date, late_site)
     complete = keep_complete(aligned, date, sites)
     means = site_means(complete, site, {marker: "marker_mean", flow: "flow_mean"})

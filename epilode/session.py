@@ -53,7 +53,9 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write `df` to the work root and read it back.
 
     The copy survives the loss of executors and is computed once, however many
-    branches of a plan read it.
+    branches of a plan read it.  Its size is known before the next join is
+    planned: a small copy is broadcast at once, without first shuffling the large
+    side, and a large one is joined by shuffle.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Column names as in the reference lists.
+# Files up to which their list is broadcast.
+_MANY_FILES = 50_000
+
+# Column names of the reference lists.
 CITIES = "city string, in_cook boolean"
 CITY_ZIPS = "zip string, city string"
 AREAS = "neighborhood string, community_area string"
@@ -64,6 +67,8 @@ def read_report(spark: SparkSession, path: str, schema: str, skip: int = 3) -> D
         F.monotonically_increasing_id().alias("row"),
     )
     starts = lines.filter("block = 0").groupBy("file").agg(F.min("row").alias("first"))
+    if len(lines.inputFiles()) <= _MANY_FILES:
+        starts = F.broadcast(starts)  # one small row per file
     body = lines.join(starts, "file").filter(
         (F.col("block") > 0) | (F.col("row") - F.col("first") > skip)
     ).filter(F.length(F.btrim("value")) > 0)
