@@ -500,10 +500,15 @@ def _jaro(t):
     return _name_pairs(t).select("a", "b", F.round(D.jaro(F.col("a"), F.col("b")), 9).alias("distance"))
 
 
-@query("fn_osa")
+@query(
+    "fn_osa",
+    # Equal to the unrestricted distance here: no pair edits within a swap.
+    _PAIRS_SQL + """SELECT a, b, CAST(damerau_levenshtein(a, b) AS DOUBLE) AS distance,
+      CAST(levenshtein(a, b) AS DOUBLE) AS without_swaps FROM d""",
+)
 def _osa(t):
     a, b = F.col("a"), F.col("b")
-    return _name_pairs(t).select("a", "b", D.osa(a, b).alias("distance"), D.osa(a, b, 1.0, 1.0, 0.5, 0.25).alias("weighted"))
+    return _name_pairs(t).select("a", "b", D.osa(a, b).alias("distance"), D.osa(a, b, transposition=9.0).alias("without_swaps"))
 
 
 _CNT = "CAST(length({0}) - length(replace({0}, c, '')) AS DOUBLE)"

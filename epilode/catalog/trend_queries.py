@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from epilode.catalog.registry import query
 from epilode.operators import trend as T
 from epilode.plans.wastewater import normalise_sites
+from epilode.session import cut_lineage
 
 _SAMPLES_SQL = """
     raw AS (SELECT o_orderkey, o_orderpriority AS site, CAST(o_orderdate AS DATE) AS day, o_totalprice AS v,
@@ -42,16 +43,11 @@ def _prepare(t):
 
 
 def _series(t):
-    """Mean value per event type and day; a day without purchase value stays missing."""
+    """Mean value per event type and day; a low mean counts as missing."""
     daily = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
     return daily.withColumn("value", F.when(F.col("value") < 45, F.lit(None)).otherwise(F.col("value")))
 
 
-_SERIES_SQL = """
-    s AS (SELECT event_type, CAST(ts AS DATE) AS day, CASE WHEN avg(value) < 45 THEN NULL ELSE avg(value) END AS value FROM events GROUP BY ALL)
-"""
-
-
 @query(
     "trend_outlier_filter",
     """
@@ -78,9 +74,31 @@ def _support(t):
     return T.trend_support(rows, ["user_id", "event_type"], "day", "v")
 
 
-@query("trend_fit")
+_GROWTH_SQL = """
+    n AS (SELECT event_type, count(*) AS n, min(CAST(ts AS DATE)) AS d0 FROM events GROUP BY event_type),
+    g AS (SELECT DISTINCT e.event_type, CAST(ts AS DATE) AS day, n, CAST(ts AS DATE) - d0 AS i FROM events e JOIN n USING (event_type))
+"""
+
+
+def _growth(t):
+    """Each type's event count, growing by a tenth (in logs) per five days from its first day."""
+    day = F.to_date("ts")
+    per_day = cut_lineage(t.events.groupBy("event_type", day.alias("day")).agg(F.count(F.lit(1)).alias("c")), "per_day")
+    per_type = per_day.groupBy("event_type").agg(F.sum("c").alias("n"), F.min("day").alias("d0"))
+    rows = per_day.join(per_type, "event_type")
+    return rows.withColumn("value", F.col("n") * F.exp(0.02 * F.datediff("day", "d0")))
+
+
+@query(
+    "trend_fit",
+    f"WITH {_GROWTH_SQL} SELECT event_type, day, round(exp(0.02 * i), 4) AS pred_per_start FROM g",
+)
 def _fit(t):
-    return T.trend_curve(_series(t), ["event_type"], "day", "value").select("event_type", "day", F.round("pred", 3).alias("pred"))
+    series = _growth(t)
+    curves = T.trend_curve(series, ["event_type"], "day", "value")
+    start = series.select(F.col("event_type").alias("e"), "n").distinct()
+    rows = curves.join(start, F.col("event_type") == F.col("e"))
+    return rows.select("event_type", "day", F.round(F.col("pred") / F.col("n"), 4).alias("pred_per_start"))
 
 
 @query("agg_model_select")
@@ -89,12 +107,21 @@ def _select(t):
     return models.select("event_type", "k", F.round("resid_sd", 6).alias("resid_sd"), F.round("edf", 3).alias("edf"), "coef")
 
 
-@query("trend_derivative_ci")
+@query(
+    "trend_derivative_ci",
+    f"""
+    WITH {_GROWTH_SQL} SELECT event_type, day, 0.02::DOUBLE AS fst_deriv, TRUE AS interval_holds FROM g
+    """,
+)
 def _derivative(t):
-    curves = T.trend_curve(_series(t), ["event_type"], "day", "value")
-    return curves.select(
-        "event_type", "day", *[F.round(c, 5).alias(c) for c in ("fst_deriv", "fst_deriv_ul", "fst_deriv_ll")]
-    )
+    curves = T.trend_curve(_growth(t), ["event_type"], "day", "value")
+    holds = (F.col("fst_deriv_ll") <= F.col("fst_deriv")) & (F.col("fst_deriv") <= F.col("fst_deriv_ul"))
+    return curves.select("event_type", "day", F.round("fst_deriv", 4).alias("fst_deriv"), holds.alias("interval_holds"))
+
+
+@query("trend_interval")
+def _interval(t):
+    return T.trend_curve(_series(t), ["event_type"], "day", "value")
 
 
 @query("trend_names")

@@ -168,18 +168,27 @@ def intersects(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
     """
     size = size or cell_size(left)
     pairs = cut_lineage(box_pairs(left, left_id, right, right_id, size), "box_pairs")
-    le = edges(left.withColumnRenamed(left_id, "l"), "l")
-    re = _other(edges(right.withColumnRenamed(right_id, "r"), "r"))
+    le = cut_lineage(edges(left.withColumnRenamed(left_id, "l"), "l"), "left_edges")
+    re = _other(cut_lineage(edges(right.withColumnRenamed(right_id, "r"), "r"), "right_edges"))
     fine = _edge_size(le)
     lec = _edges_by_cell(le, "x1", "y1", "x2", "y2", fine)
     rec = _edges_by_cell(re, "u1", "v1", "u2", "v2", fine)
     crossing = lec.join(rec, ["cx", "cy"]).filter(_edges_meet()).select("l", "r").distinct()
+    crossing = cut_lineage(crossing, "crossing")
     open_ = pairs.join(crossing, ["l", "r"], "left_anti")
     lp = left.select(F.col(left_id).alias("l"), F.col("geom")[0][0][0].alias("p"))
     rp = right.select(F.col(right_id).alias("r"), F.col("geom")[0][0][0].alias("p"))
-    first_in_second = _inside(open_.join(lp, "l"), re, "r", size)
-    second_in_first = _inside(open_.join(rp, "r"), _other(le), "l", size)
-    inner = first_in_second.unionByName(second_in_first).distinct()
+    # A point of one shape is looked up in the other, both ways at once.
+    left_key, right_key = (F.struct(F.lit(s).alias("s"), F.col(s).cast("string").alias("i")) for s in "lr")
+    probes = open_.join(lp, "l").select("l", "r", right_key.alias("shape"), "p").unionByName(
+        open_.join(rp, "r").select("l", "r", left_key.alias("shape"), "p")
+    )
+    corners = ["u1", "v1", "u2", "v2"]
+    shapes = _other(le).select(left_key.alias("shape"), *corners).unionByName(
+        re.select(right_key.alias("shape"), *corners)
+    )
+    points = probes.select("l", "r", "shape", F.col("p")["x"].alias("px"), F.col("p")["y"].alias("py"))
+    inner = winding(points, ["l", "r"], shapes, "shape", size).filter("w != 0").select("l", "r").distinct()
     return crossing.unionByName(inner).select(F.col("l").alias(left_id), F.col("r").alias(right_id))
 
 
@@ -245,12 +254,6 @@ def winding(probes: DataFrame, ids: list[str], shapes: DataFrame, key: str, size
     return parts.groupBy(*out).agg(F.sum("w").alias("w"))
 
 
-def _inside(probes: DataFrame, shape_edges: DataFrame, shape: str, size: float) -> DataFrame:
-    """Pairs (l, r) whose probe point `p` lies inside the shape of the pair."""
-    points = probes.select("l", "r", F.col("p")["x"].alias("px"), F.col("p")["y"].alias("py"))
-    return winding(points, ["l", "r"], shape_edges, shape, size).filter("w != 0").select("l", "r")
-
-
 # ---- overlay -----------------------------------------------------------------
 
 
@@ -475,8 +478,10 @@ def rings_to_shape(rings: DataFrame, size: float | None = None) -> DataFrame:
     holes = rings.filter("area < 0").select(F.col("ring_id").alias("hole_id"), F.array(F.array("ring")).alias("geom"))
     size = size or cell_size(outer)
     pairs = box_pairs(holes, "hole_id", outer, "ring_id", size)
-    probes = pairs.join(holes.select(F.col("hole_id").alias("l"), F.col("geom")[0][0][0].alias("p")), "l")
-    inside = _inside(probes, _other(edges(outer.withColumnRenamed("ring_id", "r"), "r")), "r", size)
+    spot = F.col("geom")[0][0][0]
+    probes = pairs.join(holes.select(F.col("hole_id").alias("l"), spot["x"].alias("px"), spot["y"].alias("py")), "l")
+    outlines = _other(edges(outer.withColumnRenamed("ring_id", "r"), "r"))
+    inside = winding(probes, ["l", "r"], outlines, "r", size).filter("w != 0").select("l", "r")
     owner = inside.join(outer.select(F.col("ring_id").alias("r"), "area"), "r").groupBy("l").agg(
         F.min_by("r", F.struct("area", "r")).alias("ring_id")
     )
