@@ -215,3 +215,21 @@ def test_title_is_stable(spark):
     once = title_case(F.lit("north-side o'hare"))
     row = spark.range(1).select(once.alias("a"), title_case(once).alias("b")).first()
     assert row["a"] == row["b"] == "North-Side O'hare"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_measure_each_pair_once_and_never_cross(spark, towns, gaz):
+    names = spark.createDataFrame(towns, "name string, zip string").select("name").distinct()
+    options = gaz.cities.select(F.col("city").alias("candidate"), "ordinal")
+    plans = [
+        plan_of(M.jaro_pairs(names, options, 0.25)),
+        plan_of(M.closest_in_block(names.withColumn("z", F.substring("name", 1, 1)), "name", "z", gaz.city_zips, "city", "zip", "ordinal")),
+        plan_of(M.only_one_edit_away(names, "name", gaz.cities, "city", "ordinal")),
+        plan_of(M.nearest(names, "name", gaz.cities, "city", "ordinal", "cosine")),
+    ]
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert [p.count("ArrowEvalPython") for p in plans] == [1, 1, 0, 0]

@@ -47,5 +47,21 @@ def test_plan_stays_in_the_jvm(spark, name):
 
 
 def test_scan_reads_only_the_needed_columns(spark):
-    plan = QUERIES["weekly_report"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"ts:timestamp_ntz,event_type:string"}
+    plan = QUERIES["agg_count"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"user_id:bigint,event_type:string"}
+
+
+def test_filters_reach_the_scan(spark):
+    plan = QUERIES["flt_predicates"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan
+
+
+def test_first_row_is_cut_before_the_shuffle(spark):
+    plan = QUERIES["win_first_row"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+@pytest.mark.parametrize("name", ["win_group_mean", "win_share", "agg_median_sd", "agg_freq_pct", "win_batch_id", "win_next_level"])
+def test_no_window_over_everything(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan.replace("ENSURE_REQUIREMENTS, [plan_id", "") or "Window" not in plan
