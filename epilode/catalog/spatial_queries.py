@@ -91,6 +91,19 @@ def _dissolve(t):
     return S.edge_area(S.dissolve(layer)).select(F.round("area", 4).alias("area"))
 
 
+@query(
+    "agg_dissolve",
+    "SELECT p_size % 2 AS side, 2 * count(*) AS level_edges FROM part GROUP BY p_size % 2",
+)
+def _dissolve_noded(t):
+    # Two rows of neighbours with matching edges, told apart by height.
+    x, y = F.col("p_partkey") * 10.0, (F.col("p_size") % 2) * 5.0
+    outline = S.dissolve(t.part.select(G.box(x, y, x + 10, y + 1).alias("geom")), noded=True)
+    side = F.when(F.col("y1") >= 5, F.lit(1)).otherwise(F.lit(0))
+    level = outline.filter("y1 = y2")
+    return level.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("level_edges"))
+
+
 @query(
     "sp_clip",
     "SELECT round(sum(10 * 3.0) - sum(4 * (1.0 + p_size % 2)), 4) AS area FROM part",

@@ -101,7 +101,8 @@ def jaro_pairs(names: DataFrame, candidates: DataFrame, threshold: float) -> Dat
     left = _length_tokens(a, "la", "lb", _lengths_of(b, "lb"), threshold)
     right = _length_tokens(b, "lb", "la", _lengths_of(a, "la"), threshold).withColumnsRenamed({"tokens": "tokens_b", "prefix": "prefix_b"}).drop("need")
     extra = [c for c in candidates.columns if c not in ("candidate", "ordinal")]
-    met = left.join(right, ["la", "lb", "token"]).filter(
+    # Written first: a short list is broadcast and the names stay where they are.
+    met = left.join(cut_lineage(right, "candidate_index"), ["la", "lb", "token"]).filter(
         # Prefixes keep the common order: count a pair at its first shared token.
         (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
         & (F.size(F.array_intersect("tokens", "tokens_b")) >= F.col("need"))
@@ -207,7 +208,7 @@ def only_one_edit_away(df: DataFrame, name: str, candidates: DataFrame, candidat
         .withColumn("keys_b", edit_keys(F.col("candidate")))
         .withColumn("edit_key", F.explode_outer("keys_b"))
     )
-    pairs = left.join(right, "edit_key").filter(
+    pairs = left.join(cut_lineage(right, "candidate_index"), "edit_key").filter(
         # count a pair at the first key of the name that the candidate shares
         (F.element_at(F.array_intersect("keys", "keys_b"), 1) == F.col("edit_key"))
         & D.one_edit_apart(F.col("name"), F.col("candidate"))
@@ -245,7 +246,7 @@ def _sharing(names: DataFrame, candidates: DataFrame, keys) -> DataFrame:
     """Pairs that share one of the keys `keys(text)`, each once."""
     left = names.withColumn("keys", _known(keys(F.col("name")))).withColumn("key", F.explode_outer("keys"))
     right = candidates.withColumn("keys_b", _known(keys(F.col("candidate")))).withColumn("key", F.explode_outer("keys_b"))
-    return left.join(right, "key").filter(
+    return left.join(cut_lineage(right, "candidate_index"), "key").filter(
         F.element_at(F.array_intersect("keys", "keys_b"), 1) == F.col("key")
     ).drop("key", "keys", "keys_b")
 

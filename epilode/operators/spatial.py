@@ -62,7 +62,8 @@ def edges(layer: DataFrame, *keep: str) -> DataFrame:
             F.col("ring")[i + 1]["x"].alias("x2"), F.col("ring")[i + 1]["y"].alias("y2"),
         ),
     )
-    return turned.select(*keep, F.explode(pairs).alias("e")).select(*keep, "e.*").filter("x1 != x2 or y1 != y2")
+    # The outer form, so that the optimizer does not build the pairs twice to test them.
+    return turned.select(*keep, F.explode_outer(pairs).alias("e")).select(*keep, "e.*").filter("x1 != x2 or y1 != y2")
 
 
 def edge_area(boundary: DataFrame, *by: str) -> DataFrame:
@@ -326,7 +327,7 @@ def _split_at_crossings(all_edges: DataFrame, size: float | None, digits: int) -
         lambda t, i: F.struct(at(t).alias("s"), at(c("ts")[i + 1]).alias("e")),
     )
     return (
-        whole.select(F.explode(pieces).alias("p"))
+        whole.select(F.explode_outer(pieces).alias("p"))
         .select(c("p.s.x").alias("x1"), c("p.s.y").alias("y1"), c("p.e.x").alias("x2"), c("p.e.y").alias("y2"))
         .filter("x1 != x2 or y1 != y2")
         .distinct()

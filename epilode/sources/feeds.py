@@ -2,6 +2,9 @@
 
 Payloads arrive as a table with one payload per row; the calls themselves are
 made elsewhere.
+
+Arrays are exploded with the outer form and a test on the outcome: for the plain
+form the optimizer tests the array beforehand, which parses every payload twice.
 """
 
 from __future__ import annotations
@@ -9,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epilode.operators.sets import bind_rows
-
 
 def details_rows(landed: DataFrame, payload: str, fields: str, keys: list[str], kind: str = "kind") -> DataFrame:
     """Rows of every landed feed payload.
@@ -22,25 +23,24 @@ def details_rows(landed: DataFrame, payload: str, fields: str, keys: list[str],
     """
     row = f"struct<{_ddl(fields)}>"
     text = F.col(payload)
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
 
-    details = landed.filter(F.col(kind) == "details").select(
-        *keys, F.inline(F.from_json(text, f"struct<dataDetails:array<{row}>>")["dataDetails"])
-    )
+    details = F.from_json(text, f"struct<dataDetails:array<{row}>>")["dataDetails"]
 
+    # The header line decides which cell is which field.
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.length(x) > 0)
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
-    csv = (
-        landed.filter(F.col(kind) == "csv")
-        .select(*keys, lines.alias("lines"))
-        .select(*keys, _cells(F.element_at("lines", 1)).alias("head"),
-                F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line"))
-        # the header decides which cell is which field
-        .select(*keys, F.map_from_arrays("head", _cells(F.col("line"))).alias("m"))
-        .select(*keys, *[
-            F.nullif(F.element_at("m", n), F.lit("")).try_cast(t).alias(n)
+    head = _cells(F.element_at(lines, 1))
+
+    table = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), _cells)
+
+    def record(header: Column, cells: Column) -> Column:
+        return F.struct(*[
+            F.nullif(F.get(cells, (F.array_position(header, n) - 1).cast("int")), F.lit("")).try_cast(t).alias(n)
             for n, t in zip(names, _types(fields))
         ])
-    )
+
+    # The outer step binds the header, so that it is split once per payload.
+    csv = F.flatten(F.transform(F.array(head), lambda h: F.transform(table, lambda cells: record(h, cells))))
 
     # An array of rows, one wrapped in a list of one, or second in a list of two.
     plain = F.from_json(text, f"array<{row}>")
@@ -49,9 +49,15 @@ def details_rows(landed: DataFrame, payload: str, fields: str, keys: list[str],
     size = F.json_array_length(text)
     nested = F.startswith(F.ltrim(F.get_json_object(text, "$[0]")), F.lit("["))
     pair = (size == 2) & F.startswith(F.ltrim(F.get_json_object(text, "$[1]")), F.lit("["))
-    rows = F.when(pair, second).when((size == 1) & nested, single[0]).otherwise(plain)
-    lists = landed.filter(F.col(kind) == "list").select(*keys, F.inline(rows))
-    return bind_rows(details, csv, lists)
+    rows = (
+        F.when(F.col(kind) == "details", details)
+        .when(F.col(kind) == "csv", csv)
+        .when((F.col(kind) == "list") & pair, second)
+        .when((F.col(kind) == "list") & (size == 1) & nested, single[0])
+        .when(F.col(kind) == "list", plain)
+    )
+    # One pass over the payloads, whatever their shape.
+    return landed.select(*keys, F.explode_outer(rows).alias("r")).filter("r IS NOT NULL").select(*keys, "r.*")
 
 
 def _cells(line: Column) -> Column:
@@ -79,13 +85,14 @@ def matrix_rows(landed: DataFrame, payload: str, keys: list[str], ids: list[str]
     The header differs from response to response, so columns become rows.
     """
     parsed = landed.select(*keys, F.from_json(payload, "array<array<string>>").alias("m")).select(
-        *keys, F.col("m")[0].alias("head"), F.posexplode(F.slice("m", F.lit(2), F.size("m"))).alias("row_id", "row")
-    )
+        *keys, F.col("m")[0].alias("head"),
+        F.posexplode_outer(F.slice("m", F.lit(2), F.size("m"))).alias("row_id", "row"),
+    ).filter("row IS NOT NULL")
     cells = parsed.withColumn("cells", F.map_from_arrays("head", "row"))
     return cells.select(
         *keys, "row_id", *[F.element_at("cells", i).alias(i) for i in ids],
-        F.explode(F.map_filter("cells", lambda k, v: ~k.isin(ids))).alias("variable", "value"),
-    )
+        F.explode_outer(F.map_filter("cells", lambda k, v: ~k.isin(ids))).alias("variable", "value"),
+    ).filter("variable IS NOT NULL")
 
 
 _BATCH = (
@@ -100,7 +107,7 @@ _SINGLE = (
 
 def geocode_batches(landed: DataFrame, payload: str, keys: list[str]) -> DataFrame:
     """One row per located address of each batch response."""
-    hits = landed.select(*keys, F.explode(F.from_json(payload, _BATCH)["locations"]).alias("l"))
+    hits = landed.select(*keys, F.explode_outer(F.from_json(payload, _BATCH)["locations"]).alias("l")).filter("l IS NOT NULL")
     a = "l.attributes."
     return hits.select(
         *keys, F.col(a + "ResultID").alias("OBJECTID"), F.col(a + "X").alias("X"), F.col(a + "Y").alias("Y"),
