@@ -207,21 +207,35 @@ SYSTEMS: dict[int, TransverseMercator | None] = {
 }
 
 
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once (lambdas share no subexpressions)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _forward(lon: Column, lat: Column, tm: TransverseMercator) -> Column:
     c = tm.series()
-    phi, lam = F.radians(lat), F.radians(lon - tm.lon0)
-    sin_phi = F.sin(phi)
-    t = F.sinh(F.asinh(F.tan(phi)) - c["ecc"] * F.atanh(c["ecc"] * sin_phi))
-    xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
-    east, north = eta, xi
-    for j, a in enumerate(c["alpha"], 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     k = tm.scale * c["radius"]
-    return F.struct(
-        ((k * east + tm.false_east) / tm.unit).alias("x"),
-        ((k * north - c["north0"] + tm.false_north) / tm.unit).alias("y"),
-    )
+    phi, lam = F.radians(lat), F.radians(lon - tm.lon0)
+    t = F.sinh(F.asinh(F.tan(phi)) - c["ecc"] * F.atanh(c["ecc"] * F.sin(phi)))
+
+    def spherical(v: Column) -> Column:
+        return F.struct(
+            F.atan2(v["t"], F.cos(v["lam"])).alias("xi"),
+            F.asinh(F.sin(v["lam"]) / F.sqrt(v["t"] * v["t"] + F.cos(v["lam"]) * F.cos(v["lam"]))).alias("eta"),
+        )
+
+    def plane(z: Column) -> Column:
+        xi, eta = z["xi"], z["eta"]
+        east, north = eta, xi
+        for j, a in enumerate(c["alpha"], 1):
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct(
+            ((k * east + tm.false_east) / tm.unit).alias("x"),
+            ((k * north - c["north0"] + tm.false_north) / tm.unit).alias("y"),
+        )
+
+    return _bind(F.struct(t.alias("t"), lam.alias("lam")), lambda v: _bind(spherical(v), plane))
 
 
 def _inverse(x: Column, y: Column, tm: TransverseMercator) -> Column:
@@ -229,18 +243,29 @@ def _inverse(x: Column, y: Column, tm: TransverseMercator) -> Column:
     k = tm.scale * c["radius"]
     xi = (y * tm.unit - tm.false_north + c["north0"]) / k
     eta = (x * tm.unit - tm.false_east) / k
-    xi1, eta1 = xi, eta
-    for j, b in enumerate(c["beta"], 1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    # From conformal to geographic latitude; each step gains about five digits.
-    target = F.asinh(F.tan(chi))
-    phi = chi
-    for _ in range(6):
-        phi = F.atan(F.sinh(target + c["ecc"] * F.atanh(c["ecc"] * F.sin(phi))))
-    lam = F.atan2(F.sinh(eta1), F.cos(xi1))
-    return F.struct((F.degrees(lam) + tm.lon0).alias("x"), F.degrees(phi).alias("y"))
+
+    def spherical(z: Column) -> Column:
+        xi1, eta1 = z["xi"], z["eta"]
+        for j, b in enumerate(c["beta"], 1):
+            xi1 = xi1 - b * F.sin(2 * j * z["xi"]) * F.cosh(2 * j * z["eta"])
+            eta1 = eta1 - b * F.cos(2 * j * z["xi"]) * F.sinh(2 * j * z["eta"])
+        return F.struct(xi1.alias("xi"), eta1.alias("eta"))
+
+    def geographic(v: Column) -> Column:
+        # From conformal to geographic latitude; each step gains about five digits.
+        phi = F.atan(F.sinh(v["target"]))
+        for _ in range(6):
+            phi = F.atan(F.sinh(v["target"] + c["ecc"] * F.atanh(c["ecc"] * F.sin(phi))))
+        return F.struct((F.degrees(v["lam"]) + tm.lon0).alias("x"), F.degrees(phi).alias("y"))
+
+    def angles(z: Column) -> Column:
+        chi = F.asin(F.sin(z["xi"]) / F.cosh(z["eta"]))
+        return F.struct(
+            F.asinh(F.tan(chi)).alias("target"), F.atan2(F.sinh(z["eta"]), F.cos(z["xi"])).alias("lam")
+        )
+
+    start = F.struct(xi.alias("xi"), eta.alias("eta"))
+    return _bind(start, lambda s: _bind(spherical(s), lambda z: _bind(angles(z), geographic)))
 
 
 def reproject_point(x: Column, y: Column, source: int, target: int, systems: dict | None = None) -> Column:
