@@ -30,28 +30,9 @@ def as_batch(rows: list[tuple] | pa.RecordBatch, schema: pa.Schema) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def with_columns_mapped(
-    df: DataFrame, added: pa.Schema, values: Callable[[pa.RecordBatch], list[list]]
-) -> DataFrame:
-    """`df` and the `added` columns, computed by task from whole batches; no shuffle, no key.
-
-    A column of `df` whose name is taken by an added one is replaced by it.
-    """
-    kept = [c for c in df.columns if c not in added.names]
-    schema = df.select(*[f"`{c.replace('`', '``')}`" for c in kept]).schema
-    for field in from_arrow_schema(added).fields:
-        schema = schema.add(field)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [pa.array(v, f.type) for v, f in zip(values(batch), added)]
-            names = batch.schema.names
-            arrays = [batch.column(names.index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, *new], names=[*kept, *added.names])
-
-    return df.mapInArrow(run, schema)
-
-
-def column(batch: pa.RecordBatch, name: str) -> list:
-    """A column's values as Python objects."""
-    return batch.column(batch.schema.names.index(name)).to_pylist()
+def fresh_name(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

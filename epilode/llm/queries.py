@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from epilode.catalog.registry import Tables
-from epilode.llm import packing, simhash
+from epilode.llm import decontamination, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,41 @@ def op1_packing(t: Tables) -> DataFrame:
 def op3_simhash(t: Tables) -> DataFrame:
     """Every document's fingerprint and near-duplicate group."""
     return simhash.near_duplicates(t.documents)
+
+
+_ITEM_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query("op10_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_ITEM_WORDS}, []) AS w FROM documents),
+i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(k) WHERE len(w) > 0),
+dw AS (
+  SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM iw) AS s, unnest(range(1, len(w) - n + 2)) AS t(k) WHERE len(w) >= n),
+h AS (SELECT DISTINCT r, k, n, item_id FROM dw JOIN iw USING (win, n)),
+p AS (SELECT r, count(DISTINCT q) AS n_hit FROM h, unnest(range(k, k + n)) AS u(q) GROUP BY r),
+t AS (
+  SELECT r, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
+""")
+def op10_decontamination(t: Tables) -> DataFrame:
+    """Every document's words in windows of benchmark items."""
+    marked = decontamination.mark(t.documents.select("doc_id", "text"), t.benchmark)
+    n_hit = F.aggregate("contamination.hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    return marked.select(
+        F.col("doc_id").cast("long"),
+        "contamination.n_words",
+        n_hit.alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "contamination.items"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
