@@ -13,9 +13,12 @@ corpus.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,8 +31,23 @@ from epilode.session import cut_lineage
 CAPACITY = 4096
 END = 1
 # Words whose ids a worker remembers; a full table is emptied, which costs time only.
-_REMEMBERED = 1_000_000
-_ASCII_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_REMEMBERED = 800_000
+_JOINED = 1000  # new words encoded in one call
+_WORD_END = "</w>"
+_MARKS = r"[!-&(-/:-@\[-`{-~]"  # ASCII without letters, digits and the apostrophe
+# Marks between a letter and white space are a token run of their own.
+_AFTER_LETTER = re.compile(rf"{_MARKS}(?<=[^\W\d_].){_MARKS}*(?=[ \n])", re.DOTALL)
+_ONLY_MARKS = re.compile(rf"{_MARKS}+")
+
+
+class _Memory(dict):
+    """Ids by word; unknown words are noted."""
+
+    def __init__(self):
+        self.unknown: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.unknown.append(word)
 
 
 class WordTokenizer:
@@ -43,11 +61,14 @@ class WordTokenizer:
     _shared: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self.words = _Memory()
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -56,32 +77,57 @@ class WordTokenizer:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(self.cores) + len(words) > _REMEMBERED:
-            self.words.clear()
-            self.cores.clear()
-        split = {}
-        for word in words:
-            core = word.rstrip(_ASCII_MARKS)
-            # Marks after letters are a token run of their own.
-            if core == word or not core.isalpha():
-                split[word] = (word.lower() if word.isascii() else word, "")
+    def _learn(self, unknown: set[str]) -> None:
+        cased, plain, other = {}, [], []
+        for word in unknown:
+            if word.isalpha():
+                if word.isascii() and not word.islower():
+                    cased[word] = word.lower()
+                else:
+                    plain.append(word)
+            elif _ONLY_MARKS.fullmatch(word) and "<|" not in word:
+                plain.append(word)
             else:
-                split[word] = (core.lower() if core.isascii() else core, word[len(core):])
-        new = list({part for pair in split.values() for part in pair if part and part not in self.cores})
-        for part, encoded in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self.cores[part] = b"".join(i.to_bytes(4, "little") for i in encoded.ids)
-        for word, (core, tail) in split.items():
-            self.words[word] = self.cores[core] + (self.cores[tail] if tail else b"")
+                other.append(word)
+        plain += {low for low in cased.values() if low not in self.words and low not in unknown}
+        for at in range(0, len(plain), _JOINED):
+            self._learn_joined(plain[at : at + _JOINED])
+        self._learn_each(other)
+        for word, low in cased.items():
+            self.words[word] = self.words[low]
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """Words of one run of tokens each; a run's last token is marked in the vocabulary."""
+        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+            self._learn_each(words)
+            return
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(words, ends):
+            self.words[word] = raw[start:end]
+            start = end
+
+    def _learn_each(self, words: list[str]) -> None:
+        for word, encoded in zip(words, self.model.encode_batch_fast(words, add_special_tokens=False)):
+            self.words[word] = np.array(encoded.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        known, unknown = self.words.__getitem__, self.words.unknown
         for text in texts:
+            if "<|" not in text:
+                text = _AFTER_LETTER.sub(r" \g<0>", text)
             words = text.replace("\n", " ").split(" ")
-            words = [w for w in words if w] if "" in words else words
-            missing = set(words).difference(self.words)
-            if missing:
-                self._learn(missing)
-            yield b"".join(map(self.words.__getitem__, words))
+            ids = list(map(known, words))
+            if unknown:
+                distinct = set(unknown)
+                unknown.clear()
+                if len(self.words) + 2 * len(distinct) > _REMEMBERED:
+                    self.words.clear()
+                    distinct = set(words)
+                self._learn(distinct)
+                ids = list(map(known, words))
+            yield b"".join(ids)
 
 
 def tokenize(
