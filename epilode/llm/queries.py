@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilode.catalog.registry import Tables
-from epilode.llm import decontamination, packing, simhash
+from epilode.llm import decontamination, language, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,14 @@ def op10_decontamination(t: Tables) -> DataFrame:
         F.sha2(F.concat_ws(",", "contamination.items"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op5_language")
+def op5_language(t: Tables) -> DataFrame:
+    """Every document's predicted language, learned outside the held-out fold."""
+    model = language.train(t.documents, public_tokenizers.path("piece_bpe_32k.model"))
+    predicted = language.predict(t.documents.select("doc_id", "text"), model)
+    held_out = F.coalesce(language.is_held_out(F.col("doc_id")), F.lit(False))
+    return predicted.select(
+        F.col("doc_id").cast("long"), held_out.alias("held_out"), "language.lang_pred", "language.score"
+    )
