@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilode.catalog.registry import Tables
-from epilode.llm import decontamination, language, packing, simhash
+from epilode.llm import decontamination, language, packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,20 @@ def op5_language(t: Tables) -> DataFrame:
     return predicted.select(
         F.col("doc_id").cast("long"), held_out.alias("held_out"), "language.lang_pred", "language.score"
     )
+
+
+@query("op4_pii")
+def op4_pii(t: Tables) -> DataFrame:
+    """Every document's personal data: counts, a digest of the base spans, and all spans."""
+    spans = F.col("pii.spans")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.BASE]
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+    return pii.find(t.documents.select("doc_id", "text")).select(
+        F.col("doc_id").cast("long"), *counts,
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(spans).alias("spans"),
+    )
