@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -36,3 +38,32 @@ def fresh_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def add_column(
+    df: DataFrame, names: list[str], into: str, kind: pa.DataType, inputs: list[Column], values: Callable[..., list]
+) -> DataFrame:
+    """The columns `names` of `df` and a new one, computed by task: no shuffle, no key.
+
+    `values` gets a batch of each input as a list and returns the new column's values.
+    Names may hold any character, so columns travel under numbers.
+    """
+    if into in names:
+        raise ValueError(f"{into} is a column already")
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in names]
+    count, types = len(names), [df.schema[c].dataType for c in names]
+    schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate([*types, from_arrow_type(kind)])])
+    numbered = [c.alias(f"c{i}") for i, c in enumerate(kept)] + [c.alias(f"x{i}") for i, c in enumerate(inputs)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            new = pa.array(values(*(c.to_pylist() for c in columns[count:])), kind)
+            yield pa.RecordBatch.from_arrays([*columns[:count], new], names=[f"c{i}" for i in range(count + 1)])
+
+    return df.select(*numbered).mapInArrow(run, schema).toDF(*names, into)

@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 
-from epilode.llm.common import arrow_map, as_batch, fresh_name
+from epilode.llm.common import add_column, arrow_map, as_batch
 from epilode.session import cut_lineage
 
 WINDOW = 10
@@ -261,34 +260,27 @@ def mark(
     pairs = cut_lineage(windows(items, item_id, item_text, window), "windows")
     blocks = max(1, -(-pairs.count() // block))
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks)))
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, from_arrow_type(FOUND))])
-    columns, text = docs.columns, fresh_name(docs, "utf8")
+    columns, text = docs.columns, F.col(text_col).cast("binary")
     marked = docs
     for number in range(blocks):
         # About `block` rows, however many there are in all.
         part = [(bytes(r.words), r.item) for r in dealt.where(F.col("block") == number).select("words", "item").collect()]
         index = WindowIndex(part, window, shingle)
-        index.order(_frequencies(docs.select(F.col(text_col).cast("binary")), index))
+        index.order(_frequencies(docs.select(text), index))
         shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names
-                texts = batch.column(names.index(text)).to_pylist()
-                out = [f for first, last in _groups(texts) for f in shared.value.find(texts[first:last])]
-                if into in names:
-                    before = batch.column(names.index(into)).to_pylist()
-                    out = [
-                        (n, merge_ranges([*hits, *((h["start"], h["end"]) for h in b["hits"])]), sorted({*ids, *b["items"]}))
-                        for (n, hits, ids), b in zip(out, before)
-                    ]
-                found = pa.array([
-                    {"n_words": n, "hits": [{"start": s, "end": e} for s, e in hits], "items": ids} for n, hits, ids in out
-                ], FOUND)
-                arrays = [batch.column(names.index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, found], names=[*columns, into])
-
-        marked = marked.withColumn(text, F.col(text_col).cast("binary")).mapInArrow(run, schema)
+        def values(texts: list, before: list, shared=shared) -> list[dict]:
+            out = []
+            found = (f for first, last in _groups(texts) for f in shared.value.find(texts[first:last]))
+            for (n, hits, names), old in zip(found, before):
+                if old:
+                    hits = merge_ranges([*hits, *((h["start"], h["end"]) for h in old["hits"])])
+                    names = sorted({*names, *old["items"]})
+                out.append({"n_words": n, "hits": [{"start": s, "end": e} for s, e in hits], "items": names})
+            return out
+
+        before = F.col(into) if number else F.lit(None).cast(from_arrow_type(FOUND))
+        marked = add_column(marked, columns, into, FOUND, [text, before], values)
         if number + 1 < blocks:
             marked = cut_lineage(marked, "marked")
     return marked

@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from epilode.llm.common import as_batch, fresh_name
+from epilode.llm.common import add_column, as_batch
 from epilode.session import cut_lineage
 
 #: Documents per language that the model is fitted on, in expectation.
@@ -277,19 +276,10 @@ def predict(docs: DataFrame, model: PieceModel, into: str = "language", text_col
     as are all if no language was learned.  Ties go to the first language in order.
     Every row is judged alone and keeps its columns; `into` must be a new name.
     """
-    if into in docs.columns:
-        raise ValueError(f"{into} is a column of the documents")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
-    spark_kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    columns, copy = docs.columns, fresh_name(docs, "text_read")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index(copy)).to_pylist()
-            found = pa.array([dict(zip(("lang_pred", "score"), shared.value.predict(t))) for t in texts], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in columns), found], names=[*columns, into])
+    def values(texts: list) -> list[dict]:
+        return [dict(zip(("lang_pred", "score"), shared.value.predict(t))) for t in texts]
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, spark_kind)])
-    return docs.withColumn(copy, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return add_column(docs, docs.columns, into, kind, [F.col(text_col).cast("string")], values)

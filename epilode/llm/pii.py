@@ -13,10 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_type
 
-from epilode.llm.common import fresh_name
+from epilode.llm.common import add_column
 
 #: Kinds that are always reported, in their order; the others need a score of `THRESHOLD`.
 BASE = ("email", "ip", "card", "phone")
@@ -164,25 +162,19 @@ def find(docs: DataFrame, into: str = "pii", text_col: str = "text") -> DataFram
     Every row is judged alone, over its whole text, and keeps its columns; `into` must
     be a new name.
     """
-    if into in docs.columns:
-        raise ValueError(f"{into} is a column of the documents")
     kind = pa.struct([("spans", pa.list_(SPAN)), ("redacted", pa.string())])
-    columns, copy = docs.columns, fresh_name(docs, "text_read")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, out = batch.schema.names, []
-            for text in batch.column(names.index(copy)).to_pylist():
-                spans = find_spans(text)
-                out.append({
-                    "spans": [dict(zip(("kind", "start", "end", "score"), s)) for s in spans],
-                    "redacted": redact_text(text, spans) if spans else text,
-                })
-            arrays = [batch.column(names.index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, kind)], names=[*columns, into])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, from_arrow_type(kind))])
-    return docs.withColumn(copy, F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+    def values(texts: list) -> list[dict]:
+        out = []
+        for text in texts:
+            spans = find_spans(text)
+            out.append({
+                "spans": [dict(zip(("kind", "start", "end", "score"), s)) for s in spans],
+                "redacted": redact_text(text, spans) if spans else text,
+            })
+        return out
+
+    return add_column(docs, docs.columns, into, kind, [F.col(text_col).cast("string")], values)
 
 
 def joined(spans: Column) -> Column:

@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epilode.llm.common import arrow_map
+from epilode.llm.common import arrow_map, fresh_name, own_columns
 from epilode.llm.components import connected_components
 from epilode.session import cut_lineage
 
@@ -53,20 +53,24 @@ def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """`doc_id, fp`: one row per document, computed over its whole text.
+    """`doc_id, content, fp`: one row per document, computed over its whole text.
 
-    Lower-cases A-Z; words are parted by blanks, tabs and line ends.  Texts of fewer
-    words than a shingle count as one shingle.
+    `content` is a hash of the text as it is.  The fingerprint lower-cases A-Z; words are
+    parted by blanks, tabs and line ends.  Texts of fewer words than a shingle count as
+    one shingle.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("fp", pa.int64())])
 
     def rows(batch: pa.RecordBatch) -> list[tuple]:
-        return [
-            (key, simhash(text, shingle))
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        ]
+        key, content, texts = (batch.column(k).to_pylist() for k in range(3))
+        return list(zip(key, content, (simhash(t, shingle) for t in texts)))
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), schema, rows)
+    chosen = docs.select(F.col(id_col).cast("long"), _content(text_col), F.col(text_col).cast("binary"))
+    return arrow_map(chosen, schema, rows)
+
+
+def _content(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _keys(max_bits: int) -> list[tuple[int, list[int]]]:
@@ -126,6 +130,21 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, paired: int = _PAIRED) ->
     return pairs.unionByName(stars)
 
 
+def classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    shingle: int = SHINGLE, max_bits: int = MAX_BITS, paired: int = _PAIRED,
+) -> tuple[DataFrame, DataFrame]:
+    """The written tables of documents (`doc_id, content, fp`) and groups (`fp, root, component_id`)."""
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    edges = links(nodes.select("fp"), max_bits, paired)
+    roots = cut_lineage(connected_components(edges), "components")
+    grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    grouped = cut_lineage(grouped.select("fp", "first", F.coalesce("root", "fp").alias("root")), "grouped")
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints, cut_lineage(grouped.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingle: int = SHINGLE, max_bits: int = MAX_BITS, paired: int = _PAIRED,
@@ -137,14 +156,30 @@ def near_duplicates(
     null id keep it and never name a component (one of only such rows has a null
     component).  Repeated rows stay; other columns are not read; no rows give no rows.
     """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    edges = links(nodes.select("fp"), max_bits, paired)
-    roots = cut_lineage(connected_components(edges), "components")
-    grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    grouped = cut_lineage(grouped.select("fp", "first", F.coalesce("root", "fp").alias("root")), "grouped")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut_lineage(grouped.join(least, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select(
+    prints, groups = classes(docs, id_col, text_col, shingle, max_bits, paired)
+    return prints.join(groups.drop("root"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    shingle: int = SHINGLE, max_bits: int = MAX_BITS, paired: int = _PAIRED,
+) -> DataFrame:
+    """The rows of `docs` that stay when each near-duplicate group keeps one.
+
+    That is the row of the smallest id (a null id only if there is no other), among
+    rows of one id the text of the least hash, and of rows that repeat both just one.
+    """
+    prints, groups = classes(docs, id_col, text_col, shingle, max_bits, paired)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
+    chosen = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("own"))
+    kept_id, kept = fresh_name(docs, "kept_id"), fresh_name(docs, "kept_content")
+    chosen = cut_lineage(chosen.select(F.col("own.doc_id").alias(kept_id), F.col("own.content").alias(kept)), "kept")
+    id_, content, number = fresh_name(docs, "own_id"), fresh_name(docs, "own_content"), fresh_name(docs, "row")
+    keyed = docs.withColumn(id_, F.col(id_col).cast("long")).withColumn(content, _content(text_col))
+    # The window and the join share one shuffle; it drops repeats before that.
+    first = Window.partitionBy(id_, content).orderBy(F.lit(1))
+    keyed = keyed.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1)
+    same = F.col(id_).eqNullSafe(F.col(kept_id)) & (F.col(content) == F.col(kept))
+    return keyed.join(chosen, same, "left_semi").select(*own_columns(docs))

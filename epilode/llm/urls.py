@@ -18,10 +18,9 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 
-from epilode.llm.common import ASCII_LOWER, ASCII_UPPER, as_batch, fresh_name
+from epilode.llm.common import ASCII_LOWER, ASCII_UPPER, add_column, as_batch
 from epilode.session import cut_lineage
 
 #: Rules that are broadcast at a time; more are tried in further passes.
@@ -136,8 +135,6 @@ def judge(
     such without `://` have an empty host and path and fit no rule.  Every row is judged
     alone and keeps its columns; `into` must be a new name.
     """
-    if into in pages.columns:
-        raise ValueError(f"{into} is a column of the pages")
     spark = pages.sparkSession
     if isinstance(rules, DataFrame):
         rules = cut_lineage(rules.select("name", "pattern", "verdict", F.col("tier").cast("int")).dropna().distinct(), "rules")
@@ -148,29 +145,24 @@ def judge(
         blocks = max(1, -(-len(rules) // block))
         parts = (rules[k * block : (k + 1) * block] for k in range(blocks))
     kind = pa.struct([(c, pa.string()) for c in ("host", "path", "rule", "pattern", "verdict")] + [("tier", pa.int32())])
-    schema = T.StructType([*pages.schema.fields, T.StructField(into, from_arrow_type(kind))])
-    columns, copy = pages.columns, fresh_name(pages, "url_read")
+    columns, url = pages.columns, F.col(url_col).cast("string")
     judged = pages
     for k, part in enumerate(parts):
-        index = RuleIndex(part, _frequencies(pages.select(F.col(url_col).cast("string")), part))
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names, out = batch.schema.names, []
-                urls = batch.column(names.index(copy)).to_pylist()
-                before = batch.column(names.index(into)).to_pylist() if into in names else [None] * len(urls)
-                for url, old in zip(urls, before):
-                    host, path, rest = split_url(url)
-                    found = [shared.value.best(host + path + rest)] if host or path else [None]
-                    if old and old["rule"] is not None:
-                        found.append(Rule(old["rule"], old["pattern"], old["verdict"], old["tier"]))
-                    best = min((r for r in found if r), key=rank, default=Rule(None, None, default, None))
-                    out.append(dict(zip(("host", "path", "rule", "pattern", "verdict", "tier"), (host, path, *best))))
-                arrays = [batch.column(names.index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, kind)], names=[*columns, into])
-
-        judged = judged.withColumn(copy, F.col(url_col).cast("string")).mapInArrow(run, schema)
+        shared = spark.sparkContext.broadcast(RuleIndex(part, _frequencies(pages.select(url), part)))
+
+        def values(texts: list, before: list, shared=shared) -> list[dict]:
+            out = []
+            for text, old in zip(texts, before):
+                host, path, rest = split_url(text)
+                found = [shared.value.best(host + path + rest)] if host or path else []
+                if old and old["rule"] is not None:
+                    found.append(Rule(old["rule"], old["pattern"], old["verdict"], old["tier"]))
+                best = min((r for r in found if r), key=rank, default=Rule(None, None, default, None))
+                out.append(dict(zip(("host", "path", "rule", "pattern", "verdict", "tier"), (host, path, *best))))
+            return out
+
+        old = F.col(into) if k else F.lit(None).cast(from_arrow_type(kind))
+        judged = add_column(judged, columns, into, kind, [url, old], values)
         if k + 1 < blocks:
             judged = cut_lineage(judged, "judged")
     return judged
