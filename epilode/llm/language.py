@@ -33,7 +33,8 @@ UNDETERMINED = "und"
 _MARK = "▁"
 _LONGEST_PIECE = 16
 _LONGEST_WORD = 32  # longer ones are scored on their own, and not learned from
-_REMEMBERED = 400_000
+_REMEMBERED = 800_000
+_GROUP = 1 << 20  # characters of text whose new words are scored together
 _UNKNOWN = 1e-7  # probability of a letter that no piece holds, in every language
 _SMOOTHING = 0.01
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -80,23 +81,43 @@ class PieceModel:
     def __setstate__(self, state):
         self.__init__(state["pieces"], state["languages"], state["table"][:-2])
 
-    def spans(self, word: str) -> list[int]:
-        """Piece numbers of all spans (i, j) of the marked word, i outer, j inner, up to the longest piece."""
+    def _prefixes(self) -> dict[str, int]:
+        """Numbers of the pieces, and -1 for what only begins one."""
         if self.numbers is None:
-            self.numbers = {p: n for n, p in enumerate(self.pieces)}
-        none, get, s = len(self.pieces), self.numbers.get, _MARK + word
-        out = []
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + _LONGEST_PIECE) + 1):
-                out.append(get(s[i:j], none))
-        return out
+            self.numbers = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))}
+            self.numbers.update((p, n) for n, p in enumerate(self.pieces))
+        return self.numbers
 
     def lattice(self, words: list[str]) -> np.ndarray:
-        """Spans of words of one length, a row each; a letter without a piece is unknown."""
-        spans = np.array([self.spans(w) for w in words], np.int64)
-        for i, j, k in _layout(len(words[0]) + 1):
+        """Piece numbers of all spans of marked words of one length, a row each, in the order of `_layout`.
+
+        A letter without a piece is unknown.
+        """
+        get, size = self._prefixes().get, len(words[0]) + 1
+        layout = _layout(size)
+        first = {i: k for i, j, k in reversed(layout)}
+        none, unknown = len(self.pieces), len(self.pieces) + 1
+        # Each piece as one number: its column times `step`, plus its own number.
+        step, codes, base = none + 2, [], 0
+        starts = [(i, (first[i] - i - 1) * step) for i in range(size)]
+        add, row = codes.append, len(layout) * step
+        for word in words:
+            s = _MARK + word
+            for i, k in starts:
+                for j in range(i + 1, size + 1):
+                    found = get(s[i:j])
+                    if found is None:
+                        break
+                    if found >= 0:
+                        add(base + k + j * step + found)
+            base += row
+        spans = np.full(len(words) * len(layout), none, np.int64)
+        at, number = np.divmod(np.array(codes, np.int64), step)
+        spans[at] = number
+        spans = spans.reshape(len(words), len(layout))
+        for i, j, k in layout:
             if j == i + 1:
-                spans[spans[:, k] == len(self.pieces), k] = len(self.pieces) + 1
+                spans[spans[:, k] == none, k] = unknown
         return spans
 
     def forward(self, spans: np.ndarray, size: int, table: np.ndarray) -> list[np.ndarray]:
@@ -125,15 +146,15 @@ class PieceModel:
 
     def score_long(self, word: str) -> np.ndarray:
         """The same for a word of any length, in rescaled steps."""
-        if self.numbers is None:
-            self.spans("")
-        s = _MARK + word
+        get, s = self._prefixes().get, _MARK + word
         sums, scale = [np.ones(len(self.languages))], np.zeros(len(self.languages))
         for j in range(1, len(s) + 1):
             total = np.zeros(len(self.languages))
             for back in range(1, min(j, _LONGEST_PIECE) + 1):
-                piece = self.numbers.get(s[j - back : j], len(self.pieces) + 1 if back == 1 else None)
-                if piece is not None:
+                piece = get(s[j - back : j], -1)
+                if piece < 0 and back == 1:
+                    piece = len(self.pieces) + 1
+                if piece >= 0:
                     total = total + sums[-back] * self.table[piece]
             sums.append(total)
             sums = sums[-_LONGEST_PIECE:]
@@ -143,20 +164,19 @@ class PieceModel:
                 sums = [x / by for x in sums]
         return scale + np.log(sums[-1])
 
-    def log_likelihood(self, words: list[str]) -> np.ndarray:
-        """Log probability of a text's words, by language."""
-        numbers = list(map(self.known.get, words))
-        if None in numbers:
-            new = {w for w, n in zip(words, numbers) if n is None}
-            if len(self.known) + len(new) > _REMEMBERED:
-                self.known.clear()
-                self.used = 0
-                new = set(words)
-            ordered = list(new)
-            for at in range(0, len(ordered), 100_000):
-                self._remember(ordered[at : at + 100_000])
-            numbers = list(map(self.known.__getitem__, words))
-        return self.scores[numbers].sum(axis=0)
+    def log_likelihoods(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+        """Log probabilities of texts, given as words, by language."""
+        new = set().union(*texts).difference(self.known)
+        if len(self.known) + len(new) > _REMEMBERED:
+            self.known.clear()
+            self.used = 0
+            new = set().union(*texts)
+        ordered = list(new)
+        for at in range(0, len(ordered), 100_000):
+            self._remember(ordered[at : at + 100_000])
+        for words in texts:
+            numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            yield self.scores[numbers].sum(axis=0)
 
     def _remember(self, words: list[str]) -> None:
         if self.used + len(words) > len(self.scores):
@@ -165,14 +185,21 @@ class PieceModel:
         self.known.update(zip(words, range(self.used, self.used + len(words))))
         self.used += len(words)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its posterior under equal priors); undetermined without letters or languages."""
-        words = words_of(text)
-        if not self.languages or not has_letter(words):
-            return UNDETERMINED, 0.0
-        total = self.log_likelihood(words)
-        best = int(total.argmax())  # the first in order among equals
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, its posterior under equal priors) of each text; undetermined without letters or languages."""
+        out, part, size = [], [], 0
+        for n, text in enumerate(texts):
+            part.append(words_of(text))
+            size += len(text or "")
+            if size >= _GROUP or n + 1 == len(texts):
+                for words, total in zip(part, self.log_likelihoods(part)):
+                    if self.languages and has_letter(words):
+                        best = int(total.argmax())  # the first in order among equals
+                        out.append((self.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
+                    else:
+                        out.append((UNDETERMINED, 0.0))
+                part, size = [], 0
+        return out
 
 
 _LAYOUTS: dict[int, list[tuple[int, int, int]]] = {}
@@ -280,6 +307,6 @@ def predict(docs: DataFrame, model: PieceModel, into: str = "language", text_col
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def values(texts: list) -> list[dict]:
-        return [dict(zip(("lang_pred", "score"), shared.value.predict(t))) for t in texts]
+        return [dict(zip(("lang_pred", "score"), p)) for p in shared.value.predict(texts)]
 
     return add_column(docs, docs.columns, into, kind, [F.col(text_col).cast("string")], values)

@@ -48,8 +48,9 @@ def test_long_words_and_a_full_memory(monkeypatch):
     words = ["a", "ab", "ba", "a", "bb", long, "a"]
     want = sum(model.score_long(w) for w in words)
     monkeypatch.setattr(L, "_REMEMBERED", 2)
-    assert np.allclose(model.log_likelihood(words), want)
-    assert np.allclose(model.log_likelihood(["ba", "bab"]), model.score_long("ba") + model.score_long("bab"))
+    got = list(model.log_likelihoods([words, [], ["ab"]]))
+    assert np.allclose(got, [want, np.zeros(3), model.score_long("ab")])
+    assert np.allclose(next(model.log_likelihoods([["ba", "bab"]])), model.score_long("ba") + model.score_long("bab"))
 
 
 def test_expected_counts_follow_the_segmentations():

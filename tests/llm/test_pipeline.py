@@ -24,7 +24,7 @@ def plain_stages(spark, rows, benchmark):
     """The rows that each of the first four stages keeps, one at a time and in plain Python."""
     docs = spark.createDataFrame(rows)
     model = language.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    kept = [r for r in rows if (p := model.predict(r.text))[0] != "und" and p[1] >= 0.5]
+    kept = [r for r in rows if (p := model.predict([r.text])[0])[0] != "und" and p[1] >= 0.5]
     yield kept
     groups = brute([(r.doc_id, r.text) for r in kept])
     alone = {k for k, _, component in groups if k == component}
