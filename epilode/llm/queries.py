@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilode.catalog.registry import Tables
-from epilode.llm import chat, decontamination, language, packing, pii, simhash, topk, urls
+from epilode.llm import chat, decontamination, language, packing, pii, simhash, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op8_topk(t: Tables) -> DataFrame:
     """The five best other vectors of every fiftieth."""
     return topk.top_k(t.embeddings, F.col("vec_id") % 50 == 0)
+
+
+@query("op9_substrings")
+def op9_substrings(t: Tables) -> DataFrame:
+    """Every document's passages that near-duplicate another's, and the class they lead to."""
+    return substrings.duplicated(t.documents)
