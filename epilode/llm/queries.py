@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilode.catalog.registry import Tables
-from epilode.llm import chat, decontamination, language, packing, pii, simhash, substrings, topk, urls
+from epilode.llm import chat, decontamination, language, licenses, packing, pii, simhash, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,15 @@ def op8_topk(t: Tables) -> DataFrame:
 def op9_substrings(t: Tables) -> DataFrame:
     """Every document's passages that near-duplicate another's, and the class they lead to."""
     return substrings.duplicated(t.documents)
+
+
+@query("op6_licences")
+def op6_licences(t: Tables) -> DataFrame:
+    """Every document's licence notices and their families."""
+    model = licenses.train(t.documents)
+    scanned = licenses.scan(t.documents.select("doc_id", "text"), model)
+    return scanned.select(
+        F.col("doc_id").cast("long"), "licences.n_paragraphs", F.size("licences.notices").cast("long").alias("n_notices"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("licences.notices.family"))).alias("families"),
+        F.col("licences.notices").alias("notices"),
+    )
