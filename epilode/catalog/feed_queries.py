@@ -52,9 +52,20 @@ def _remote(t):
     return rows.select(F.col("`Zip Code`").alias("zip"), F.col("`Population 2010`").alias("population"))
 
 
-@query("src_latest_files")
+@query(
+    "src_latest_files",
+    """
+    SELECT 'cases_P.csv' AS extract, o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'
+    """,
+)
 def _latest(t):
-    return files.latest_files(t.spark, t.folder, "", "parquet", 3).select("name", "length")
+    # One extract per status, the last one written is the newest.
+    folder, columns = fresh_path(t.spark, "extracts"), ["o_orderkey", "o_custkey", "o_totalprice"]
+    for status in ("F", "O", "P"):
+        files.write_csv(t.orders.filter(F.col("o_orderstatus") == status).select(*columns), f"{folder}/cases_{status}.csv")
+    newest = files.latest_files(t.spark, folder, "cases", "csv").first()
+    rows = files.read_csv(t.spark, newest["path"], "o_orderkey bigint, o_custkey bigint, o_totalprice double")
+    return rows.select(F.lit(newest["name"]).alias("extract"), *columns)
 
 
 @query("sink_csv", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")

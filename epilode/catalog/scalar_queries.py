@@ -88,37 +88,38 @@ def _age(t):
 
 
 _LEVELS = """
-    WITH lv AS (SELECT DISTINCT CAST(floor(l_extendedprice / 7500.5) AS INTEGER) AS code FROM lineitem),
-         s AS (SELECT code, round_even(code * 7500.5, 1) AS start FROM lv),
-         n AS (SELECT a.code, a.start, b.start AS nxt FROM s a LEFT JOIN s b ON b.code = a.code + 1),
+    WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice / 7500.5) AS INTEGER) AS c FROM lineitem),
+         r AS (SELECT * EXCLUDE (c), CASE WHEN c BETWEEN 3 AND 5 THEN 3 ELSE c END AS code FROM c),
+         s AS (SELECT code, round_even(code * 7500.5, 1) AS start FROM (SELECT DISTINCT code FROM r)),
+         n AS (SELECT code, start, lead(start) OVER (ORDER BY code) AS nxt FROM s),
          f AS (SELECT code,
                  CASE WHEN start = floor(start) THEN CAST(CAST(start AS BIGINT) AS VARCHAR) ELSE CAST(start AS VARCHAR) END AS st,
                  round_even(nxt - 0.1, 1) AS en FROM n)
 """
 
 
-def _interval_levels(t):
-    code = F.floor(F.col("l_extendedprice") / 7500.5).cast("int")
-    levels = t.lineitem.select(code.alias("code")).distinct()
-    start = F.bround(F.col("code") * 7500.5, 1)
-    return levels.withColumn(
-        "interval", F.concat(F.lit("["), start.cast("string"), F.lit(","), F.bround(start + 7500.5, 1).cast("string"), F.lit(")"))
-    )
-
-
 @query(
     "fn_interval_label",
     _LEVELS
     + """
-    SELECT f.code,
+    SELECT l_orderkey, l_linenumber, l_partkey,
            CASE WHEN en IS NULL THEN 'More than ' || st
                 ELSE st || ' - ' || CASE WHEN en = floor(en) THEN CAST(CAST(en AS BIGINT) AS VARCHAR)
                                          ELSE CAST(en AS VARCHAR) END END AS pretty
-    FROM f
+    FROM r JOIN f USING (code)
     """,
 )
 def _interval(t):
-    return label_levels(_interval_levels(t)).select("code", "pretty")
+    # Three bands made one: the codes have a gap.
+    code = F.floor(F.col("l_extendedprice") / 7500.5).cast("int")
+    code = F.when(code.between(3, 5), 3).otherwise(code)
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", code.alias("code"))
+    start = F.bround(F.col("code") * 7500.5, 1)
+    levels = rows.select("code").distinct().withColumn(
+        "interval", F.concat(F.lit("["), start.cast("string"), F.lit(","), F.bround(start + 7500.5, 1).cast("string"), F.lit(")"))
+    )
+    labels = label_levels(levels).select("code", "pretty")
+    return rows.join(labels, "code").select("l_orderkey", "l_linenumber", "l_partkey", "pretty")
 
 
 @query(

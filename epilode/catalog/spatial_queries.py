@@ -66,18 +66,43 @@ def _crs(t):
     return S.set_crs(_parts(t), 3435).select("p_partkey", "srid")
 
 
+# The ellipsoid and the state-plane zone, in metres, degrees and survey feet.
+_A, _N, _K0 = 6378137.0, (1 / 298.257222101) / (2 - 1 / 298.257222101), 0.999975
+_E2 = 4 * _N / (1 + _N) ** 2
+
+
+def _meridian_sql(phi: str) -> str:
+    """Length of the meridian up to a latitude, by Helmert's series."""
+    n = _N
+    terms = [
+        (1 + n**2 / 4 + n**4 / 64, phi), (-1.5 * (n - n**3 / 8), f"sin(2 * {phi})"), (15 / 16 * (n**2 - n**4 / 4), f"sin(4 * {phi})"),
+        (-35 / 48 * n**3, f"sin(6 * {phi})"), (315 / 512 * n**4, f"sin(8 * {phi})"),
+    ]
+    return f"({_A / (1 + n)!r}::DOUBLE * (" + " + ".join(f"{c!r}::DOUBLE * {t}" for c, t in terms) + "))"
+
+
 @query(
     "sp_reproject",
-    """
-    SELECT p_partkey, 3435 AS srid, 1000000.0 + p_partkey AS x, 1800000.0 + p_size * 100 AS y FROM part
+    f"""
+    WITH g AS (SELECT p_partkey, radians(36.5 + p_partkey % 1000 * 0.006) AS phi, radians((p_size - 25) * 0.025) AS lam FROM part),
+         q AS (SELECT *, {_A}::DOUBLE / sqrt(1 - {_E2!r}::DOUBLE * sin(phi) ** 2) AS nu, tan(phi) ** 2 AS t,
+                      {_E2 / (1 - _E2)!r}::DOUBLE * cos(phi) ** 2 AS c, lam * cos(phi) AS a,
+                      {_meridian_sql('phi')} - {_meridian_sql('radians(36 + 2.0 / 3)')} AS m FROM g)
+    SELECT p_partkey, 3435 AS srid,
+      round((300000 + {_K0} * nu * (a + (1 - t + c) * a ** 3 / 6
+        + (5 - 18 * t + t ** 2 + 72 * c - 58 * {_E2 / (1 - _E2)!r}::DOUBLE) * a ** 5 / 120)) * 3937 / 1200, 1) AS x,
+      round({_K0} * (m + nu * tan(phi) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * a ** 4 / 24
+        + (61 - 58 * t + t ** 2 + 600 * c - 330 * {_E2 / (1 - _E2)!r}::DOUBLE) * a ** 6 / 720)) * 3937 / 1200, 1) AS y
+    FROM q
     """,
 )
 def _reproject(t):
-    x, y = 1000000.0 + F.col("p_partkey"), 1800000.0 + F.col("p_size") * 100
-    layer = S.set_crs(t.part.select("p_partkey", G.box(x, y, x + 1, y + 1).alias("geom")), 3435)
-    back = S.reproject(S.reproject(layer, 3435, 4326), 4326, 3435)
+    # Points across the zone; the SQL takes another series than the operator.
+    lon, lat = -(88 + F.lit(1.0) / 3) + (F.col("p_size") - 25) * 0.025, 36.5 + F.col("p_partkey") % 1000 * 0.006
+    layer = S.set_crs(t.part.select("p_partkey", G.box(lon, lat, lon + 0.001, lat + 0.001).alias("geom")), 4326)
+    moved = S.reproject(layer, 4326, 3435)
     corner = F.col("geom")[0][0][0]
-    return back.select("p_partkey", "srid", F.round(corner["x"], 5).alias("x"), F.round(corner["y"], 5).alias("y"))
+    return moved.select("p_partkey", "srid", F.round(corner["x"], 1).alias("x"), F.round(corner["y"], 1).alias("y"))
 
 
 _STRIP_SQL = "SELECT p_partkey * 10.0 AS x1, p_partkey * 10.0 + 10 AS x2, 0.0 AS y1, 1.0 + p_size % 2 AS y2 FROM part"
@@ -130,16 +155,17 @@ def _layer_read(t):
 @query(
     "sink_layer_write",
     f"""
-    WITH {_PARTS_SQL}
-    SELECT 3435 AS srid, count(*) AS n, sum(CAST(round((x2 - x1) * (y2 - y1) * 100) AS BIGINT))::BIGINT AS area_cents FROM p GROUP BY ALL
+    WITH {_PARTS_SQL} SELECT p_partkey, 3435 AS srid, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2 FROM p
     """,
 )
 def _layer_write(t):
+    # The layer is in degrees and says so; it is stored in the home system.
     path = fresh_path(t.spark, "layer")
-    write_layer_path(S.set_crs(_parts(t), 3435), path)
-    stored = t.spark.read.parquet(path).select("geom_wkb", "srid")
-    area = F.round(G.area(G.from_wkb(F.col("geom_wkb"))) * 100).cast("bigint")
-    return stored.select("srid", area.alias("a")).groupBy("srid").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("area_cents"))
+    degrees = S.reproject(_parts(t).drop("p_name"), 3435, 4326)
+    write_layer_path(degrees, path)
+    stored = t.spark.read.parquet(path)
+    b = stored.select("p_partkey", "srid", G.bounds(G.from_wkb(F.col("geom_wkb"))).alias("b"))
+    return b.select("p_partkey", "srid", *[F.round(f"b.{c}", 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query(

@@ -91,44 +91,114 @@ def _growth(t):
 
 @query(
     "trend_fit",
-    f"WITH {_GROWTH_SQL} SELECT event_type, day, round(exp(0.02 * i), 4) AS pred_per_start FROM g",
+    """
+    WITH m AS (SELECT event_type, median(value) + 5 * stddev_samp(value) AS lim FROM events GROUP BY event_type),
+         e AS (SELECT e.event_type, value FROM events e JOIN m ON e.event_type = m.event_type WHERE value < lim)
+    SELECT event_type, 'ok' AS status, count(*) AS n, round(avg(value), 4) AS fitted_mean FROM e GROUP BY event_type
+    """,
 )
 def _fit(t):
-    series = _growth(t)
-    curves = T.trend_curve(series, ["event_type"], "day", "value")
-    start = series.select(F.col("event_type").alias("e"), "n").distinct()
-    rows = curves.join(start, F.col("event_type") == F.col("e"))
-    return rows.select("event_type", "day", F.round(F.col("pred") / F.col("n"), 4).alias("pred_per_start"))
+    # The intercept is not penalised, so fitted and observed values have the same sum.
+    rows = cut_lineage(t.events.select("event_type", F.to_date("ts").alias("day"), "value"), "event_values")
+    curves = T.trend_curve(rows, ["event_type"], "day", "value")
+    used = T.drop_outliers(rows, ["event_type"], "value").groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
+    fitted = curves.join(used, ["event_type", "day"])
+    mean = F.sum(F.col("pred") * F.col("n")) / F.sum("n")
+    return fitted.groupBy("event_type", "status").agg(F.sum("n").alias("n"), F.round(mean, 4).alias("fitted_mean"))
 
 
-@query("agg_model_select")
+@query(
+    "agg_model_select",
+    """
+    WITH c AS (SELECT event_type, CAST(4 + user_id % 9 AS INTEGER) AS k, round(stddev_samp(value), 12) AS resid_sd
+               FROM events GROUP BY ALL)
+    SELECT event_type, arg_min(k, ROW(resid_sd, k)) AS k FROM c GROUP BY event_type
+    """,
+)
 def _select(t):
-    models = T.fit_trends(_series(t), ["event_type"], "day", "value")
-    return models.select("event_type", "k", F.round("resid_sd", 6).alias("resid_sd"), F.round("edf", 3).alias("edf"), "coef")
+    candidates = t.events.groupBy("event_type", (4 + F.col("user_id") % 9).cast("int").alias("k")).agg(
+        F.stddev_samp("value").alias("resid_sd")
+    )
+    return T.choose_model(candidates, ["event_type"])
 
 
 @query(
     "trend_derivative_ci",
     f"""
-    WITH {_GROWTH_SQL} SELECT event_type, day, 0.02::DOUBLE AS fst_deriv, TRUE AS interval_holds FROM g
+    WITH {_GROWTH_SQL} SELECT event_type, day, 0.02::DOUBLE AS fst_deriv, round(exp(0.02 * i), 4) AS pred_per_start,
+      TRUE AS interval_holds FROM g
     """,
 )
 def _derivative(t):
-    curves = T.trend_curve(_growth(t), ["event_type"], "day", "value")
+    series = _growth(t)
+    curves = T.trend_curve(series, ["event_type"], "day", "value")
+    start = series.select("event_type", "n").distinct()
     holds = (F.col("fst_deriv_ll") <= F.col("fst_deriv")) & (F.col("fst_deriv") <= F.col("fst_deriv_ul"))
-    return curves.select("event_type", "day", F.round("fst_deriv", 4).alias("fst_deriv"), holds.alias("interval_holds"))
+    return curves.join(start, "event_type").select(
+        "event_type", "day", F.round("fst_deriv", 4).alias("fst_deriv"),
+        F.round(F.col("pred") / F.col("n"), 4).alias("pred_per_start"), holds.alias("interval_holds"),
+    )
 
 
-@query("trend_interval")
+@query(
+    "trend_interval",
+    """
+    WITH s AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY ALL),
+         g AS (SELECT event_type, count(*) FILTER (value >= 45) AS samples FROM s GROUP BY event_type),
+         few AS (SELECT DISTINCT 'first days' AS event_type FROM events)
+    SELECT s.event_type, day, 'ok' AS status, TRUE AS symmetric, 2.905847::DOUBLE AS widths
+    FROM s JOIN g ON s.event_type = g.event_type WHERE samples >= 20
+    UNION ALL SELECT event_type, NULL, 'insufficient', NULL, NULL FROM g WHERE samples < 20
+    UNION ALL SELECT event_type, NULL, 'insufficient', NULL, NULL FROM few
+    """,
+)
 def _interval(t):
-    return T.trend_curve(_series(t), ["event_type"], "day", "value")
+    """Bounds lie evenly around the slope, and their widths follow the confidence level."""
+    series = _series(t)
+    first = series.groupBy("event_type").agg(F.min("day").alias("d0")).withColumnRenamed("event_type", "e")
+    # A group of too few days: it comes back as a row that says so.
+    few = series.join(first, F.col("event_type") == F.col("e")).filter("day < date_add(d0, 2)").select(
+        F.lit("first days").alias("event_type"), "day", "value"
+    )
+    rows = cut_lineage(series.unionByName(few), "interval_series")
+    models = cut_lineage(T.fit_trends(rows, ["event_type"], "day", "value"), "interval_models")
+    wide = T.trend_curve(rows, ["event_type"], "day", "value", 0.95, models)
+    half = T.trend_curve(rows, ["event_type"], "day", "value", 0.5, models).select(
+        F.col("event_type").alias("e"), F.col("day").alias("d"), (F.col("fst_deriv_ul") - F.col("fst_deriv_ll")).alias("half")
+    )
+    width = F.col("fst_deriv_ul") - F.col("fst_deriv_ll")
+    middle = (F.col("fst_deriv_ul") + F.col("fst_deriv_ll")) / 2
+    both = wide.join(half, F.col("event_type").eqNullSafe(F.col("e")) & F.col("day").eqNullSafe(F.col("d")))
+    return both.select(
+        "event_type", "day", "status", (F.abs(middle - F.col("fst_deriv")) < 1e-9).alias("symmetric"),
+        F.round(width / F.col("half"), 6).alias("widths"),
+    )
 
 
-@query("trend_names")
+@query(
+    "trend_names",
+    """
+    WITH e AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'r' END AS target, CAST(ts AS DATE) AS day FROM events),
+         n AS (SELECT target, count(*)::DOUBLE AS n FROM e GROUP BY target),
+         d AS (SELECT DISTINCT target, day FROM e)
+    SELECT day, max(n) FILTER (target = 'a') AS inf_a_start, max(n) FILTER (target = 'r') AS rsv_start,
+           max(0.02::DOUBLE) FILTER (target = 'a') AS inf_a_fst_deriv, max(0.02::DOUBLE) FILTER (target = 'r') AS rsv_fst_deriv,
+           'day,inf_a_copies_pred,inf_a_fst_deriv,inf_a_fst_deriv_ll,inf_a_fst_deriv_ul,rsv_copies_pred,rsv_fst_deriv,rsv_fst_deriv_ll,rsv_fst_deriv_ul' AS names
+    FROM d JOIN n USING (target) GROUP BY day
+    """,
+)
 def _names(t):
-    daily = t.events.groupBy(F.col("user_id") % 2 == 0, F.to_date("ts").alias("day")).agg(F.avg("value").alias("value"))
-    rows = daily.toDF("even", "day", "value").select(
-        F.when(F.col("even"), F.lit("inf_a_copies")).otherwise(F.lit("rsv_copies")).alias("target"), "day", "value"
-    )
+    target = F.when(F.col("user_id") % 2 == 0, F.lit("inf_a_copies")).otherwise(F.lit("rsv_copies"))
+    per_day = cut_lineage(t.events.groupBy(target.alias("target"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("c")), "per_day")
+    per_target = per_day.groupBy("target").agg(F.sum("c").alias("n"), F.min("day").alias("d0"))
+    rows = per_day.join(per_target, "target").withColumn("value", F.col("n") * F.exp(0.02 * F.datediff("day", "d0")))
     curves = T.trend_curve(rows, ["target"], "day", "value")
-    return T.wide_trends(curves, [], "day", "target", ["inf_a_copies", "rsv_copies"])
+    # The growth taken out again, what is left is the start.
+    first = rows.agg(F.min("d0")).scalar()
+    wide = T.wide_trends(curves, [], "day", "target", ["inf_a_copies", "rsv_copies"])
+    names = ",".join(sorted(wide.columns))
+    flat = F.exp(0.02 * F.datediff(F.col("day"), first))
+    return wide.select(
+        "day", F.round(F.col("inf_a_copies_pred") / flat, 1).alias("inf_a_start"), F.round(F.col("rsv_copies_pred") / flat, 1).alias("rsv_start"),
+        F.round("inf_a_fst_deriv", 4).alias("inf_a_fst_deriv"), F.round("rsv_fst_deriv", 4).alias("rsv_fst_deriv"), F.lit(names).alias("names"),
+    )

@@ -41,13 +41,22 @@ def feed_date(date: Column | None = None, days_ago: int | None = None) -> Column
 
 
 def parse_report_datetime(text: Column) -> Column:
-    """`M/d/yyyy h:mm a`, else `M/d/yyyy`; anything else is NULL."""
+    """`M/d/yyyy h:mm a`, else `M/d/yyyy`; anything else is NULL.
+
+    The parts are put together without a time zone: a local time that a zone's clock
+    change leaves out is still that time.
+    """
+    parts = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2}) ([AP])M)?$"
     upper = F.upper(F.btrim(text))
-    parsed = F.coalesce(
-        F.try_to_timestamp(upper, F.lit("M/d/yyyy h:mm a")),
-        F.try_to_timestamp(upper, F.lit("M/d/yyyy")),
-    )
-    return parsed.cast("timestamp_ntz")
+
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(upper, parts, i), F.lit("")).try_cast("int")
+
+    hour, half = part(4), F.regexp_extract(upper, parts, 6)
+    hour_of_day = F.when(hour.between(1, 12), hour % 12 + F.when(half == "P", 12).otherwise(0))
+    return F.when(
+        half == "", F.try_make_timestamp_ntz(part(3), part(1), part(2), F.lit(0), F.lit(0), F.lit(0))
+    ).otherwise(F.try_make_timestamp_ntz(part(3), part(1), part(2), hour_of_day, part(5), F.lit(0)))
 
 
 def daily_grid(first: Column, last: Column) -> Column:

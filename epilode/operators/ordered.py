@@ -12,6 +12,7 @@ from epilode.functions import fixed_values as V
 from epilode.functions.measures import interval_label, interval_start
 from epilode.functions.nulls import strict_count_if
 from epilode.operators.aggregates import attach
+from epilode.operators.joins import null_safe_join
 from epilode.session import cut_lineage
 
 
@@ -55,12 +56,14 @@ def align_late_site(df: DataFrame, dates: DataFrame, site: str, date: str, late_
 
 
 def label_levels(levels: DataFrame, label: str = "interval", code: str = "code") -> DataFrame:
-    """Display text of ordered interval levels; each needs the next one's start."""
+    """Display text of ordered interval levels; each needs the next one's start.
+
+    The next level is the one that follows in order, whatever its code.  `levels` is
+    the list of a factor's levels, not its rows, so one task can order it.
+    """
     starts = levels.select(label, code, interval_start(F.col(label)).alias("__s")).distinct()
-    following = starts.select((F.col(code) - 1).alias("__c"), F.col("__s").alias("__next"))
-    return starts.join(following, F.col(code) == F.col("__c"), "left").select(
-        label, code, interval_label(F.col("__s"), F.col("__next")).alias("pretty")
-    )
+    following = F.lead("__s").over(Window.orderBy(code))
+    return starts.select(label, code, interval_label(F.col("__s"), following).alias("pretty"))
 
 
 def next_day_delta(df: DataFrame, keys: list[str], date: str, value: str, out: str = "delta") -> DataFrame:
@@ -80,32 +83,50 @@ def next_day_delta(df: DataFrame, keys: list[str], date: str, value: str, out: s
     )
 
 
+# Ranges into which keys are cut for numbering, keys that the cuts are taken from,
+# and parts into which the rows of one key fall.
+_RANGES, _CUT_SAMPLE, _SALTS = 256, 10_000, 64
+
+
+def _range_of(key: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the sorted cuts lie below the key, found by halving."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(key <= F.lit(cuts[half]), _range_of(key, cuts[:half], first)).otherwise(
+        _range_of(key, cuts[half + 1 :], first + half + 1)
+    )
+
+
 def number_rows(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
-    """Consecutive numbers from 1 in key order, without a one-task sort.
+    """Consecutive numbers from 1 in key order, without a one-task sort or a copy.
 
-    Rows are range-partitioned and sorted; each takes its place within its
-    partition, plus the rows of the partitions before.  The ranged copy is
-    written once, because the ranges are sampled and must not change between
-    the two uses.
+    Keys are cut into ranges at quantiles of a sample; any cuts are correct, good ones
+    make ranges of like size.  Rows are counted by key and a hash of the whole row, so
+    that the rows of a frequent key fall into several parts.  The counts are summed up
+    within a range, and those of the ranges before are added.  Missing keys come first.
     """
-    spot = F.monotonically_increasing_id()
-    ranged = cut_lineage(
-        df.repartitionByRange(F.col(key))
-        .sortWithinPartitions(key)
-        .withColumn("__id", spot)
-        .withColumns({"__part": F.shiftright("__id", 33), "__pos": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
-        .drop("__id"),
-        "numbered",
+    k = F.col(key)
+    sample = df.select(k.alias("k")).filter("k IS NOT NULL").orderBy(F.xxhash64("k")).limit(_CUT_SAMPLE).collect()
+    ordered = sorted(r["k"] for r in sample)
+    cuts = sorted({ordered[len(ordered) * i // _RANGES] for i in range(1, _RANGES)}) if ordered else []
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+    parts = salted.groupBy(key, "__salt").agg(F.count(F.lit(1)).alias("__n")).withColumn(
+        "__range", F.when(k.isNull(), F.lit(-1)).otherwise(_range_of(k, cuts))
     )
-    # One row per partition reaches the driver.
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
+    # A row per range; the driver adds them up.
+    sizes = parts.groupBy("__range").agg(F.sum("__n").alias("n")).orderBy("__range").collect()
     before = [0, *accumulate(r["n"] for r in sizes)][: len(sizes)]
     offsets = df.sparkSession.createDataFrame(
-        [(r["__part"], b) for r, b in zip(sizes, before)], "__part bigint, __before bigint"
+        [(r["__range"], b) for r, b in zip(sizes, before)], "__range int, __before bigint"
+    )
+    earlier = Window.partitionBy("__range").orderBy(k.asc_nulls_first(), "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(offsets, "__range").select(
+        key, "__salt", (F.col("__start") + F.col("__before")).alias("__start")
     )
-    return ranged.join(offsets, "__part").withColumn(
-        out, F.col("__before") + F.col("__pos") + 1
-    ).drop("__part", "__pos", "__before")
+    within = F.row_number().over(Window.partitionBy(key, "__salt").orderBy(F.lit(1)))
+    numbered = null_safe_join(salted.withColumn("__pos", within), starts, [key, "__salt"])
+    return numbered.withColumn(out, F.col("__start") + F.col("__pos")).drop("__pos", "__start", "__salt")
 
 
 def batch_id(row_id: Column, limit: int = V.BATCH_LIMIT) -> Column:
@@ -124,17 +145,14 @@ def argmin(df: DataFrame, keys: list[str], value: str, order: str, columns: list
     return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(pick.alias("__p")).select(*keys, "__p.*")
 
 
+def sample_order(key: Column, seed: int) -> Column:
+    """Text that orders rows at random, the same way in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """`n` rows at random, the same ones for the same seed.
 
-    Rows are ordered by a hash of their key.  A cut on the hash that leaves just
-    over `n` rows comes first, so the final ordering sees no more than those.
+    Rows are ordered by a hash of their key; each task keeps its first `n`.
     """
-    mark = F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit((1 << 62) - 1))
-    rows = df.withColumn("__h", mark)
-    total = df.count()
-    cut = int((1 << 62) * min(1.0, (n + 8 * n**0.5 + 64) / max(total, 1)))
-    few = rows.filter(F.col("__h") < cut)
-    if cut < (1 << 62) and few.count() < n:
-        few = rows
-    return few.orderBy("__h", key).limit(n).drop("__h")
+    return df.orderBy(sample_order(F.col(key), seed), key).limit(n)

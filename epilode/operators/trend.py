@@ -189,51 +189,86 @@ def trend_support(df: DataFrame, keys: list[str], date: str, value: str) -> Data
     )
 
 
+def _types(df: DataFrame, keys: list[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
+    return ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+
+def _sums(pdf: pd.DataFrame) -> list[np.ndarray]:
+    pdf = pdf.sort_values("day")
+    return [pdf[c].to_numpy(dtype=float) for c in ("day", "n", "s", "ss", "sl")]
+
+
+def choose_model(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The basis size whose working residuals vary least per group, the smaller one on a tie.
+
+    candidates(*keys, k, resid_sd).
+    """
+    best = F.min_by("k", F.struct(F.round("resid_sd", 12), "k"))
+    return candidates.groupBy(*keys).agg(best.alias("k"))
+
+
 def fit_trends(df: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
-    """Chosen model per group: one row with its coefficients."""
-    support = cut_lineage(trend_support(df, keys, date, value).filter("status = 'ok'"), "trend_support")
+    """Chosen model per group: one row with its coefficients and a `status`.
+
+    Every group has a row.  `ok` rows hold a model; `insufficient` groups have too few
+    usable samples, and those `without enough days` too few days once outliers are gone.
+    Candidates only return their score; the chosen one is fitted again.
+    """
+    support = cut_lineage(trend_support(df, keys, date, value), "trend_support")
     v = F.col(value).cast("double")
-    daily = (
+    daily = cut_lineage(
         drop_outliers(df, keys, value)
         .groupBy(*keys, F.datediff(date, F.lit("1970-01-01")).alias("day"))
         .agg(
             F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
             F.sum(F.when(v > 0, v * F.log(v)).otherwise(0.0)).alias("sl"),
-        )
+        ),
+        "daily_sums",
     )
-    sizes = support.select(*keys, F.explode(F.sequence(F.lit(K_MIN), "k_max")).alias("k"))
-    tasks = null_safe_join(daily, sizes, keys, "inner")
-    types = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + _MODEL
+    enough = support.filter("status = 'ok'")
+    sizes = enough.select(*keys, F.explode(F.sequence(F.lit(K_MIN), "k_max")).alias("k"))
+    cols = _types(df, keys)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        cols = [pdf[c].to_numpy(dtype=float) for c in ("day", "n", "s", "ss", "sl")]
-        k = int(pdf["k"].iloc[0])
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, sums = int(pdf["k"].iloc[0]), _sums(pdf)
         if len(pdf) < k:
-            return pd.DataFrame(columns=[*keys, *[c.split()[0] for c in _MODEL.split(", ")]])
+            return pd.DataFrame(columns=[*keys, "k", "resid_sd"])
+        return pdf[keys].head(1).assign(k=k, resid_sd=fit_smooth(*sums, k)["resid_sd"])
+
+    candidates = null_safe_join(daily, sizes, keys, "inner").groupBy(*keys, "k").applyInPandas(
+        score, f"{cols}, k int, resid_sd double"
+    )
+    chosen = cut_lineage(choose_model(candidates, keys), "chosen_sizes")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         row = {key: pdf[key].iloc[0] for key in keys}
-        return pd.DataFrame([{**row, **fit_smooth(*cols, k)}])
+        return pd.DataFrame([{**row, **fit_smooth(*_sums(pdf), int(pdf["k"].iloc[0]))}])
 
-    models = tasks.groupBy(*keys, "k").applyInPandas(fit, schema)
-    names = [c.split()[0] for c in _MODEL.split(", ")]
-    best = F.min_by(F.struct(*names), F.struct(F.round("resid_sd", 12), "k"))
-    return models.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.*")
+    models = null_safe_join(daily, chosen, keys, "inner").groupBy(*keys).applyInPandas(fit, f"{cols}, {_MODEL}")
+    status = F.when((F.col("status") == "ok") & F.col("k").isNull(), F.lit("without enough days")).otherwise(F.col("status"))
+    return null_safe_join(support.select(*keys, "status"), models, keys).withColumn("status", status)
 
 
 def trend_curve(df: DataFrame, keys: list[str], date: str, value: str, conf_level: float = 0.95,
                 models: DataFrame | None = None) -> DataFrame:
-    """Prediction, one-day slope of the log trend and its interval on sample days."""
+    """Prediction, one-day slope of the log trend and its interval on sample days.
+
+    A group without a model comes back as one row without a day, whose `status` says why.
+    Each model meets its group's days once.
+    """
     models = cut_lineage(fit_trends(df, keys, date, value), "trend_models") if models is None else models
-    days = df.select(*keys, F.col(date).alias("__date")).distinct()
-    rows = null_safe_join(days, models, keys, "inner")
-    types = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
-    cols = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    schema = f"{cols}, `{date}` date, pred double, fst_deriv double, fst_deriv_ul double, fst_deriv_ll double"
+    days = df.select(*keys, F.col(date).cast("date").alias("__date")).distinct()
+    numbers = ["pred", "fst_deriv", "fst_deriv_ul", "fst_deriv_ll"]
+    schema = f"{_types(df, keys)}, `{date}` date, {', '.join(f'{n} double' for n in numbers)}, status string"
     width = NormalDist().inv_cdf(1 - (1 - conf_level) / 2)
 
-    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = pdf.iloc[0]
+    def predict(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if found.empty:
+            return pd.DataFrame(columns=[*keys, date, *numbers, "status"])
+        model = found.iloc[0]
+        if model["status"] != "ok":
+            return found[keys].head(1).assign(**{date: None, **dict.fromkeys(numbers, np.nan), "status": model["status"]})
         day = (pd.to_datetime(pdf["__date"]) - pd.Timestamp("1970-01-01")).dt.days.to_numpy(dtype=float)
         now, after = _smooth_at(model, day), _smooth_at(model, day + 1)
         coef = np.asarray(model["coef"], dtype=float)
@@ -245,9 +280,11 @@ def trend_curve(df: DataFrame, keys: list[str], date: str, value: str, conf_leve
         out[date] = pdf["__date"]
         out["pred"] = np.exp(now @ coef)
         out["fst_deriv"], out["fst_deriv_ul"], out["fst_deriv_ll"] = slope, slope + width * se, slope - width * se
+        out["status"] = "ok"
         return out
 
-    return rows.groupBy(*keys).applyInPandas(predict, schema)
+    curves = days.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(predict, schema)
+    return curves.replace(float("nan"), None, subset=numbers)
 
 
 def trend_column_names(target: str) -> dict[str, str]:
@@ -268,4 +305,4 @@ def wide_trends(curves: DataFrame, keys: list[str], date: str, target: str, targ
         for t in targets
         for c, name in trend_column_names(t).items()
     ]
-    return curves.groupBy(*keys, date).agg(*aggs)
+    return curves.filter(F.col(date).isNotNull()).groupBy(*keys, date).agg(*aggs)

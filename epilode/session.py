@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +31,11 @@ def build_session(app: str = "epilode", master: str | None = None, **conf: str)
 def work_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    A cluster names it in `spark.checkpoint.dir`.  Only a local master may fall
-    back to a folder of this machine, since there every task sees it.
+    A cluster names it in `spark.checkpoint.dir`.  Where that is unset, a folder in the
+    warehouse serves, which driver and executors share by definition.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="epilode-"))
-    return spark.sparkContext.getCheckpointDir()
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

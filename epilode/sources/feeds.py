@@ -28,7 +28,7 @@ def details_rows(landed: DataFrame, payload: str, fields: str, keys: list[str],
     details = F.from_json(text, f"struct<dataDetails:array<{row}>>")["dataDetails"]
 
     # The header line decides which cell is which field.
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.length(x) > 0)
+    lines = F.filter(F.split(_guarded(text), r"\r?\n"), lambda x: F.length(x) > 0)
     head = _cells(F.element_at(lines, 1))
 
     table = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), _cells)
@@ -60,13 +60,35 @@ def details_rows(landed: DataFrame, payload: str, fields: str, keys: list[str],
     return landed.select(*keys, F.explode_outer(rows).alias("r")).filter("r IS NOT NULL").select(*keys, "r.*")
 
 
+# Stand for line ends inside quoted cells while lines are parted.
+_INNER_ENDS = (("\n", "\u0001"), ("\r", "\u0002"))
+
+
+def _guarded(text: Column) -> Column:
+    """Text whose quoted line ends are replaced: they lie in every second part between quotes."""
+    def guard(part: Column, i: Column) -> Column:
+        inner = part
+        for end, mark in _INNER_ENDS:
+            inner = F.replace(inner, F.lit(end), F.lit(mark))
+        return F.when(i % 2 == 1, inner).otherwise(part)
+
+    return F.array_join(F.transform(F.split(text, '"', -1), guard), '"')
+
+
+def _unguarded(cell: Column) -> Column:
+    for end, mark in _INNER_ENDS:
+        cell = F.replace(cell, F.lit(mark), F.lit(end))
+    return cell
+
+
 def _cells(line: Column) -> Column:
-    """Cells of one CSV line; quoted cells may hold commas and doubled quotes."""
+    """Cells of one CSV line; quoted cells may hold commas, line ends and doubled quotes."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
     return F.transform(
         raw,
         lambda x: F.when(
-            F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
+            F.startswith(x, F.lit('"')),
+            _unguarded(F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))),
         ).otherwise(x),
     )
 
@@ -82,17 +104,52 @@ def _types(fields: str) -> list[str]:
 def matrix_rows(landed: DataFrame, payload: str, keys: list[str], ids: list[str]) -> DataFrame:
     """Array-of-arrays responses, first row the header, to (keys, ids, variable, value).
 
-    The header differs from response to response, so columns become rows.
+    The header differs from response to response, so columns become rows.  A header name
+    may repeat; a row that is shorter than the header has no value for the rest.  Payloads
+    that can't be read give no rows here, but in `unreadable_payloads`.
     """
     parsed = landed.select(*keys, F.from_json(payload, "array<array<string>>").alias("m")).select(
         *keys, F.col("m")[0].alias("head"),
         F.posexplode_outer(F.slice("m", F.lit(2), F.size("m"))).alias("row_id", "row"),
     ).filter("row IS NOT NULL")
-    cells = parsed.withColumn("cells", F.map_from_arrays("head", "row"))
-    return cells.select(
-        *keys, "row_id", *[F.element_at("cells", i).alias(i) for i in ids],
-        F.explode_outer(F.map_filter("cells", lambda k, v: ~k.isin(ids))).alias("variable", "value"),
-    ).filter("variable IS NOT NULL")
+
+    def cell(name: str) -> Column:
+        place = F.array_position("head", F.lit(name)).cast("int")
+        return F.when(place > 0, F.get("row", place - 1)).alias(name)
+
+    cells = F.filter(
+        F.transform("head", lambda h, i: F.struct(h.alias("variable"), F.get("row", i).alias("value"))),
+        lambda c: ~c["variable"].isin(ids),
+    )
+    rows = parsed.select(*keys, "row_id", *[cell(i) for i in ids], F.explode_outer(cells).alias("c"))
+    return rows.filter("c.variable IS NOT NULL").select(*keys, "row_id", *ids, "c.variable", "c.value")
+
+
+def unreadable_payloads(landed: DataFrame, payload: str, keys: list[str], kind: str | None = None) -> DataFrame:
+    """(keys, reason) of the payloads that give no or only some of their rows.
+
+    With `kind`, payloads are those of `details_rows`, else those of `matrix_rows`.
+    """
+    text = F.col(payload)
+    missing = F.when(text.isNull() | (F.btrim(text) == ""), F.lit("empty"))
+    json = F.json_array_length(text)
+    if kind is None:
+        m = F.from_json(text, "array<array<string>>")
+        short = F.exists(F.slice(m, F.lit(2), F.greatest(F.size(m), F.lit(1))), lambda r: ~F.size(r).eqNullSafe(F.size(m[0])))
+        reason = (
+            missing.when(json.isNull() | m.isNull(), F.lit("not an array of rows"))
+            .when(F.size(m) == 0, F.lit("no header"))
+            .when(F.size(F.array_distinct(m[0])) < F.size(m[0]), F.lit("header names repeat"))
+            .when(short, F.lit("rows of another length than the header"))
+        )
+    else:
+        what = F.col(kind)
+        reason = (
+            missing.when(~F.coalesce(what.isin("details", "csv", "list"), F.lit(False)), F.lit("unknown kind"))
+            .when((what == "details") & F.get_json_object(text, "$.dataDetails").isNull(), F.lit("no dataDetails array"))
+            .when((what == "list") & json.isNull(), F.lit("not a list"))
+        )
+    return landed.select(*keys, reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 _BATCH = (

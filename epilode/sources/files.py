@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Files up to which their list is broadcast.
-_MANY_FILES = 50_000
-
 # Column names of the reference lists.
 CITIES = "city string, in_cook boolean"
 CITY_ZIPS = "zip string, city string"
@@ -57,37 +58,50 @@ def read_headerless(spark: SparkSession, path: str, names: list[str]) -> DataFra
 def read_report(spark: SparkSession, path: str, schema: str, skip: int = 3) -> DataFrame:
     """Report files with `skip` lines before the header, blank lines dropped.
 
-    Line numbers are only needed at the start of each file: the smallest row
-    number of a file's first split marks its first line.
+    The lines of a file's first split reach one task in order, which passes over the
+    leading ones: one scan, no join.
     """
     lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    starts = lines.filter("block = 0").groupBy("file").agg(F.min("row").alias("first"))
-    if len(lines.inputFiles()) <= _MANY_FILES:
-        starts = F.broadcast(starts)  # one small row per file
-    body = lines.join(starts, "file").filter(
-        (F.col("block") > 0) | (F.col("row") - F.col("first") > skip)
-    ).filter(F.length(F.btrim("value")) > 0)
-    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: dict[str, int] = {}
+        for batch in batches:
+            files = batch.column(1).dictionary_encode()
+            names, codes = files.dictionary.to_pylist(), files.indices.to_numpy()
+            keep = np.ones(batch.num_rows, dtype=bool)
+            head = batch.column(2).to_numpy() == 0
+            for code, name in enumerate(names):
+                left = skip + 1 - passed.get(name, 0)
+                if left > 0:
+                    mine = np.flatnonzero(head & (codes == code))
+                    keep[mine[:left]] = False
+                    passed[name] = passed.get(name, 0) + len(mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["value"])
+
+    rows = lines.mapInArrow(body, "value string").filter(F.length(F.btrim("value")) > 0)
+    return rows.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def latest_files(spark: SparkSession, folder: str, pattern: str, extension: str = "xlsx", num: int = 1) -> DataFrame:
-    """Newest `num` files whose name matches `pattern.*extension$`, oldest first.
+    """Newest `num` extracts in a folder whose name matches `pattern.*extension$`, oldest first.
 
+    An extract is a file, or a folder of part files, which is as new as its newest part.
     Reads file metadata only; times are compared as times.
     """
-    files = (
-        spark.read.format("binaryFile").load(folder)
-        .select("path", "modificationTime", "length")
-        .withColumn("name", F.element_at(F.split("path", "/"), -1))
-        .filter(F.col("name").rlike(f"{pattern}.*{extension}$"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
+        "path", "modificationTime", "length"
+    )
+    # The part of the path that follows the folder's own name.
+    below = F.substring_index("path", f"/{folder.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    named = files.withColumn("name", F.substring_index(below, "/", 1)).filter(F.col("name").rlike(f"{pattern}.*{extension}$"))
+    whole = named.groupBy("name").agg(
+        F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"),
     )
-    newest = files.orderBy(F.col("modificationTime").desc(), F.col("name").desc()).limit(num)
-    return newest.orderBy("modificationTime", "name").select("name", "path", "length", "modificationTime")
+    newest = whole.orderBy(F.col("modificationTime").desc(), F.col("name").desc()).limit(num)
+    path = F.concat(F.lit(f"{folder.rstrip('/')}/"), "name")
+    return newest.orderBy("modificationTime", "name").select("name", path.alias("path"), "length", "modificationTime")
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> str:

@@ -11,7 +11,22 @@ from epilode.operators.spatial import reproject
 HOME_SRID = 3435
 
 
-def _decoded(stored: DataFrame, srid: int, source: int) -> DataFrame:
+def layer_srid(layer: DataFrame, default: int = HOME_SRID) -> int:
+    """The one reference system that a layer's `srid` column names.
+
+    A layer without the column, or without rows, is in the default system; a layer that
+    names several, or leaves some rows without one, is refused.
+    """
+    if "srid" not in layer.columns:
+        return default
+    found = [r["srid"] for r in layer.select("srid").distinct().limit(2).collect()]
+    if len(found) > 1 or None in found:
+        raise ValueError(f"the layer has no single reference system: {found}")
+    return found[0] if found else default
+
+
+def _decoded(stored: DataFrame, srid: int, source: int | None) -> DataFrame:
+    source = layer_srid(stored) if source is None else source
     layer = stored.withColumn("geom", G.from_wkb(F.col("geom_wkb"))).drop("geom_wkb")
     return reproject(layer, source, srid)
 
@@ -19,32 +34,42 @@ def _decoded(stored: DataFrame, srid: int, source: int) -> DataFrame:
 def read_layer(spark: SparkSession, table: str, schema: str = "ref", srid: int = HOME_SRID) -> DataFrame:
     """Layer from a catalog table, in the wanted reference system.
 
-    Tables hold the home system, in which `write_layer` stores them.
+    The table's `srid` column says which system it holds.
     """
-    return _decoded(spark.read.table(f"{schema}.{table}" if schema else table), srid, HOME_SRID)
+    return _decoded(spark.read.table(f"{schema}.{table}" if schema else table), srid, None)
 
 
-def read_layer_path(spark: SparkSession, path: str, srid: int = HOME_SRID, stored: int = HOME_SRID) -> DataFrame:
-    """Layer from Parquet files."""
+def read_layer_path(spark: SparkSession, path: str, srid: int = HOME_SRID, stored: int | None = None) -> DataFrame:
+    """Layer from Parquet files, stored in the system that `stored` or their `srid` column names."""
     return _decoded(spark.read.parquet(path), srid, stored)
 
 
 def read_layer_jdbc(spark: SparkSession, url: str, table: str, schema: str = "ref", srid: int = HOME_SRID,
-                    columns: str = "*", **options: str) -> DataFrame:
-    """Layer from a spatial database, its shape column sent as binary."""
-    query = f"SELECT {columns}, geom.STAsBinary() AS geom_wkb FROM {schema}.{table}"
-    stored = spark.read.format("jdbc").options(url=url, query=query, **options).load().drop("geom")
-    return _decoded(stored.withColumn("srid", F.lit(HOME_SRID)), srid, HOME_SRID)
+                    columns: str = "*", bounds: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """Layer from a spatial database, its shape column sent as binary.
+
+    `bounds` (numeric column, least value, greatest value, parts) reads the table in
+    parts; without it one task reads everything.
+    """
+    rows = f"SELECT {columns}, geom.STAsBinary() AS geom_wkb, geom.STSrid AS srid FROM {schema}.{table}"
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({rows}) AS layer", **options)
+    if bounds:
+        names = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+        reader = reader.options(**{n: str(v) for n, v in zip(names, bounds)})
+    return _decoded(reader.load().drop("geom"), srid, None)
 
 
-def _encoded(layer: DataFrame, srid: int, source: int) -> DataFrame:
-    moved = reproject(layer, source, srid)
+def _encoded(layer: DataFrame, srid: int, source: int | None) -> DataFrame:
+    moved = reproject(layer, layer_srid(layer) if source is None else source, srid)
     return moved.withColumn("geom_wkb", G.to_wkb(F.col("geom"))).drop("geom")
 
 
 def write_layer(layer: DataFrame, table: str, schema: str = "ref", srid: int = HOME_SRID,
-                source: int = HOME_SRID) -> DataFrame:
-    """Overwrite a catalog table with the layer; returns its stored shapes."""
+                source: int | None = None) -> DataFrame:
+    """Overwrite a catalog table with the layer; returns its stored shapes.
+
+    The layer is in the system that its `srid` column names, unless `source` does.
+    """
     spark = layer.sparkSession
     name = f"{schema}.{table}" if schema else table
     if schema:
@@ -53,7 +78,7 @@ def write_layer(layer: DataFrame, table: str, schema: str = "ref", srid: int = H
     return spark.read.table(name).select("geom_wkb", "srid")
 
 
-def write_layer_path(layer: DataFrame, path: str, srid: int = HOME_SRID, source: int = HOME_SRID) -> str:
+def write_layer_path(layer: DataFrame, path: str, srid: int = HOME_SRID, source: int | None = None) -> str:
     """Write the layer as Parquet files."""
     _encoded(layer, srid, source).write.mode("overwrite").parquet(path)
     return path

@@ -61,7 +61,7 @@ def test_first_row_is_cut_before_the_shuffle(spark):
     assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
 
 
-@pytest.mark.parametrize("name", ["win_group_mean", "win_share", "agg_median_sd", "agg_freq_pct", "win_batch_id", "win_next_level"])
+@pytest.mark.parametrize("name", ["win_group_mean", "win_share", "agg_median_sd", "agg_freq_pct", "win_batch_id"])
 def test_no_window_over_everything(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange SinglePartition" not in plan.replace("ENSURE_REQUIREMENTS, [plan_id", "") or "Window" not in plan
