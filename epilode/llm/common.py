@@ -14,14 +14,26 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
 
+#: Bytes of an Arrow batch; texts may be long, and a worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """`mapInArrow` with batches of at most about `BATCH_BYTES`, from here on in the session."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) != str(BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, schema: pa.Schema, rows: Callable[[pa.RecordBatch], list[tuple] | pa.RecordBatch]) -> DataFrame:
-    """`mapInArrow` with a function from a batch to row tuples (or a batch) of `schema`."""
+    """A map with a function from a batch to row tuples (or a batch) of `schema`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield as_batch(rows(batch), schema)
 
-    return df.mapInArrow(run, from_arrow_schema(schema))
+    return map_batches(df, run, from_arrow_schema(schema))
 
 
 def as_batch(rows: list[tuple] | pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
@@ -66,4 +78,4 @@ def add_column(
             new = pa.array(values(*(c.to_pylist() for c in columns[count:])), kind)
             yield pa.RecordBatch.from_arrays([*columns[:count], new], names=[f"c{i}" for i in range(count + 1)])
 
-    return df.select(*numbered).mapInArrow(run, schema).toDF(*names, into)
+    return map_batches(df.select(*numbered), run, schema).toDF(*names, into)

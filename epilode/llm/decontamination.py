@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 
-from epilode.llm.common import add_column, arrow_map, as_batch
+from epilode.llm.common import add_column, arrow_map, as_batch, map_batches
 from epilode.session import cut_lineage
 
 WINDOW = 10
@@ -226,7 +226,7 @@ def _frequencies(docs: DataFrame, index: WindowIndex) -> dict[int, int]:
         some = np.flatnonzero(counts)
         yield as_batch(list(zip(shared.value.known[some].tolist(), counts[some].tolist())), schema)
 
-    partial = docs.mapInArrow(run, from_arrow_schema(schema))
+    partial = map_batches(docs, run, from_arrow_schema(schema))
     return {r.code: r.n for r in partial.groupBy("code").agg(F.sum("n").alias("n")).collect()}
 
 

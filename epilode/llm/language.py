@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from epilode.llm.common import add_column, as_batch
+from epilode.llm.common import add_column, as_batch, map_batches
 from epilode.session import cut_lineage
 
 #: Documents per language that the model is fitted on, in expectation.
@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 _MARK = "▁"
 _LONGEST_PIECE = 16
 _LONGEST_WORD = 32  # longer ones are scored on their own, and not learned from
-_REMEMBERED = 800_000
+_REMEMBERED = 300_000
 _GROUP = 1 << 20  # characters of text whose new words are scored together
 _UNKNOWN = 1e-7  # probability of a letter that no piece holds, in every language
 _SMOOTHING = 0.01
@@ -266,7 +266,7 @@ def train(
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield as_batch([(lang, w) for w in words_of(text) if len(w) <= _LONGEST_WORD], schema)
 
-    found = chosen.mapInArrow(run, from_arrow_schema(schema))
+    found = map_batches(chosen, run, from_arrow_schema(schema))
     counts = cut_lineage(found.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
     pieces = vocabulary(vocabulary_path)
@@ -285,7 +285,7 @@ def train(
             piece, lang = np.nonzero(into[:-2])
             yield as_batch(list(zip(piece.tolist(), lang.tolist(), into[piece, lang].tolist())), sums)
 
-        expected = counts.select("lang", "word", "n").mapInArrow(expect, from_arrow_schema(sums))
+        expected = map_batches(counts.select("lang", "word", "n"), expect, from_arrow_schema(sums))
         # At most a row for each piece and language; rounded, since sums come in any order.
         total = expected.groupBy("piece", "lang").agg(F.round(F.sum("n"), 6).alias("n")).collect()
         table = np.full((len(pieces), len(languages)), _SMOOTHING)

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from epilode.llm.common import as_batch
+from epilode.llm.common import as_batch, map_batches
 from epilode.session import cut_lineage
 
 CAPACITY = 4096
 END = 1
 # Words whose ids a worker remembers; a full table is emptied, which costs time only.
-_REMEMBERED = 800_000
+_REMEMBERED = 500_000
 _JOINED = 1000  # new words encoded in one call
 _WORD_END = "</w>"
 _MARKS = r"[!-&(-/:-@\[-`{-~]"  # ASCII without letters, digits and the apostrophe
@@ -165,7 +165,7 @@ def tokenize(
                     out.append((key, piece, at // 4, length, zlib.crc32(cut), *([cut] if with_ids else []), part, place))
             yield as_batch(out, schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, from_arrow_schema(schema))
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, from_arrow_schema(schema))
 
 
 class CapacityTree:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 
-from epilode.llm.common import ASCII_LOWER, ASCII_UPPER, add_column, as_batch
+from epilode.llm.common import add_column, as_batch, ASCII_LOWER, ASCII_UPPER, map_batches
 from epilode.session import cut_lineage
 
 #: Rules that are broadcast at a time; more are tried in further passes.
@@ -119,7 +119,7 @@ def _frequencies(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
                     counts[token] = counts.get(token, 0) + 1
         yield as_batch(list(counts.items()), schema)
 
-    partial = urls.mapInArrow(run, from_arrow_schema(schema))
+    partial = map_batches(urls, run, from_arrow_schema(schema))
     return {r.token: r.n for r in partial.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
