@@ -11,7 +11,7 @@ from epilode.functions import fixed_values as V
 from epilode.functions.text import title_case
 from epilode.operators import matching as M
 from epilode.operators.joins import city_in_zip, single_city_zips
-from epilode.plans.town_matching import compare_methods, match_report, match_towns
+from epilode.plans.town_matching import match_report, match_towns, method_table
 
 _DIST = "round(1 - jaro_similarity(lower({0}), lower({1})), 12)"
 
@@ -87,27 +87,26 @@ _NORM_SQL = nested_rules(
 _BLANKS = ", ".join("'" + b + "'" for b in V.BLANK_TOWNS)
 
 
-@query(
-    "match_town",
-    f"""
-    WITH {LINE_TOWNS_SQL}, {LISTS_SQL},
-      keys AS (SELECT DISTINCT town, zip FROM dirty),
-      n AS (SELECT town, zip, CASE WHEN norm IN ({_BLANKS}) THEN NULL ELSE norm END AS norm
-            FROM (SELECT *, {_NORM_SQL} AS norm FROM keys)),
-      names AS (SELECT DISTINCT norm FROM n WHERE norm IS NOT NULL),
-      s AS (SELECT norm, city, in_cook, {_DIST.format('norm', 'city')} AS d,
-                   damerau_levenshtein(lower(norm), lower(city)) = 1 AS one FROM names, cities),
-      best AS (SELECT norm, min(d) AS any_d, arg_min(city, ROW(d, city)) AS any_city,
+def _ladder_sql(p: str, zip_code: str) -> str:
+    """Tables ending in `m{p}` (town, zip, clean, match_stage) for the towns of `dirty` with this zip."""
+    return f"""
+      keys{p} AS (SELECT DISTINCT town, {zip_code} AS zip FROM dirty),
+      n{p} AS (SELECT town, zip, CASE WHEN norm IN ({_BLANKS}) THEN NULL ELSE norm END AS norm
+            FROM (SELECT *, {_NORM_SQL} AS norm FROM keys{p})),
+      names{p} AS (SELECT DISTINCT norm FROM n{p} WHERE norm IS NOT NULL),
+      s{p} AS (SELECT norm, city, in_cook, {_DIST.format('norm', 'city')} AS d,
+                   damerau_levenshtein(lower(norm), lower(city)) = 1 AS one FROM names{p}, cities),
+      best{p} AS (SELECT norm, min(d) AS any_d, arg_min(city, ROW(d, city)) AS any_city,
                       min(d) FILTER (in_cook) AS cook_d, arg_min(city, ROW(d, city)) FILTER (in_cook) AS cook_city,
                       count(*) FILTER (one) AS n_one, min(city) FILTER (one) AS one_city
-               FROM s GROUP BY norm),
-      zs AS (SELECT n.norm, n.zip, c.city, {_DIST.format('n.norm', 'c.city')} AS d
-             FROM (SELECT DISTINCT norm, zip FROM n WHERE norm IS NOT NULL) n JOIN city_zips c ON n.zip = c.zip),
-      zb AS (SELECT norm, zip, arg_min(city, ROW(d, city)) AS zip_city FROM zs WHERE d <= 0.35 GROUP BY ALL),
-      ar AS (SELECT DISTINCT norm FROM names, areas WHERE {_DIST.format('norm', 'area')} <= 0.2),
-      az AS (SELECT DISTINCT zip FROM city_zips WHERE city = '{ANCHOR}'),
-      one_zip AS (SELECT zip, min(city) AS only_city FROM city_zips GROUP BY zip HAVING count(*) = 1),
-      st AS (SELECT n.town, n.zip, n.norm, any_city, cook_city, one_city, zip_city, only_city,
+               FROM s{p} GROUP BY norm),
+      zs{p} AS (SELECT n.norm, n.zip, c.city, {_DIST.format('n.norm', 'c.city')} AS d
+             FROM (SELECT DISTINCT norm, zip FROM n{p} WHERE norm IS NOT NULL) n JOIN city_zips c ON n.zip = c.zip),
+      zb{p} AS (SELECT norm, zip, arg_min(city, ROW(d, city)) AS zip_city FROM zs{p} WHERE d <= 0.35 GROUP BY ALL),
+      ar{p} AS (SELECT DISTINCT norm FROM names{p}, areas WHERE {_DIST.format('norm', 'area')} <= 0.2),
+      az{p} AS (SELECT DISTINCT zip FROM city_zips WHERE city = '{ANCHOR}'),
+      one_zip{p} AS (SELECT zip, min(city) AS only_city FROM city_zips GROUP BY zip HAVING count(*) = 1),
+      st{p} AS (SELECT n.town, n.zip, n.norm, any_city, cook_city, one_city, zip_city, only_city,
                CASE WHEN n.norm IS NULL THEN 0
                     WHEN n.norm IN (SELECT city FROM cities) THEN 1
                     WHEN n.norm IN (SELECT area FROM areas) THEN 2
@@ -120,12 +119,19 @@ _BLANKS = ", ".join("'" + b + "'" for b in V.BLANK_TOWNS)
                     WHEN only_city IS NOT NULL THEN 8
                     WHEN any_d <= 0.2 THEN 9
                     ELSE 10 END AS code
-             FROM n LEFT JOIN best ON n.norm = best.norm LEFT JOIN zb ON n.norm = zb.norm AND n.zip = zb.zip
-                    LEFT JOIN ar ON n.norm = ar.norm LEFT JOIN az ON n.zip = az.zip LEFT JOIN one_zip ON n.zip = one_zip.zip),
-      m AS (SELECT town, zip,
+             FROM n{p} n LEFT JOIN best{p} best ON n.norm = best.norm LEFT JOIN zb{p} zb ON n.norm = zb.norm AND n.zip = zb.zip
+                    LEFT JOIN ar{p} ar ON n.norm = ar.norm LEFT JOIN az{p} az ON n.zip = az.zip
+                    LEFT JOIN one_zip{p} one_zip ON n.zip = one_zip.zip),
+      m{p} AS (SELECT town, zip,
               CASE code WHEN 1 THEN norm WHEN 2 THEN '{ANCHOR}' WHEN 33 THEN '{ANCHOR}' WHEN 3 THEN zip_city WHEN 4 THEN any_city
                         WHEN 5 THEN one_city WHEN 6 THEN any_city WHEN 7 THEN cook_city WHEN 8 THEN only_city WHEN 9 THEN any_city END AS clean,
-              CAST(CASE code WHEN 33 THEN 3 WHEN 66 THEN 6 ELSE code END AS INTEGER) AS match_stage FROM st)
+              CAST(CASE code WHEN 33 THEN 3 WHEN 66 THEN 6 ELSE code END AS INTEGER) AS match_stage FROM st{p})"""
+
+
+@query(
+    "match_town",
+    f"""
+    WITH {LINE_TOWNS_SQL}, {LISTS_SQL}, {_ladder_sql('', 'zip')}
     SELECT l_orderkey, l_linenumber, l_partkey, dirty.town, dirty.zip, clean, match_stage
     FROM dirty JOIN m ON dirty.town IS NOT DISTINCT FROM m.town AND dirty.zip IS NOT DISTINCT FROM m.zip
     """,
@@ -134,13 +140,24 @@ def _match_town(t):
     return match_towns(line_towns(t), "town", "zip", gazetteer(t), anchor=ANCHOR)
 
 
-def _method_sql(measure: str, method: str) -> str:
+_MEASURES = {
+    "jw": "round(1 - jaro_similarity(name, city), 12)",
+    "cosine": f"round({cosine_sql('name', 'city')}, 12)",
+    "osa": "damerau_levenshtein(name, city)",
+}
+
+
+def _method_sql(method: str) -> str:
+    measure = _MEASURES[method]
     return f"""
       free_{method} AS (SELECT name, arg_min(city, ROW({measure}, city)) AS m
                FROM (SELECT DISTINCT name FROM k WHERE name IS NOT NULL), cities GROUP BY name),
       zip_{method} AS (SELECT name, k.zip, arg_min(city, ROW({measure}, city)) AS m
               FROM (SELECT DISTINCT name, zip FROM k WHERE name IS NOT NULL) k JOIN city_zips ON k.zip = city_zips.zip
-              GROUP BY name, k.zip)"""
+              GROUP BY name, k.zip),
+      with_{method} AS (SELECT f.town, f.zip, CASE WHEN is_area AND (has_anchor OR coalesce(listed, FALSE) = FALSE) THEN '{ANCHOR}'
+              WHEN listed THEN z.m ELSE a.m END AS with_zip, CASE WHEN is_area THEN '{ANCHOR}' ELSE a.m END AS without
+              FROM f LEFT JOIN zip_{method} z ON f.name = z.name AND f.zip = z.zip LEFT JOIN free_{method} a ON f.name = a.name)"""
 
 
 @query(
@@ -148,35 +165,56 @@ def _method_sql(measure: str, method: str) -> str:
     f"""
     WITH {PART_TOWNS_SQL}, {LISTS_SQL},
       k AS (SELECT DISTINCT town, zip, {title_sql('town')} AS name FROM dirty),
-      {_method_sql('round(1 - jaro_similarity(name, city), 12)', 'jw')},
-      {_method_sql(f"round({cosine_sql('name', 'city')}, 12)", 'cosine')},
       f AS (SELECT k.*, k.zip IN (SELECT zip FROM city_zips) AS listed,
                    name IN (SELECT area FROM areas) AS is_area,
-                   k.zip IN (SELECT zip FROM city_zips WHERE city = '{ANCHOR}') AS has_anchor FROM k)
-    SELECT f.town, f.zip,
-           CASE WHEN is_area AND (has_anchor OR coalesce(listed, FALSE) = FALSE) THEN '{ANCHOR}'
-                WHEN listed THEN zj.m ELSE fj.m END AS jw,
-           CASE WHEN is_area AND (has_anchor OR coalesce(listed, FALSE) = FALSE) THEN '{ANCHOR}'
-                WHEN listed THEN zc.m ELSE fc.m END AS cosine
-    FROM f LEFT JOIN zip_jw zj ON f.name = zj.name AND f.zip = zj.zip LEFT JOIN free_jw fj ON f.name = fj.name
-           LEFT JOIN zip_cosine zc ON f.name = zc.name AND f.zip = zc.zip LEFT JOIN free_cosine fc ON f.name = fc.name
+                   k.zip IN (SELECT zip FROM city_zips WHERE city = '{ANCHOR}') AS has_anchor FROM k),
+      {_method_sql('jw')}, {_method_sql('cosine')}, {_method_sql('osa')},
+      r AS (SELECT f.town, f.zip, f.name, j.with_zip AS jw, j.without AS jw_all, c.with_zip AS cosine, c.without AS cosine_all,
+                   o.with_zip AS osa, o.without AS osa_all
+            FROM f JOIN with_jw j ON f.town IS NOT DISTINCT FROM j.town AND f.zip IS NOT DISTINCT FROM j.zip
+                   JOIN with_cosine c ON f.town IS NOT DISTINCT FROM c.town AND f.zip IS NOT DISTINCT FROM c.zip
+                   JOIN with_osa o ON f.town IS NOT DISTINCT FROM o.town AND f.zip IS NOT DISTINCT FROM o.zip)
+    SELECT town, zip, jw, jw_all, cosine, cosine_all, osa, osa_all, round(1 - jaro_similarity(name, jw_all), 9) AS jw_dist,
+           round({cosine_sql('name', 'jw_all')}, 9) AS cos_dist FROM r
     """,
 )
 def _methods(t):
-    rows, gaz = part_towns(t), gazetteer(t)
-    jw = compare_methods(rows, "town", "zip", gaz, "jw", ANCHOR).withColumnRenamed("match", "jw")
-    cos = compare_methods(rows, "town", "zip", gaz, "cosine", ANCHOR).withColumnsRenamed(
-        {"match": "cosine", "town": "t2", "zip": "z2"}
-    )
-    return jw.join(cos, F.col("town").eqNullSafe(F.col("t2")) & F.col("zip").eqNullSafe(F.col("z2"))).drop("t2", "z2")
+    rows = method_table(part_towns(t), "town", "zip", gazetteer(t), ANCHOR)
+    return rows.withColumns({c: F.round(c, 9) for c in ("jw_dist", "cos_dist")})
+
+
+_WORDS_SQL = """
+    words AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) > 3),
+    items AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) > 3)
+"""
+
+
+@query(
+    "match_closest_words",
+    f"""
+    WITH {_WORDS_SQL},
+      s AS (SELECT items.w AS name, words.w AS match, round(1 - jaro_similarity(items.w, words.w), 12) AS d FROM items, words)
+    SELECT name, arg_min(match, ROW(d, match)) AS match, round(min(d), 9) AS distance FROM s WHERE d <= 0.2 GROUP BY name
+    """,
+)
+def _closest_words(t):
+    """The words of the benchmark against those of the documents, whose number grows with them."""
+    def words(df):
+        found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+        return df.select(found.alias("w")).distinct().filter("length(w) > 3")
+
+    known = words(t.documents).select("w", F.col("w").alias("ordinal"))
+    found = M.closest(words(t.benchmark), "w", known, "w", "ordinal", 0.2)
+    return found.withColumn("distance", F.round("distance", 9))
 
 
 @query(
     "match_report",
     f"""
-    WITH {PART_TOWNS_SQL}, {LISTS_SQL},
-      r AS (SELECT *, CASE WHEN town IS NULL OR zip IS NULL THEN NULL ELSE {title_sql('p_name')} END AS wz,
-                   CASE WHEN town IS NULL OR p_partkey % 5 = 0 THEN NULL ELSE {title_sql('town')} END AS nz FROM dirty)
+    WITH {PART_TOWNS_SQL}, {LISTS_SQL}, {_ladder_sql('', 'zip')}, {_ladder_sql('2', 'CAST(NULL AS VARCHAR)')},
+      r AS (SELECT p_partkey, dirty.town, dirty.zip, m.clean AS wz, m2.clean AS nz FROM dirty
+            JOIN m ON dirty.town IS NOT DISTINCT FROM m.town AND dirty.zip IS NOT DISTINCT FROM m.zip
+            JOIN m2 ON dirty.town IS NOT DISTINCT FROM m2.town)
     SELECT p_partkey, wz AS clean_city_zip, nz AS clean_city,
            CASE WHEN wz IS NOT NULL AND r.zip IS NOT NULL THEN c.city IS NOT NULL END AS in_zip,
            coalesce(wz <> {title_sql('town')}, FALSE) OR (town IS NOT NULL AND wz IS NULL) AS changed,
@@ -188,14 +226,10 @@ def _methods(t):
     """,
 )
 def _report(t):
-    rows = part_towns(t)
-    missing = F.col("town").isNull()
-    answers = rows.select(
-        "p_partkey", "town", "zip",
-        F.when(missing | F.col("zip").isNull(), F.lit(None)).otherwise(title_case(F.col("p_name"))).alias("clean_city_zip"),
-        F.when(missing | (F.col("p_partkey") % 5 == 0), F.lit(None)).otherwise(title_case(F.col("town"))).alias("clean_city"),
-    )
-    flags = match_report(answers, "town", "zip", "clean_city_zip", "clean_city", gazetteer(t).city_zips)
+    gaz = gazetteer(t)
+    rows = match_towns(part_towns(t).drop("p_name"), "town", "zip", gaz, ANCHOR, "clean_city_zip", "stage")
+    answers = match_towns(rows.drop("stage"), "town", None, gaz, ANCHOR, "clean_city", "stage").drop("stage")
+    flags = match_report(answers, "town", "zip", "clean_city_zip", "clean_city", gaz.city_zips)
     return flags.select(
         "p_partkey", "clean_city_zip", "clean_city", "in_zip", "changed", "null_mismatch", "zip_matters",
         F.round("distance_with_zip", 9).alias("distance_with_zip"),

@@ -28,6 +28,13 @@ _LETTERS = "qjxzkvbywgpfmucdlhrsniotae "
 # Level of the first pass when no threshold is given.
 _NEAR = 0.25
 
+# Tokens that make a lookup key, and what parts them in it.
+_JOINED = 3
+_PART = "\u0001"
+
+# A Jaro distance from here on need not mean a shared character.
+_JARO_LIMIT = 2.0 / 3.0
+
 
 def _known(keys: Column) -> Column:
     """Key array that cannot be NULL.
@@ -42,7 +49,8 @@ def _tokens(text: Column) -> Column:
     """Characters with their occurrence number, rarest first.
 
     `anna` -> n2, a2, n1, a1 (in some fixed order): two texts share as many
-    tokens as they share characters, counted with repetition.
+    tokens as they share characters, counted with repetition.  An empty text has
+    one token of its own.
     """
     chars = D.characters(text)
     numbered = F.transform(
@@ -53,7 +61,27 @@ def _tokens(text: Column) -> Column:
             c.alias("c"),
         ),
     )
-    return _known(F.transform(F.array_sort(numbered), lambda t: F.concat(t["c"], F.abs(t["o"]).cast("string"))))
+    tokens = F.transform(F.array_sort(numbered), lambda t: F.concat(t["c"], F.abs(t["o"]).cast("string")))
+    return _known(F.when(text == "", F.array(F.lit(""))).otherwise(tokens))
+
+
+def _combinations(tokens: Column, size: Column) -> Column:
+    """All choices of `size` (up to `_JOINED`) tokens, in order, as texts."""
+    chosen = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    out = [chosen]
+    for _ in range(_JOINED - 1):
+        chosen = F.flatten(F.transform(
+            chosen,
+            lambda c: F.transform(
+                F.slice(tokens, c["i"] + 2, F.size(tokens)),
+                lambda t, j: F.struct(F.concat(c["t"], F.lit(_PART), t).alias("t"), (c["i"] + 1 + j).alias("i")),
+            ),
+        ))
+        out.append(chosen)
+    picked = out[-1]
+    for n, found in reversed(list(enumerate(out[:-1], 1))):
+        picked = F.when(size == n, found).otherwise(picked)
+    return F.transform(picked, lambda c: c["t"])
 
 
 def _overlap_needed(la: Column, lb: Column, threshold: float) -> Column:
@@ -61,8 +89,20 @@ def _overlap_needed(la: Column, lb: Column, threshold: float) -> Column:
 
     Similarity is at most (m/la + m/lb + 1)/3 for m shared characters.
     """
-    need = F.ceil((2.0 - 3.0 * threshold) * la * lb / (la + lb) - 1e-9)
-    return F.greatest(need, F.lit(1)).cast("int")
+    need = F.ceil(F.try_divide((2.0 - 3.0 * threshold) * la * lb, la + lb) - 1e-9)
+    # Two empty texts are equal.
+    return F.when(la + lb == 0, F.lit(0)).otherwise(F.greatest(need, F.lit(1))).cast("int")
+
+
+def _within_reach(a: Column, b: Column, la: Column, lb: Column, need: Column) -> Column:
+    """At least `need` characters of `a` have an equal one in `b` near enough for Jaro."""
+    reach = F.greatest(F.floor(F.greatest(la, lb) / 2) - 1, F.lit(0)).cast("int")
+
+    def met(i: Column) -> Column:
+        start = F.greatest(i - reach, F.lit(1))
+        return F.instr(F.substring(b, start, i + reach - start + 1), F.substring(a, i, F.lit(1))) > 0
+
+    return F.when(need == 0, F.lit(True)).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(la, F.lit(1))), met)) >= need)
 
 
 def _length_tokens(df: DataFrame, mine: str, other: str, known: Column, threshold: float) -> DataFrame:
@@ -70,8 +110,8 @@ def _length_tokens(df: DataFrame, mine: str, other: str, known: Column, threshol
 
     `known` holds the lengths that occur on the other side.
 
-    If two strings share o of their tokens, they share one among the first
-    len - o + 1 of each, in any common order.
+    If two strings share o of their tokens, they share s among the first
+    len - o + s of each, in any common order; all choices of s of these are keys.
     """
     need = _overlap_needed(F.col(mine), F.col(other), threshold)
     return (
@@ -79,8 +119,9 @@ def _length_tokens(df: DataFrame, mine: str, other: str, known: Column, threshol
         .withColumn(other, F.explode_outer("known"))
         .withColumn("need", need)
         .filter(F.col("need") <= F.least(F.col(mine), F.col(other)))
-        .withColumn("prefix", _known(F.slice("tokens", F.lit(1), F.col(mine) - F.col("need") + 1)))
-        .withColumn("token", F.explode_outer("prefix"))
+        .withColumn("joined", F.greatest(F.least("need", F.lit(_JOINED)), F.lit(1)))
+        .withColumn("prefix", _known(F.slice("tokens", F.lit(1), F.col(mine) - F.col("need") + F.col("joined"))))
+        .withColumn("token", F.explode_outer(_known(_combinations(F.col("prefix"), F.col("joined")))))
         .drop("known")
     )
 
@@ -94,24 +135,30 @@ def jaro_pairs(names: DataFrame, candidates: DataFrame, threshold: float) -> Dat
     """All (name, candidate) pairs within a Jaro distance, each once.
 
     `names(name)` and `candidates(candidate, ordinal, ...)` hold the strings to
-    compare as they are.  `threshold` must be below 2/3.
+    compare as they are.  `threshold` must be below 2/3, since beyond that two
+    texts need not share a character.
     """
+    return measured_pairs(names, candidates, threshold).filter(F.col("distance") <= threshold)
+
+
+def measured_pairs(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that may be within a Jaro distance, with their distance."""
+    if not threshold < _JARO_LIMIT:
+        raise ValueError(f"a Jaro threshold of {threshold} is not below 2/3")
     a = names.select("name", F.length("name").alias("la"), _tokens(F.col("name")).alias("tokens"))
     b = candidates.withColumn("lb", F.length("candidate")).withColumn("tokens", _tokens(F.col("candidate")))
     left = _length_tokens(a, "la", "lb", _lengths_of(b, "lb"), threshold)
-    right = _length_tokens(b, "lb", "la", _lengths_of(a, "la"), threshold).withColumnsRenamed({"tokens": "tokens_b", "prefix": "prefix_b"}).drop("need")
+    right = _length_tokens(b, "lb", "la", _lengths_of(a, "la"), threshold).withColumnsRenamed({"tokens": "tokens_b", "prefix": "prefix_b"}).drop("need", "joined")
     extra = [c for c in candidates.columns if c not in ("candidate", "ordinal")]
     # Written first: a short list is broadcast and the names stay where they are.
     met = left.join(cut_lineage(right, "candidate_index"), ["la", "lb", "token"]).filter(
-        # Prefixes keep the common order: count a pair at its first shared token.
-        (F.element_at(F.array_intersect("prefix", "prefix_b"), 1) == F.col("token"))
+        # Prefixes keep the common order: count a pair at its first shared key.
+        (F.array_join(F.slice(F.array_intersect("prefix", "prefix_b"), F.lit(1), F.col("joined")), _PART) == F.col("token"))
         & (F.size(F.array_intersect("tokens", "tokens_b")) >= F.col("need"))
+        & _within_reach(F.col("name"), F.col("candidate"), F.col("la"), F.col("lb"), F.col("need"))
+        & _within_reach(F.col("candidate"), F.col("name"), F.col("lb"), F.col("la"), F.col("need"))
     )
-    return (
-        met.select("name", "candidate", "ordinal", *extra)
-        .withColumn("distance", D.jaro(F.col("name"), F.col("candidate")))
-        .filter(F.col("distance") <= threshold)
-    )
+    return met.select("name", "candidate", "ordinal", *extra).withColumn("distance", D.jaro(F.col("name"), F.col("candidate")))
 
 
 def _best(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,13 +179,21 @@ def _folded(candidates: DataFrame, candidate: str, ordinal: str, fold: bool = Tr
 
 
 def closest(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ordinal: str,
-            threshold: float = 0.25) -> DataFrame:
-    """Nearest candidate by case-folded Jaro distance, if within the threshold.
+            threshold: float = 0.25, method: str = "jw") -> DataFrame:
+    """Nearest candidate by case-folded distance, if within the threshold.
 
-    Returns one row per distinct name that has a match: (name, match, distance).
+    `method` is `jw`, `osa` or `cosine`, as in `nearest`.  Returns one row per distinct
+    name that has a match: (name, match, distance).
     """
     names = df.select(F.lower(F.col(name)).alias("name")).filter("name is not null").distinct()
-    found = _best(jaro_pairs(names, _folded(candidates, candidate, ordinal), threshold), ["name"])
+    folded = _folded(candidates, candidate, ordinal)
+    if method == "jw":
+        found = _best(jaro_pairs(names, folded, threshold), ["name"])
+    else:
+        # The nearest by the folded text, given back as it stands in the list.
+        found = nearest(names, "name", folded, "candidate", "ordinal", method).filter(F.col("distance") <= threshold)
+        texts = folded.groupBy("candidate").agg(F.min_by("candidate_text", "ordinal").alias("text"))
+        found = found.join(texts, F.col("match") == F.col("candidate")).select("name", F.col("text").alias("match"), "distance")
     raw = df.select(F.col(name)).filter(F.col(name).isNotNull()).distinct()
     return raw.join(found, F.lower(raw[name]) == found["name"]).select(raw[name].alias("name"), "match", "distance")
 
@@ -251,33 +306,72 @@ def _sharing(names: DataFrame, candidates: DataFrame, keys) -> DataFrame:
     ).drop("key", "keys", "keys_b")
 
 
+def distance_of(method: str, p: float, bt: float, weight: tuple[float, float, float, float]):
+    """The distance of two columns by a method."""
+    if method == "jw":
+        return lambda a, b: D.jaro(a, b, p, bt)
+    if method == "osa":
+        return lambda a, b: D.osa(a, b, *weight)
+    if method == "cosine":
+        return D.cosine
+    raise ValueError(f"{method} is none of jw, osa, cosine")
+
+
+def _apart(la: Column, lb: Column, weight: tuple[float, float, float, float]) -> Column:
+    """Edit distance of texts without a common character, and a bound for all others."""
+    deletion, insertion, substitution, _ = weight
+    both = F.least(la, lb)
+    longer = F.greatest(la - lb, F.lit(0)) * deletion + F.greatest(lb - la, F.lit(0)) * insertion
+    return longer + both * min(substitution, deletion + insertion)
+
+
 def nearest(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ordinal: str,
-            method: str = "jw") -> DataFrame:
+            method: str = "jw", p: float = 0.0, bt: float = 0.0,
+            weight: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """Nearest candidate without a threshold and without case folding.
 
-    `method` is `jw` or `cosine`.  A first pass looks close by; only names it
-    leaves open meet every candidate with a character in common, and a name with
-    none gets the first of the list, since all its distances are one.
+    `method` is `jw` (with the prefix weight `p` above `bt`), `osa` (with the weights of
+    deletion, insertion, substitution and swap) or `cosine`.  A first pass looks close
+    by; only names it leaves open meet every candidate with a character in common.
+    Candidates without one are all at the distance one, or for `osa` at one that their
+    length tells, so the first of the list, or of each length, stands for them.
     Returns (name, match, distance) per distinct name.
     """
+    measure = distance_of(method, p, bt, weight)
     names = df.select(F.col(name).alias("name")).filter("name is not null").distinct()
     options = _folded(candidates, candidate, ordinal, fold=False)
+    near, level = None, _NEAR
     if method == "jw":
-        measure, near = D.jaro, jaro_pairs(names, options, _NEAR)
-    else:
-        measure = D.cosine
+        # A common prefix shortens a distance to this share of it at least.
+        near, level = measured_pairs(names, options, _NEAR), _NEAR * (1 - 4 * p)
+        near = near.withColumn("distance", measure(F.col("name"), F.col("candidate"))) if p else near
+    elif method == "cosine":
         near = _sharing(names, options, lambda t: _cosine_prefix(t, 1 - _NEAR)).withColumn(
-            "distance", D.cosine(F.col("name"), F.col("candidate"))
+            "distance", measure(F.col("name"), F.col("candidate"))
         )
+    elif min(weight) >= 1.0:
+        # Nothing but equal texts and those one edit away is within the least weight.
+        near = _sharing(names, options, edit_keys).withColumn("distance", measure(F.col("name"), F.col("candidate")))
+        level = min(weight)
     # The threshold comes after the aggregate, so each distance is computed once.
-    close = _best(near, ["name"]).filter(F.col("distance") <= _NEAR)
-    left_open = names.join(close, "name", "left_anti")
+    close = _best(near, ["name"]).filter(F.col("distance") <= level) if near is not None else None
+    left_open = names if close is None else names.join(close, "name", "left_anti")
     rest = _sharing(left_open, options, lambda t: F.array_sort(F.array_distinct(D.characters(t)))).withColumn(
         "distance", measure(F.col("name"), F.col("candidate"))
-    )
-    far = _best(rest, ["name"]).filter("distance < 1")
+    ).select("name", "candidate_text", "ordinal", "distance")
+    if method == "osa":
+        by_length = options.groupBy(F.length("candidate").alias("lb")).agg(
+            F.min_by("candidate_text", "ordinal").alias("candidate_text"), F.min("ordinal").alias("ordinal")
+        )
+        lengths = by_length.agg(F.collect_list(F.struct("lb", "candidate_text", "ordinal"))).scalar()
+        bounds = left_open.withColumn("o", F.explode(lengths)).select(
+            "name", "o.candidate_text", "o.ordinal", _apart(F.length("name"), F.col("o.lb"), weight).alias("distance")
+        )
+        far = _best(rest.unionByName(bounds), ["name"])
+    else:
+        far = _best(rest, ["name"]).filter("distance < 1")
     first = options.agg(F.min_by("candidate_text", "ordinal")).scalar()
-    found = close.unionByName(far)
+    found = far if close is None else close.unionByName(far)
     return names.join(found, "name", "left").select(
         "name",
         F.coalesce("match", first).alias("match"),

@@ -115,28 +115,65 @@ def cell_size(layer: DataFrame) -> float:
     return float(got) if got and got > 0 else 1.0
 
 
-def box_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str, size: float) -> DataFrame:
-    """Pairs whose bounding boxes meet (touching counts), each once.
+# Level of the finest grid; smaller extents count as this.
+_FINEST = -20
 
-    Boxes may share several cells; the pair is kept only in the cell that holds
-    the lower left corner of their overlap.
+
+def _level(extent: Column) -> Column:
+    """Least power of two (its exponent) that an extent does not exceed."""
+    return F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(2.0**_FINEST)))), F.lit(_FINEST)).cast("int")
+
+
+def _levels(rows: DataFrame) -> Column:
+    """All levels that occur, as a scalar: as many as there are orders of magnitude."""
+    return rows.agg(F.coalesce(F.collect_set("own"), F.array().cast("array<int>"))).scalar()
+
+
+def _cells_by_level(rows: DataFrame, others: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> DataFrame:
+    """One row per cell that a box touches, at its `own` level and all coarser ones of the other side.
+
+    A box is no wider than a cell of its own level, so it touches four at most.
     """
-    lb = left.select(F.col(left_id).alias("l"), G.bounds(F.col("geom")).alias("a"))
-    rb = right.select(F.col(right_id).alias("r"), G.bounds(F.col("geom")).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    lc = _by_cell(lb, a["x1"], a["y1"], a["x2"], a["y2"], size)
-    rc = _by_cell(rb, b["x1"], b["y1"], b["x2"], b["y2"], size)
-    return (
-        lc.join(rc, ["cx", "cy"])
-        .filter(
-            (a["x1"] <= b["x2"]) & (b["x1"] <= a["x2"]) & (a["y1"] <= b["y2"]) & (b["y1"] <= a["y2"])
-            & (F.col("cx") == F.floor(F.greatest(a["x1"], b["x1"]) / size))
-            & (F.col("cy") == F.floor(F.greatest(a["y1"], b["y1"]) / size))
-        )
-        .select("l", "r")
+    at = rows.withColumn("others", others).withColumn(
+        "level", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter("others", lambda v: v >= F.col("own")))))
+    ).drop("others")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    return at.withColumn("cx", F.explode(F.sequence(F.floor(x1 / size), F.floor(x2 / size)))).withColumn(
+        "cy", F.explode(F.sequence(F.floor(y1 / size), F.floor(y2 / size)))
     )
 
 
+def _meeting(left: DataFrame, right: DataFrame, a: list[Column], b: list[Column]) -> DataFrame:
+    """Rows of both sides whose boxes meet (touching counts), each pair once.
+
+    `left` and `right` carry their level as `own`; `a` and `b` are the boxes.  Two boxes
+    meet at the coarser of their levels, in the cell that holds the lower left corner of
+    their overlap.
+    """
+    lc = _cells_by_level(left, _levels(right), *a)
+    rc = _cells_by_level(right, _levels(left), *b).withColumnRenamed("own", "own_r")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    return lc.join(rc, ["level", "cx", "cy"]).filter(
+        (F.col("level") == F.greatest("own", "own_r"))
+        & (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+        & (F.col("cx") == F.floor(F.greatest(a[0], b[0]) / size))
+        & (F.col("cy") == F.floor(F.greatest(a[1], b[1]) / size))
+    )
+
+
+def box_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str) -> DataFrame:
+    """Pairs (l, r) whose bounding boxes meet (touching counts), each once."""
+    def boxes(layer: DataFrame, key: str, name: str) -> DataFrame:
+        rows = layer.select(F.col(key), G.bounds(F.col("geom")).alias("g")).select(
+            F.col(key).alias(name), *[F.col(f"g.{c}").alias(f"{name}{c}") for c in EDGE]
+        ).filter(F.col(f"{name}x1").isNotNull())
+        extent = F.greatest(F.col(f"{name}x2") - F.col(f"{name}x1"), F.col(f"{name}y2") - F.col(f"{name}y1"))
+        return rows.withColumn("own", _level(extent))
+
+    sides = [[F.col(f"{n}{c}") for c in EDGE] for n in "lr"]
+    return _meeting(boxes(left, left_id, "l"), boxes(right, right_id, "r"), *sides).select("l", "r")
+
+
 def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
     """Sign of the turn p -> q -> r."""
     return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
@@ -160,22 +197,47 @@ def _other(edge_rows: DataFrame) -> DataFrame:
     return edge_rows.withColumnsRenamed({"x1": "u1", "y1": "v1", "x2": "u2", "y2": "v2"})
 
 
-def intersects(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
-               size: float | None = None) -> DataFrame:
+def _edge_box(rows: DataFrame, x1: str, y1: str, x2: str, y2: str) -> tuple[DataFrame, list[Column]]:
+    """Edges with their level, and their boxes."""
+    low = [F.least(x1, x2), F.least(y1, y2)]
+    high = [F.greatest(x1, x2), F.greatest(y1, y2)]
+    return rows.withColumn("own", _level(F.greatest(high[0] - low[0], high[1] - low[1]))), [*low, *high]
+
+
+def inside(probes: DataFrame, ids: list[str], shapes: DataFrame, key: str) -> DataFrame:
+    """(*ids) of the probe points (*ids, key, px, py) that lie inside their shape `key`.
+
+    shapes(key, u1, v1, u2, v2) are edges.  An edge stands in the strips of its own height
+    that it touches, two at most; a probe looks into its strip at each height.
+    """
+    c = F.col
+    low, high = F.least("v1", "v2"), F.greatest("v1", "v2")
+    leveled = shapes.filter("v1 != v2").withColumn("own", _level(high - low))
+    size = F.pow(F.lit(2.0), c("own"))
+    strips = leveled.withColumn("strip", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    at = probes.withColumn("own", _levels(leveled)).withColumn("own", F.explode("own")).withColumn("strip", F.floor(c("py") / F.pow(F.lit(2.0), c("own"))))
+    up, down = (c("v1") <= c("py")) & (c("v2") > c("py")), (c("v2") <= c("py")) & (c("v1") > c("py"))
+    crossing = c("u1") + (c("py") - c("v1")) * (c("u2") - c("u1")) / (c("v2") - c("v1"))
+    met = at.join(strips, [key, "own", "strip"]).filter((up | down) & (crossing > c("px")))
+    return met.groupBy(*ids).agg(F.sum(F.when(up, 1).otherwise(-1)).alias("w")).filter("w != 0").select(*ids)
+
+
+def intersects(left: DataFrame, left_id: str, right: DataFrame, right_id: str) -> DataFrame:
     """(left id, right id) of shapes that share a point, each pair once.
 
     Either two edges meet, or one shape lies inside the other, which one of its
-    points tells.
+    points tells.  Only shapes whose boxes meet are looked at more closely.  Shapes and
+    edges stand in a grid of about their own size, so a large one among small ones makes
+    no more cells than any other.
     """
-    size = size or cell_size(left)
-    pairs = cut_lineage(box_pairs(left, left_id, right, right_id, size), "box_pairs")
-    le = cut_lineage(edges(left.withColumnRenamed(left_id, "l"), "l"), "left_edges")
-    re = _other(cut_lineage(edges(right.withColumnRenamed(right_id, "r"), "r"), "right_edges"))
-    fine = _edge_size(le)
-    lec = _edges_by_cell(le, "x1", "y1", "x2", "y2", fine)
-    rec = _edges_by_cell(re, "u1", "v1", "u2", "v2", fine)
-    crossing = lec.join(rec, ["cx", "cy"]).filter(_edges_meet()).select("l", "r").distinct()
-    crossing = cut_lineage(crossing, "crossing")
+    pairs = cut_lineage(box_pairs(left, left_id, right, right_id), "box_pairs")
+    near = {n: cut_lineage(pairs.select(n).distinct(), "near_shapes") for n in "lr"}
+    le = left.withColumnRenamed(left_id, "l").join(near["l"], "l", "left_semi")
+    re = right.withColumnRenamed(right_id, "r").join(near["r"], "r", "left_semi")
+    le, re = cut_lineage(edges(le, "l"), "left_edges"), _other(cut_lineage(edges(re, "r"), "right_edges"))
+    lb, a = _edge_box(le, *EDGE)
+    rb, b = _edge_box(re, "u1", "v1", "u2", "v2")
+    crossing = cut_lineage(_meeting(lb, rb, a, b).filter(_edges_meet()).select("l", "r").distinct(), "crossing")
     open_ = pairs.join(crossing, ["l", "r"], "left_anti")
     lp = left.select(F.col(left_id).alias("l"), F.col("geom")[0][0][0].alias("p"))
     rp = right.select(F.col(right_id).alias("r"), F.col("geom")[0][0][0].alias("p"))
@@ -189,7 +251,7 @@ def intersects(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
         re.select(right_key.alias("shape"), *corners)
     )
     points = probes.select("l", "r", "shape", F.col("p")["x"].alias("px"), F.col("p")["y"].alias("py"))
-    inner = winding(points, ["l", "r"], shapes, "shape", size).filter("w != 0").select("l", "r").distinct()
+    inner = inside(points, ["l", "r", "shape"], shapes, "shape").select("l", "r").distinct()
     return crossing.unionByName(inner).select(F.col("l").alias(left_id), F.col("r").alias(right_id))
 
 
@@ -473,17 +535,16 @@ def assemble_rings(boundary: DataFrame) -> DataFrame:
     return closed.select(F.col("head").alias("ring_id"), "ring", G.ring_area(F.col("ring")).alias("area"))
 
 
-def rings_to_shape(rings: DataFrame, size: float | None = None) -> DataFrame:
+def rings_to_shape(rings: DataFrame) -> DataFrame:
     """Polygons of assembled rings: (ring_id, geom), holes given to the outline around them."""
     outer = rings.filter("area > 0").select("ring_id", "area", F.array(F.array("ring")).alias("geom"))
     holes = rings.filter("area < 0").select(F.col("ring_id").alias("hole_id"), F.array(F.array("ring")).alias("geom"))
-    size = size or cell_size(outer)
-    pairs = box_pairs(holes, "hole_id", outer, "ring_id", size)
+    pairs = box_pairs(holes, "hole_id", outer, "ring_id")
     spot = F.col("geom")[0][0][0]
     probes = pairs.join(holes.select(F.col("hole_id").alias("l"), spot["x"].alias("px"), spot["y"].alias("py")), "l")
     outlines = _other(edges(outer.withColumnRenamed("ring_id", "r"), "r"))
-    inside = winding(probes, ["l", "r"], outlines, "r", size).filter("w != 0").select("l", "r")
-    owner = inside.join(outer.select(F.col("ring_id").alias("r"), "area"), "r").groupBy("l").agg(
+    within = inside(probes, ["l", "r"], outlines, "r")
+    owner = within.join(outer.select(F.col("ring_id").alias("r"), "area"), "r").groupBy("l").agg(
         F.min_by("r", F.struct("area", "r")).alias("ring_id")
     )
     owned = owner.join(holes, F.col("l") == F.col("hole_id")).groupBy("ring_id").agg(

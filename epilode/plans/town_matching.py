@@ -148,9 +148,12 @@ def match_towns(df: DataFrame, town: str, zip_code: str | None, gaz: Gazetteer,
 
 
 def compare_methods(df: DataFrame, town: str, zip_code: str | None, gaz: Gazetteer, method: str = "jw",
-                    anchor: str = V.ANCHOR_TOWN) -> DataFrame:
+                    anchor: str = V.ANCHOR_TOWN, p: float = 0.0, bt: float = 0.0,
+                    weight: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """(town, zip, match): nearest candidate without threshold or case folding.
 
+    `method`, `p`, `bt` and `weight` are those of `matching.nearest`.
+
     Candidates are the zip's cities if the zip is listed, else all cities; an
     exact area name means the anchor town when that is among the candidates.
     """
@@ -163,7 +166,7 @@ def compare_methods(df: DataFrame, town: str, zip_code: str | None, gaz: Gazette
     listed = gaz.city_zips.select(F.col("zip").alias("lz")).distinct()
     in_list = keys.join(listed, F.col("zip") == F.col("lz"), "left_semi").filter("name is not null")
     free = keys.join(listed, F.col("zip") == F.col("lz"), "left_anti")
-    measure = {"jw": D.jaro, "cosine": D.cosine}[method]
+    measure = M.distance_of(method, p, bt, weight)
     blocked = (
         in_list.select("name", "zip").distinct()
         .join(gaz.city_zips.select("zip", "ordinal", "city"), "zip")
@@ -171,7 +174,7 @@ def compare_methods(df: DataFrame, town: str, zip_code: str | None, gaz: Gazette
         .groupBy("name", "zip")
         .agg(F.min_by("city", F.struct("distance", "ordinal")).alias("zip_match"))
     )
-    anywhere = M.nearest(free, "name", gaz.cities, "city", "ordinal", method).select(
+    anywhere = M.nearest(free, "name", gaz.cities, "city", "ordinal", method, p, bt, weight).select(
         F.col("name").alias("fn"), F.col("match").alias("free_match")
     )
     areas = gaz.areas.select(F.col("area").alias("ar")).distinct()
@@ -192,6 +195,21 @@ def compare_methods(df: DataFrame, town: str, zip_code: str | None, gaz: Gazette
     return rows.select("town", "zip", match.alias("match"))
 
 
+def method_table(df: DataFrame, town: str, zip_code: str, gaz: Gazetteer, anchor: str = V.ANCHOR_TOWN) -> DataFrame:
+    """Answers of the methods side by side, with and without zip: one row per (town, zip).
+
+    `jw_dist` and `cos_dist` are the town's Jaro and cosine distance from `jw_all`.
+    """
+    keys = cut_lineage(df.select(F.col(town).alias("town"), F.col(zip_code).cast("string").alias("zip")).distinct(), "table_keys")
+    out = keys
+    for method in ("jw", "cosine", "osa"):
+        with_zip = compare_methods(keys, "town", "zip", gaz, method, anchor).withColumnRenamed("match", method)
+        without = compare_methods(keys, "town", None, gaz, method, anchor).select("town", F.col("match").alias(f"{method}_all"))
+        out = null_safe_join(null_safe_join(out, with_zip, ["town", "zip"]), without, ["town"])
+    name = title_case(F.col("town"))
+    return out.withColumns({"jw_dist": D.jaro(name, F.col("jw_all")), "cos_dist": D.cosine(name, F.col("jw_all"))})
+
+
 def match_report(df: DataFrame, town: str, zip_code: str, with_zip: str, without_zip: str,
                  city_zips: DataFrame) -> DataFrame:
     """Flags for reviewing a matcher's answers row by row."""

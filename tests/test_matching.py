@@ -233,3 +233,56 @@ def test_plans_measure_each_pair_once_and_never_cross(spark, towns, gaz):
     for plan in plans:
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert [p.count("ArrowEvalPython") for p in plans] == [1, 1, 0, 0]
+
+
+def _osa(a, b, d=1.0, i=1.0, s=1.0, t=1.0):
+    rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for x in range(len(a) + 1):
+        for y in range(len(b) + 1):
+            best = [0.0] if x == y == 0 else []
+            if x:
+                best.append(rows[x - 1][y] + d)
+            if y:
+                best.append(rows[x][y - 1] + i)
+            if x and y:
+                best.append(rows[x - 1][y - 1] + (0 if a[x - 1] == b[y - 1] else s))
+            if x > 1 and y > 1 and a[x - 1] == b[y - 2] and a[x - 2] == b[y - 1]:
+                best.append(rows[x - 2][y - 2] + t)
+            rows[x][y] = min(best)
+    return rows[-1][-1]
+
+
+@pytest.mark.parametrize("weight", [(1.0, 1.0, 1.0, 1.0), (1.0, 2.0, 3.0, 1.5), (0.3, 0.5, 1.0, 0.2)])
+def test_nearest_by_edits_equals_brute_force(spark, weight):
+    rng = random.Random(7)
+    names = {"".join(rng.choice("abcdxyz") for _ in range(rng.randrange(0, 7))) for _ in range(60)} | {"qqqq", ""}
+    options = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 7))) for _ in range(40)})
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    cand = spark.createDataFrame([(c, k) for k, c in enumerate(options)], "c string, o int")
+    got = {r["name"]: (r["match"], round(r["distance"], 9)) for r in M.nearest(df, "n", cand, "c", "o", "osa", weight=weight).collect()}
+    want = {}
+    for n in names:
+        d, _, c = min((round(_osa(n, c, *weight), 9), k, c) for k, c in enumerate(options))
+        want[n] = (c, d)
+    assert got == want
+
+
+def test_pairs_that_reach_the_measure_are_few(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).distinct()
+    rows = [r["w"] for r in words.orderBy(F.md5("w")).limit(800).collect()]
+    names = spark.createDataFrame([(w,) for w in rows[:400]], "name string")
+    options = spark.createDataFrame([(w, k) for k, w in enumerate(rows[400:])], "candidate string, ordinal int")
+    measured = M.measured_pairs(names, options, 0.25).select("distance").collect()
+    assert len(measured) <= 0.03 * 400 * 400
+
+
+def test_empty_texts_and_thresholds(spark):
+    names = spark.createDataFrame([("",), ("a",)], "name string")
+    options = spark.createDataFrame([("", 0), ("a", 1)], "candidate string, ordinal int")
+    assert sorted(tuple(r) for r in M.jaro_pairs(names, options, 0.25).select("name", "candidate", "distance").collect()) == [("", "", 0.0), ("a", "a", 0.0)]
+    with pytest.raises(ValueError):
+        M.jaro_pairs(names, options, 0.7)
+    with pytest.raises(ValueError):
+        M.nearest(names, "name", options, "candidate", "ordinal", "soundex")
+    assert M.closest(names, "name", options, "candidate", "ordinal", 1, "osa").count() == 2

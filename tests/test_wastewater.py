@@ -90,6 +90,9 @@ def series(spark, groups):
 def test_log_linear_growth(spark):
     df = series(spark, {"a": [(2 * i, math.exp(1 + 0.03 * 2 * i)) for i in range(40)], "short": [(i, 1.0) for i in range(19)]})
     got = T.trend_curve(df, ["site"], "day", "value").collect()
+    # The group that can't be fitted says so.
+    assert [(r["site"], r["day"], r["pred"], r["status"]) for r in got if r["status"] != "ok"] == [("short", None, None, "insufficient")]
+    got = [r for r in got if r["status"] == "ok"]
     assert {r["site"] for r in got} == {"a"} and len(got) == 40
     for r in got:
         assert r["fst_deriv"] == pytest.approx(0.03, abs=1e-6)
@@ -104,6 +107,7 @@ def test_wave_is_followed(spark):
     pts = [(d, math.exp(e) * rng.gammavariate(50, 1 / 50)) for d, e in truth.items()]
     df = series(spark, {"a": pts})
     model = T.fit_trends(df, ["site"], "day", "value").first()
+    assert model["status"] == "ok"
     assert 4 <= model["k"] <= 15 and model["resid_sd"] < 0.2
     for r in T.trend_curve(df, ["site"], "day", "value").collect():
         d = (r["day"] - D0).days
