@@ -7,6 +7,8 @@ cluster whatever the size of a single shape.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,11 +79,6 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def _by_cell(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> DataFrame:
-    """One row per grid cell that the box touches (`cx`, `cy`)."""
-    return df.withColumn("cx", F.explode(_cells(x1, x2, size))).withColumn("cy", F.explode(_cells(y1, y2, size)))
-
-
 def _edges_by_cell(df: DataFrame, x1: str, y1: str, x2: str, y2: str, size: float) -> DataFrame:
     """One row per grid cell that an edge passes (`cx`, `cy`).
 
@@ -107,14 +104,6 @@ def _edge_size(edge_rows: DataFrame) -> float:
     return 2.0 * got if got else 1.0
 
 
-def cell_size(layer: DataFrame) -> float:
-    """Grid size near the typical extent of a layer's shapes."""
-    b = G.bounds(F.col("geom"))
-    side = F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"])
-    got = layer.agg(F.avg(side).alias("s")).first()["s"]
-    return float(got) if got and got > 0 else 1.0
-
-
 # Level of the finest grid; smaller extents count as this.
 _FINEST = -20
 
@@ -259,64 +248,6 @@ def intersects(left: DataFrame, left_id: str, right: DataFrame, right_id: str) -
 _BLOCK = 1024
 
 
-def winding(probes: DataFrame, ids: list[str], shapes: DataFrame, key: str, size: float) -> DataFrame:
-    """How often the edges of group `key` wind around each probe point.
-
-    probes(*ids, key, px, py), shapes(key, u1, v1, u2, v2); returns (*ids, key, w).
-    A probe never meets all edges of a shape.  The winding number on the base
-    line of its grid row comes from running sums over the row's cells, and only
-    the edges inside its own cell correct it for the place within the cell.
-    """
-    c = F.col
-    at_cell = probes.withColumns({"cx": F.floor(c("px") / size), "cy": F.floor(c("py") / size)})
-    # Where edges cross the base lines y = cy * size, upwards +1, downwards -1.
-    low, high = F.ceil(F.least("v1", "v2") / size), F.floor(F.greatest("v1", "v2") / size)
-    line = c("cy") * size
-    up, down = (c("v1") <= line) & (c("v2") > line), (c("v2") <= line) & (c("v1") > line)
-    crossings = (
-        shapes.filter((c("v1") != c("v2")) & (low <= high))
-        .withColumn("cy", F.explode(F.sequence(low, high)))
-        .withColumn("sign", F.when(up, 1).when(down, -1).otherwise(0))
-        .filter("sign != 0")
-        .withColumn("at", c("u1") + (line - c("v1")) * (c("u2") - c("u1")) / (c("v2") - c("v1")))
-        .withColumn("cx", F.floor(c("at") / size))
-        .select(key, "cx", "cy", "at", "sign")
-    )
-    cells = (
-        crossings.select(key, "cx", "cy", "sign")
-        .unionByName(at_cell.select(key, "cx", "cy").distinct().withColumn("sign", F.lit(0)))
-        .groupBy(key, "cy", "cx")
-        .agg(F.sum("sign").alias("s"))
-        .withColumn("block", F.floor(c("cx") / _BLOCK))
-    )
-    right = Window.partitionBy(key, "cy", "block").orderBy(c("cx").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(key, "cy").orderBy(c("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cells.groupBy(key, "cy", "block").agg(F.sum("s").alias("bs")).withColumn("beyond", F.sum("bs").over(later))
-    base = cells.withColumn("within", F.sum("s").over(right)).join(blocks.drop("bs"), [key, "cy", "block"]).select(
-        key, "cx", "cy", (F.coalesce("within", F.lit(0)) + F.coalesce("beyond", F.lit(0))).alias("w")
-    )
-    on_cell = [key, "cx", "cy"]
-    on_line = at_cell.join(crossings, on_cell).filter(c("at") > c("px"))
-    # Going up from the base line to the probe: an edge to the right adds one.
-    height = c("v1") + (c("px") - c("u1")) * (c("v2") - c("v1")) / (c("u2") - c("u1"))
-    rising, falling = (c("u1") <= c("px")) & (c("u2") > c("px")), (c("u2") <= c("px")) & (c("u1") > c("px"))
-    local = _edges_by_cell(shapes, "u1", "v1", "u2", "v2", size)
-    above = (
-        at_cell.join(local, on_cell)
-        .filter(rising | falling)
-        .withColumn("height", height)
-        .filter((c("height") > c("cy") * size) & (c("height") <= c("py")))
-        .withColumn("sign", F.when(rising, 1).otherwise(-1))
-    )
-    out = list(dict.fromkeys([*ids, key]))
-    parts = (
-        at_cell.join(base, on_cell).select(*out, "w")
-        .unionByName(on_line.select(*out, c("sign").cast("bigint").alias("w")))
-        .unionByName(above.select(*out, c("sign").cast("bigint").alias("w")))
-    )
-    return parts.groupBy(*out).agg(F.sum("w").alias("w"))
-
-
 # ---- overlay -----------------------------------------------------------------
 
 
@@ -325,13 +256,7 @@ def cancel_shared(boundary: DataFrame) -> DataFrame:
 
     Neighbours in a noded coverage share whole edges, once in each direction.
     """
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    keyed = boundary.select(
-        *[F.when(forward, F.col(a)).otherwise(F.col(b)).alias(c)
-          for a, b, c in (("x1", "x2", "x1"), ("y1", "y2", "y1"), ("x2", "x1", "x2"), ("y2", "y1", "y2"))],
-        F.when(forward, 1).otherwise(-1).alias("d"),
-    )
-    net = keyed.groupBy(*EDGE).agg(F.sum("d").alias("d")).filter("d != 0")
+    net = _forward(boundary).groupBy(*EDGE).agg(F.sum("d").alias("d")).filter("d != 0")
     turn = F.col("d") < 0
     return net.select(
         F.when(turn, F.col("x2")).otherwise(F.col("x1")).alias("x1"),
@@ -341,20 +266,39 @@ def cancel_shared(boundary: DataFrame) -> DataFrame:
     )
 
 
-def _split_at_crossings(all_edges: DataFrame, size: float | None, digits: int) -> DataFrame:
-    """Distinct undirected pieces of edges that meet others only at their ends."""
-    ids = all_edges.select(*[F.round(c, digits).alias(c) for c in EDGE]).filter("x1 != x2 or y1 != y2")
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    lines = cut_lineage(
-        ids.select(*[
-            F.when(forward, F.col(a)).otherwise(F.col(b)).alias(c)
-            for a, b, c in (("x1", "x2", "x1"), ("y1", "y2", "y1"), ("x2", "x1", "x2"), ("y2", "y1", "y2"))
-        ]).distinct(),
-        "lines",
+def _forward(boundary: DataFrame, *keep: Column) -> DataFrame:
+    """Edges from their smaller to their larger end, with `d` = 1, or -1 for those that were turned."""
+    straight = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    ends = (("x1", "x2", "x1"), ("y1", "y2", "y1"), ("x2", "x1", "x2"), ("y2", "y1", "y2"))
+    return boundary.select(
+        *[F.when(straight, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in ends],
+        F.when(straight, 1).otherwise(-1).alias("d"), *keep,
     )
+
+
+def _resolution(boundary: DataFrame) -> int:
+    """Digits to which coordinates are kept: eleven significant ones of the largest.
+
+    Relative to the layer, so degrees and feet are treated alike.
+    """
+    largest = boundary.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in EDGE])).alias("m")).first()["m"]
+    return 11 - math.ceil(math.log10(largest)) if largest else 11
+
+
+def _pieces(all_edges: DataFrame, weights: list[str], size: float | None = None) -> DataFrame:
+    """Undirected pieces of edges that meet others only at their ends.
+
+    `weights` are columns of `all_edges`; a piece carries, for each, their sum over the
+    edges that run along it forwards, less those that run backwards.
+    """
+    digits = _resolution(all_edges)
+    kept = [F.col(w) for w in weights]
+    rounded = all_edges.select(*[F.round(c, digits).alias(c) for c in EDGE], *kept).filter("x1 != x2 or y1 != y2")
+    sums = [F.sum(F.col("d") * F.col(w)).alias(w) for w in weights]
+    lines = cut_lineage(_forward(rounded, *kept).groupBy(*EDGE).agg(*sums), "lines")
     size = size or _edge_size(lines)
-    mine = _edges_by_cell(lines, "x1", "y1", "x2", "y2", size)
-    theirs = _edges_by_cell(_other(lines), "u1", "v1", "u2", "v2", size)
+    mine = _edges_by_cell(lines.select(*EDGE), "x1", "y1", "x2", "y2", size)
+    theirs = _edges_by_cell(_other(lines.select(*EDGE)), "u1", "v1", "u2", "v2", size)
     c = F.col
     same = (c("x1") == c("u1")) & (c("y1") == c("v1")) & (c("x2") == c("u2")) & (c("y2") == c("v2"))
     met = mine.join(theirs, ["cx", "cy"]).filter(~same & _edges_meet())
@@ -388,59 +332,129 @@ def _split_at_crossings(all_edges: DataFrame, size: float | None, digits: int) -
         F.slice("ts", F.lit(1), F.size("ts") - 1),
         lambda t, i: F.struct(at(t).alias("s"), at(c("ts")[i + 1]).alias("e")),
     )
-    return (
-        whole.select(F.explode_outer(pieces).alias("p"))
-        .select(c("p.s.x").alias("x1"), c("p.s.y").alias("y1"), c("p.e.x").alias("x2"), c("p.e.y").alias("y2"))
-        .filter("x1 != x2 or y1 != y2")
-        .distinct()
-    )
+    cut = whole.select(F.explode_outer(pieces).alias("p"), *kept).select(
+        c("p.s.x").alias("x1"), c("p.s.y").alias("y1"), c("p.e.x").alias("x2"), c("p.e.y").alias("y2"), *kept
+    ).filter("x1 != x2 or y1 != y2")
+    return _forward(cut, *kept).groupBy(*EDGE).agg(*sums)
+
 
+def _below(pieces: DataFrame, weights: list[str], size: float) -> DataFrame:
+    """(id, *weights): how often the arrangement winds around the place just below each probed piece.
 
-def _covered(pieces: DataFrame, layers: dict[str, DataFrame], size: float, offset: float) -> DataFrame:
-    """Pieces with, per layer, how often it covers their left and right side."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    norm = F.sqrt(dx * dx + dy * dy)
-    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    shapes = None
-    for name, rows in layers.items():
-        part = _other(rows).select("u1", "v1", "u2", "v2", F.lit(name).alias("layer"))
-        shapes = part if shapes is None else shapes.unionByName(part)
-    probes = (
-        pieces.select(*EDGE, F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("side"))
-        .withColumns({"px": mx - F.col("side") * offset * dy / norm, "py": my + F.col("side") * offset * dx / norm})
-        .withColumn("layer", F.explode(F.array(*[F.lit(n) for n in layers])))
+    pieces(id, probed, x1 <= x2, ..., *weights).  The place is the middle of the piece,
+    reached from the base line of its grid row straight upwards, without the piece itself:
+    no distance beside it is needed.  The winding number on the base line comes from
+    running sums over the row's cells, and what lies between it and the piece corrects it.
+    """
+    c = F.col
+    at_cell = pieces.filter("probed").select(
+        "id", ((c("x1") + c("x2")) / 2).alias("px"), ((c("y1") + c("y2")) / 2).alias("py")
+    ).withColumns({"cx": F.floor(c("px") / size), "cy": F.ceil(c("py") / size) - 1})  # the line lies below the place
+    rows = _other(pieces.withColumnRenamed("id", "other").drop("probed"))
+    low, high = F.ceil(F.least("v1", "v2") / size), F.floor(F.greatest("v1", "v2") / size)
+    line = c("cy") * size
+    up, down = (c("v1") <= line) & (c("v2") > line), (c("v2") <= line) & (c("v1") > line)
+    crossings = (
+        rows.filter((c("v1") != c("v2")) & (low <= high))
+        .withColumn("cy", F.explode(F.sequence(low, high)))
+        .withColumn("sign", F.when(up, 1).when(down, -1).otherwise(0))
+        .filter("sign != 0")
+        .withColumn("at", c("u1") + (line - c("v1")) * (c("u2") - c("u1")) / (c("v2") - c("v1")))
+        .withColumn("cx", F.floor(c("at") / size))
+        .select("cx", "cy", "at", *[(c("sign") * c(w)).alias(w) for w in weights])
     )
-    turns = winding(probes, [*EDGE, "side"], shapes, "layer", size)
-    return turns.groupBy(*EDGE).agg(*[
-        F.max(F.when((F.col("layer") == n) & (F.col("side") == s), F.col("w"))).alias(f"{n}_{tag}")
-        for n in layers for s, tag in ((1.0, "left"), (-1.0, "right"))
-    ])
+    cells = (
+        crossings.select("cx", "cy", *weights)
+        .unionByName(at_cell.select("cx", "cy").distinct().withColumns({w: F.lit(0).cast("bigint") for w in weights}))
+        .groupBy("cy", "cx")
+        .agg(*[F.sum(w).alias(w) for w in weights])
+        .withColumn("block", F.floor(c("cx") / _BLOCK))
+    )
+    right = Window.partitionBy("cy", "block").orderBy(c("cx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("cy").orderBy(c("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy("cy", "block").agg(*[F.sum(w).alias(w) for w in weights]).select(
+        "cy", "block", *[F.sum(w).over(later).alias(f"beyond_{w}") for w in weights]
+    )
+    zero = F.lit(0)
+    base = cells.withColumns({f"within_{w}": F.sum(w).over(right) for w in weights}).join(blocks, ["cy", "block"]).select(
+        "cx", "cy", *[(F.coalesce(f"within_{w}", zero) + F.coalesce(f"beyond_{w}", zero)).alias(w) for w in weights]
+    )
+    on_cell = ["cx", "cy"]
+    on_line = at_cell.join(crossings, on_cell).filter(c("at") > c("px"))
+    # Going up from the base line: an edge that runs to the right adds one.
+    height = c("v1") + (c("px") - c("u1")) * (c("v2") - c("v1")) / (c("u2") - c("u1"))
+    local = _edges_by_cell(rows.filter("u1 != u2"), "u1", "v1", "u2", "v2", size)
+    above = (
+        at_cell.join(local, on_cell)
+        .filter((c("other") != c("id")) & (c("u1") <= c("px")) & (c("u2") > c("px")))
+        .withColumn("height", height)
+        .filter((c("height") > c("cy") * size) & (c("height") <= c("py")))
+    )
+    parts = at_cell.join(base, on_cell).select("id", *weights)
+    for more in (on_line, above):
+        parts = parts.unionByName(more.select("id", *weights))
+    return parts.groupBy("id").agg(*[F.sum(w).alias(w) for w in weights])
 
 
-def overlay(a: DataFrame, b: DataFrame | None = None, how: str = "union", size: float | None = None,
-            offset: float = 1e-4, digits: int = 6) -> DataFrame:
+def _sides(pieces: DataFrame, weights: list[str], size: float) -> DataFrame:
+    """Pieces with `<w>_left` and `<w>_right`: how often each side is wound around.
+
+    Flat pieces are looked at from below; for steep ones the axes change places, which
+    also turns the sign of every winding.
+    """
+    c = F.col
+    steep = F.abs(c("y2") - c("y1")) > c("x2") - c("x1")
+    numbered = cut_lineage(pieces.withColumns({"id": F.concat_ws(",", *EDGE), "steep": steep}), "pieces")
+    flat = _below(numbered.withColumn("probed", ~c("steep")).drop("steep"), weights, size)
+    # Mirrored at the diagonal; an edge is turned where it runs the other way then.
+    turned = c("y1") > c("y2")
+    swapped = numbered.select(
+        "id", c("steep").alias("probed"),
+        F.when(turned, c("y2")).otherwise(c("y1")).alias("x1"), F.when(turned, c("x2")).otherwise(c("x1")).alias("y1"),
+        F.when(turned, c("y1")).otherwise(c("y2")).alias("x2"), F.when(turned, c("x1")).otherwise(c("x2")).alias("y2"),
+        *[F.when(turned, -c(w)).otherwise(c(w)).alias(w) for w in weights],
+    )
+    upright = _below(swapped, weights, size)
+
+    def renamed(found: DataFrame) -> DataFrame:
+        return found.select("id", *[c(w).alias(f"at_{w}") for w in weights])
+
+    out = {}
+    for w in weights:
+        # Forwards, left of a flat piece is above it; a steep one may run down.
+        out[f"{w}_left"] = F.when(~c("steep"), c(f"at_{w}") + c(w)).when(turned, -(c(f"at_{w}") - c(w))).otherwise(-c(f"at_{w}"))
+        out[f"{w}_right"] = F.when(~c("steep"), c(f"at_{w}")).when(turned, -c(f"at_{w}")).otherwise(-(c(f"at_{w}") + c(w)))
+    return numbered.join(renamed(flat).unionByName(renamed(upright)), "id").withColumns(out)
+
+
+def overlay(a: DataFrame, b: DataFrame | None = None, how: str = "union", size: float | None = None) -> DataFrame:
     """Boundary edges of the union of layer `a`, or of `a` minus layer `b`.
 
-    Works for overlapping and for unaligned shapes: edges are cut where they
-    meet, and a piece belongs to the boundary if the result covers exactly one
-    of its sides.  `offset` is how far beside a piece the sides are probed, in
-    map units, and must be smaller than the narrowest real gap.
+    Works for overlapping and for unaligned shapes: edges are cut where they meet, and a
+    piece belongs to the boundary if the result covers exactly one of its sides.
+    Coordinates are kept to eleven significant digits of the largest one; nothing wider
+    than that is lost.
     """
-    layers = {"a": edges(a)} | ({"b": edges(b)} if b is not None else {})
-    layers = {n: cut_lineage(rows, f"edges_{n}") for n, rows in layers.items()}
-    every = layers["a"] if b is None else layers["a"].unionByName(layers["b"])
-    pieces = _split_at_crossings(every, size, digits)
-    rows = _covered(pieces, layers, size or _edge_size(every), offset)
+    weights = ["a"] if b is None else ["a", "b"]
+    rows = None
+    for name, layer in zip(weights, (a, b)):
+        part = edges(layer).select(*EDGE, *[F.lit(int(w == name)).cast("bigint").alias(w) for w in weights])
+        rows = part if rows is None else rows.unionByName(part)
+    rows = cut_lineage(rows, "edges")
+    # Where edges of a layer cancel each other, nothing changes from side to side.
+    pieces = _pieces(rows, weights, size).filter(" or ".join(f"{w} != 0" for w in weights))
+    pieces = cut_lineage(pieces, "pieces")
+    sides = _sides(pieces, weights, size or _edge_size(pieces))
 
     def holds(side: str) -> Column:
-        inside = F.col(f"a_{side}") != 0
+        covered = F.col(f"a_{side}") != 0
         if how == "difference":
-            inside = inside & (F.col(f"b_{side}") == 0)
+            covered = covered & (F.col(f"b_{side}") == 0)
         elif b is not None:
-            inside = inside | (F.col(f"b_{side}") != 0)
-        return inside
+            covered = covered | (F.col(f"b_{side}") != 0)
+        return covered
 
-    kept = rows.withColumns({"l": holds("left"), "r": holds("right")}).filter("l != r")
+    kept = sides.select(*EDGE, holds("left").alias("l"), holds("right").alias("r")).filter("l != r")
     return kept.select(
         *[F.when(F.col("l"), F.col(x)).otherwise(F.col(y)).alias(n)
           for x, y, n in (("x1", "x2", "x1"), ("y1", "y2", "y1"), ("x2", "x1", "x2"), ("y2", "y1", "y2"))]
@@ -468,19 +482,11 @@ def clip(layer: DataFrame, mask: DataFrame, noded: bool = False, **options) -> D
 
 def is_noded(layer: DataFrame, size: float | None = None) -> bool:
     """No edge of the layer is met by another between its ends."""
-    lines = edges(layer).select(*EDGE).distinct()
-    pieces = _split_at_crossings(lines, size, 9)
-    undirected = cancel_orientation(lines)
-    return undirected.join(pieces, EDGE, "left_anti").limit(1).count() == 0
-
-
-def cancel_orientation(boundary: DataFrame) -> DataFrame:
-    """Distinct edges, each from its smaller to its larger end."""
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    return boundary.select(
-        *[F.when(forward, F.col(a)).otherwise(F.col(b)).alias(c)
-          for a, b, c in (("x1", "x2", "x1"), ("y1", "y2", "y1"), ("x2", "x1", "x2"), ("y2", "y1", "y2"))]
-    ).distinct()
+    lines = edges(layer).select(*EDGE, F.lit(1).cast("bigint").alias("n"))
+    pieces = _pieces(lines, ["n"], size).select(*EDGE)
+    digits = _resolution(lines)
+    whole = _forward(lines.select(*[F.round(c, digits).alias(c) for c in EDGE])).select(*EDGE).distinct()
+    return whole.join(pieces, EDGE, "left_anti").limit(1).count() == 0
 
 
 def assemble_rings(boundary: DataFrame) -> DataFrame:

@@ -115,6 +115,42 @@ def test_clip(spark):
     assert S.clip(county, boxes(spark, (-1, -1, 4, 4))).count() == 0
 
 
+def test_slivers_and_small_units_are_kept(spark):
+    far = boxes(spark, (50, 50, 51, 51))
+    assert area(S.clip(boxes(spark, (0, 0, 0.00005, 0.00005)), far)) == pytest.approx(2.5e-9, rel=1e-6)
+    two = S.dissolve(boxes(spark, (0, 0, 1, 1), (3, 0, 3.00001, 1)))
+    assert area(two) == pytest.approx(1.00001, abs=1e-9) and two.count() == 8
+    gap = S.dissolve(boxes(spark, (0, 0, 1, 1), (1.00001, 0, 2, 1)))
+    assert gap.count() == 8 and area(gap) == pytest.approx(1.99999, abs=1e-9)
+    degrees = S.clip(boxes(spark, (-88.3, 41.5, -88.2999, 41.5001)), boxes(spark, (-88.29995, 41.4, -88.29994, 41.6)))
+    assert area(degrees) == pytest.approx(0.0001 * 0.0001 - 0.00001 * 0.0001, rel=1e-5)
+
+
+def test_coverage_of_random_boxes(spark):
+    rng = random.Random(11)
+    def some(n):
+        out = []
+        for _ in range(n):
+            x, y = rng.randrange(20), rng.randrange(20)
+            out.append((x, y, x + rng.randrange(1, 7), y + rng.randrange(1, 7)))
+        return out
+    a, b = some(25), some(12)
+    def held(items):
+        return {(x, y) for x1, y1, x2, y2 in items for x in range(x1, x2) for y in range(y1, y2)}
+    assert area(S.dissolve(boxes(spark, *a))) == pytest.approx(len(held(a)))
+    assert area(S.clip(boxes(spark, *a), boxes(spark, *b))) == pytest.approx(len(held(a) - held(b)))
+
+
+def test_one_large_shape_among_small_ones(spark):
+    small = boxes(spark, *[(3 * i, 3 * (i % 7), 3 * i + 1, 3 * (i % 7) + 1) for i in range(300)], key="p")
+    large = boxes(spark, (-50000, -50000, 50000, 50000), (0, 0, 1, 1), key="q")
+    got = {tuple(r) for r in S.intersects(small, "p", large, "q").collect()}
+    assert got == {(i, 0) for i in range(300)} | {(0, 1)}
+    rows = large.select("q", G.bounds(F.col("geom")).alias("b")).select("q", "b.*")
+    cells = S._cells_by_level(rows.withColumn("own", S._level(F.col("x2") - F.col("x1"))), F.array(F.lit(0), F.lit(17)), *[F.col(c) for c in S.EDGE])
+    assert cells.groupBy("q").count().agg(F.max("count")).first()[0] <= 8
+
+
 def test_clip_area_adds_up(spark):
     rng = random.Random(21)
     base = polygons(spark, *[star(rng, 10, 10, 9, 12)])
