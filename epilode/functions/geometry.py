@@ -2,17 +2,17 @@
 
 A shape is `geom`: polygons > rings > points, the first ring of a polygon its
 outline, the others holes, every ring closed.  WKT and areas are built-in
-expressions; WKB holds raw bytes and needs a small Arrow UDF.
+expressions; WKB holds raw bytes and takes an Arrow UDF over the nested lists.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import struct
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,67 +94,102 @@ def from_wkt(text: Column) -> Column:
     return F.from_json(nested, GEOM)
 
 
-def _pack(text: str | None) -> bytes | None:
-    if text is None:
-        return None
-    geom = json.loads(text)
-    out = [struct.pack("<BII", 1, 6, len(geom))]
-    for rings in geom:
-        out.append(struct.pack("<BII", 1, 3, len(rings)))
-        for ring in rings:
-            flat = [float(v) for p in ring for v in (p["x"], p["y"])]
-            out.append(struct.pack(f"<I{len(flat)}d", len(ring), *flat))
-    return b"".join(out)
+# Bits of a type word that announce a reference system, a height or a measure.
+_EXTENDED = 0x20000000 | 0x40000000 | 0x80000000
 
 
-def _unpack(data: bytes | None) -> str | None:
-    if data is None:
-        return None
+def _packed(shapes: pa.ListArray) -> list[bytes | None]:
+    """Multipolygons as bytes, from nested Arrow lists: the coordinates are copied as they lie."""
+    polygons = shapes.values
+    rings = polygons.values
+    points = rings.values
+    flat = np.column_stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")]).astype("<f8")
+    outer, middle, inner = (x.offsets.to_numpy() for x in (shapes, polygons, rings))
+    out = []
+    for n, known in enumerate(shapes.is_valid().to_pylist()):
+        if not known:
+            out.append(None)
+            continue
+        parts = [struct.pack("<BII", 1, 6, outer[n + 1] - outer[n])]
+        for p in range(outer[n], outer[n + 1]):
+            parts.append(struct.pack("<BII", 1, 3, middle[p + 1] - middle[p]))
+            for r in range(middle[p], middle[p + 1]):
+                parts += [struct.pack("<I", inner[r + 1] - inner[r]), flat[inner[r] : inner[r + 1]].tobytes()]
+        out.append(b"".join(parts))
+    return out
 
-    def header(at: int):
+
+def _read(data: bytes) -> list[list[np.ndarray]]:
+    """Polygons of rings of coordinate pairs."""
+
+    def header(at: int) -> tuple[str, int, int, int]:
         order = "<" if data[at] == 1 else ">"
         kind, count = struct.unpack_from(order + "II", data, at + 1)
-        return order, kind & 0xFF, count, at + 9
+        if kind & _EXTENDED or kind not in (3, 6):
+            raise ValueError(f"shape type {kind:#x} is no plain polygon or multipolygon")
+        return order, kind, count, at + 9
 
-    def polygon(at: int):
-        order, _, count, at = header(at)
+    def polygon(at: int) -> tuple[list[np.ndarray], int]:
+        order, kind, count, at = header(at)
         rings = []
         for _ in range(count):
             (n,) = struct.unpack_from(order + "I", data, at)
-            flat = struct.unpack_from(f"{order}{2 * n}d", data, at + 4)
+            rings.append(np.frombuffer(data, f"{order}f8", 2 * n, at + 4).reshape(n, 2))
             at += 4 + 16 * n
-            rings.append([{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])])
         return rings, at
 
     _, kind, count, at = header(0)
     if kind == 3:
-        return json.dumps([polygon(0)[0]])
-    shapes = []
+        return [polygon(0)[0]]
+    out = []
     for _ in range(count):
         rings, at = polygon(at)
-        shapes.append(rings)
-    return json.dumps(shapes)
+        out.append(rings)
+    return out
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+
 
+def _unpacked(column: pa.Array) -> pa.Array:
+    shapes = [None if b is None else _read(b) for b in column.to_pylist()]
+    polygons = [p for s in shapes if s for p in s]
+    rings = [r for p in polygons for r in p]
+    flat = np.concatenate(rings).astype(np.float64) if rings else np.zeros((0, 2))
+    points = pa.StructArray.from_arrays([pa.array(flat[:, k].copy()) for k in (0, 1)], names=["x", "y"])
+    inner = pa.ListArray.from_arrays(_offsets([len(r) for r in rings]), points)
+    middle = pa.ListArray.from_arrays(_offsets([len(p) for p in polygons]), inner)
+    missing = pa.array([s is None for s in shapes], pa.bool_())
+    return pa.ListArray.from_arrays(_offsets([len(s or []) for s in shapes]), middle, mask=missing)
 
-# Shapes pass to and from Python as JSON text; Spark builds and parses it.
-@F.pandas_udf(T.BinaryType())
-def _to_wkb(shapes: pd.Series) -> pd.Series:
-    return shapes.map(_pack)
 
+@F.arrow_udf(T.BinaryType())
+def _to_wkb(shapes: pa.Array) -> pa.Array:
+    return pa.array(_packed(shapes), pa.binary())
 
-@F.pandas_udf(T.StringType())
-def _from_wkb(data: pd.Series) -> pd.Series:
-    return data.map(_unpack)
+
+_GEOM_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(
+    T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+)))
+
+
+@F.arrow_udf(_GEOM_TYPE)
+def _from_wkb(data: pa.Array) -> pa.Array:
+    return _unpacked(data)
 
 
 def to_wkb(geom: Column) -> Column:
     """Well-known binary (multipolygon, little endian)."""
-    return _to_wkb(F.to_json(geom))
+    return _to_wkb(geom)
 
 
 def from_wkb(data: Column) -> Column:
-    """Shape of a polygon or multipolygon in well-known binary."""
-    return F.from_json(_from_wkb(data), GEOM)
+    """Shape of a polygon or multipolygon in well-known binary.
+
+    Types with a reference system, heights or measures are refused, not misread.
+    """
+    return _from_wkb(data)
 
 
 @dataclass(frozen=True)

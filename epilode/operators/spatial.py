@@ -490,7 +490,10 @@ def is_noded(layer: DataFrame, size: float | None = None) -> bool:
 
 
 def assemble_rings(boundary: DataFrame) -> DataFrame:
-    """Closed rings of a boundary: (ring, points, area).
+    """Rings of a boundary: (ring_id, ring, area, closed).
+
+    Edges that do not close come back as a row with `closed` false, their points without
+    the first one repeated, and no area.
 
     Each edge points to the one that continues it (the sharpest left turn where
     several do).  Doubling those pointers finds the first edge of every ring and
@@ -504,9 +507,10 @@ def assemble_rings(boundary: DataFrame) -> DataFrame:
                         F.col("dir").alias("ndir"))
     # A turn measured from the reversed incoming direction, clockwise.
     turn = F.pmod(F.col("dir") + F.lit(3.141592653589793) - F.col("ndir"), F.lit(2 * 3.141592653589793))
-    link = rows.join(after, ["x2", "y2"]).groupBy("id").agg(
+    # An edge that nothing continues points to itself.
+    link = rows.join(after, ["x2", "y2"], "left").groupBy("id").agg(
         F.min_by("next", F.struct(F.when(turn < 1e-12, 7.0).otherwise(turn), "next")).alias("next")
-    )
+    ).withColumn("next", F.coalesce("next", "id"))
     state = cut_lineage(
         link.select("id", "next", F.col("id").alias("head"), F.lit(0).cast("bigint").alias("hops"),
                     F.lit(1).cast("bigint").alias("step")),
@@ -535,14 +539,18 @@ def assemble_rings(boundary: DataFrame) -> DataFrame:
     # hops counts down to the head: the farthest edge comes right after it.
     order = F.struct((-F.when(F.col("id") == F.col("head"), F.lit(1 << 60)).otherwise(F.col("hops"))).alias("o"),
                      F.col("x1").alias("x"), F.col("y1").alias("y"))
-    rings = placed.groupBy("head").agg(F.array_sort(F.collect_list(order)).alias("pts"))
+    # A closed ring starts from the same points that it ends in.
+    starts, ends = (F.sum(F.xxhash64(*p).cast("decimal(38,0)")) for p in (("x1", "y1"), ("x2", "y2")))
+    rings = placed.groupBy("head").agg(F.array_sort(F.collect_list(order)).alias("pts"), (starts == ends).alias("closed"))
     pts = F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    closed = rings.select("head", F.concat(pts, F.slice(pts, 1, 1)).alias("ring"))
-    return closed.select(F.col("head").alias("ring_id"), "ring", G.ring_area(F.col("ring")).alias("area"))
+    ring = F.when(F.col("closed"), F.concat(pts, F.slice(pts, 1, 1))).otherwise(pts)
+    whole = rings.select("head", ring.alias("ring"), "closed")
+    area = F.when(F.col("closed"), G.ring_area(F.col("ring")))
+    return whole.select(F.col("head").alias("ring_id"), "ring", area.alias("area"), "closed")
 
 
 def rings_to_shape(rings: DataFrame) -> DataFrame:
-    """Polygons of assembled rings: (ring_id, geom), holes given to the outline around them."""
+    """Polygons of the closed rings: (ring_id, geom), holes given to the outline around them."""
     outer = rings.filter("area > 0").select("ring_id", "area", F.array(F.array("ring")).alias("geom"))
     holes = rings.filter("area < 0").select(F.col("ring_id").alias("hole_id"), F.array(F.array("ring")).alias("geom"))
     pairs = box_pairs(holes, "hole_id", outer, "ring_id")

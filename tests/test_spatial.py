@@ -40,6 +40,22 @@ def test_formats_round_trip(spark):
     assert out[1]["b"] is None
 
 
+def test_extended_binary_is_refused(spark):
+    import struct
+
+    ring = struct.pack("<I8d", 4, 0, 0, 1, 0, 1, 1, 0, 0)
+    plain = struct.pack("<BII", 1, 3, 1) + ring
+    big = struct.pack(">BII", 0, 3, 1) + struct.pack(">I8d", 4, 0, 0, 1, 0, 1, 1, 0, 0)
+    df = spark.createDataFrame([(plain,), (big,), (None,)], "b binary").select(G.to_wkt(G.from_wkb(F.col("b"))).alias("t"))
+    text = "MULTIPOLYGON (((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 0.0)))"
+    assert [r["t"] for r in df.collect()] == [text, text, None]
+    tagged = struct.pack("<BIII", 1, 3 | 0x20000000, 4326, 1) + ring
+    with pytest.raises(Exception, match="no plain polygon"):
+        spark.createDataFrame([(tagged,)], "b binary").select(G.from_wkb(F.col("b"))).collect()
+    empty = spark.createDataFrame([([],)], f"g {G.GEOM}").select(G.to_wkt(G.from_wkb(G.to_wkb(F.col("g")))).alias("t"))
+    assert empty.first()["t"] == "MULTIPOLYGON ()"
+
+
 def test_projection(spark):
     rng = random.Random(2)
     pts = [(rng.uniform(-91.5, -87), rng.uniform(36.9, 42.6)) for _ in range(200)]
@@ -141,6 +157,17 @@ def test_coverage_of_random_boxes(spark):
     assert area(S.clip(boxes(spark, *a), boxes(spark, *b))) == pytest.approx(len(held(a) - held(b)))
 
 
+def test_open_boundaries_are_reported(spark):
+    edges = [(0.0, 0.0, 2.0, 0.0), (2.0, 0.0, 2.0, 1.0), (2.0, 1.0, 0.0, 1.0)]
+    square = [(5.0, 0.0, 6.0, 0.0), (6.0, 0.0, 6.0, 1.0), (6.0, 1.0, 5.0, 1.0), (5.0, 1.0, 5.0, 0.0)]
+    rings = S.assemble_rings(spark.createDataFrame(edges + square, "x1 double, y1 double, x2 double, y2 double"))
+    got = rings.collect()
+    assert [(r["area"], len(r["ring"])) for r in got if r["closed"]] == [(1.0, 5)]
+    open_ = [r for r in got if not r["closed"]]
+    assert open_ and all(r["area"] is None for r in open_) and sum(len(r["ring"]) for r in open_) == 3
+    assert S.rings_to_shape(rings).count() == 1
+
+
 def test_one_large_shape_among_small_ones(spark):
     small = boxes(spark, *[(3 * i, 3 * (i % 7), 3 * i + 1, 3 * (i % 7) + 1) for i in range(300)], key="p")
     large = boxes(spark, (-50000, -50000, 50000, 50000), (0, 0, 1, 1), key="q")
