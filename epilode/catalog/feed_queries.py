@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from epilode.catalog.registry import query
 from epilode.operators.aggregates import collect_batches
 from epilode.operators.columns import unnest
-from epilode.plans.geocoding import request_payloads
+from epilode.plans.geocoding import join_results, request_payloads
 from epilode.session import fresh_path
 from epilode.sources import feeds, files
 
@@ -189,3 +189,51 @@ def _payload(t):
         "postal", F.when(F.col("c_nationkey") != 7, F.col("c_nationkey").cast("string"))
     )
     return request_payloads(rows, "c_custkey", "c_name", "c_mktsegment", "postal")
+
+
+@query(
+    "geo_join_results",
+    """
+    WITH c AS (SELECT *, c_custkey // 500 % 3 = 1 AS failed, c_nationkey <> 7 AS whole FROM customer)
+    SELECT c_custkey, c_custkey // 500 AS batch, CASE WHEN whole AND NOT failed THEN c_acctbal END AS "X",
+           CASE WHEN whole AND NOT failed THEN 90.0 END AS score, CASE WHEN whole AND NOT failed THEN c_name END AS address_match,
+           CASE WHEN failed THEN 'FAIL' WHEN NOT whole THEN 'SKIPPED' ELSE 'SUCCESS' END AS geo_status FROM c
+    """,
+)
+def _join_results(t):
+    # Every third batch fails; one nation's addresses lack a zip and are not sent.
+    batch = F.floor(F.col("c_custkey") / 500)
+    rows = t.customer.select(
+        "c_custkey", batch.alias("batch"), "c_name", "c_acctbal", F.when(F.col("c_nationkey") != 7, F.col("c_nationkey")).alias("postal")
+    )
+    location = F.struct(
+        F.lit(90.0).alias("score"),
+        F.struct(F.col("c_custkey").alias("ResultID"), F.col("c_acctbal").alias("X"), F.lit(1.0).alias("Y"), F.lit("M").alias("Status"),
+                 F.col("c_name").alias("Match_addr"), F.lit("x").alias("User_fld")).alias("attributes"),
+    )
+    bodies = rows.groupBy("batch").agg(F.collect_list(F.when(F.col("postal").isNotNull(), location)).alias("locations"))
+    ok = F.col("batch") % 3 != 1
+    responses = bodies.select("batch", F.when(ok, F.to_json(F.struct("locations"))).alias("payload"), ok.alias("ok"))
+    out = join_results(rows, responses, "payload", "c_custkey", "batch", ["postal"], compatible=False)
+    return out.select("c_custkey", "batch", "X", "score", "address_match", "geo_status")
+
+
+@query(
+    "src_unreadable",
+    """
+    SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'not an array of rows' WHEN '2-HIGH' THEN 'empty'
+           WHEN '3-MEDIUM' THEN 'rows of another length than the header' ELSE 'header names repeat' END AS reason
+    FROM orders WHERE o_orderpriority <> '5-LOW'
+    """,
+)
+def _unreadable(t):
+    kind = F.col("o_orderpriority")
+    payload = (
+        F.when(kind == "1-URGENT", F.lit("{oops"))
+        .when(kind == "2-HIGH", F.lit(" "))
+        .when(kind == "3-MEDIUM", F.concat(F.lit('[["a","b"],["1"]'), F.lit("]")))
+        .when(kind == "5-LOW", F.lit('[["a","b"],["1","2"]]'))
+        .otherwise(F.lit('[["a","a"],["1","2"]]'))
+    )
+    landed = t.orders.select("o_orderkey", payload.alias("payload"))
+    return feeds.unreadable_payloads(landed, "payload", ["o_orderkey"])

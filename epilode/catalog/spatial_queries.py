@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epilode.catalog.registry import query
+from epilode.catalog.registry import query, title_sql
+from epilode.functions import fixed_values as V
 from epilode.functions import geometry as G
 from epilode.operators import spatial as S
 from epilode.plans import layers as L
@@ -186,3 +187,147 @@ def _layer_build(t):
         "geoid_county", "name_county", F.round(F.col("area_land_sqmi") * 1000, 6).alias("land"),
         F.round(F.col("area_sqmi") * 1000, 6).alias("total"), "srid",
     )
+
+
+def _census(t, **names: str) -> DataFrame:
+    """Areas of the parts as a national table, under its own column names."""
+    land, water = F.col("p_retailprice") * 1e6, F.col("p_size") * 1e6
+    return t.part.select(F.col("p_partkey").cast("string").alias(names["key"]), land.alias(names["land"]), water.alias(names["water"]))
+
+
+def _thousandths(*columns: str) -> list:
+    return [F.round(F.col(c) * 1000, 6).alias(c) for c in columns]
+
+
+_AREAS_SQL = """round(p_retailprice * 1000 / 27.8784, 6) AS area_land_sqmi, round((p_retailprice + p_size) * 1000 / 27.8784, 6) AS area_sqmi"""
+
+
+@query(
+    "sp_layer_zctas",
+    f"""
+    SELECT CAST(p_partkey AS VARCHAR) AS geoid_zcta, p_name AS primary_city, p_type AS partial, p_size AS percent, p_brand AS notes,
+           {_AREAS_SQL}, 3435 AS srid FROM part WHERE p_type <> 'PROMO'
+    """,
+)
+def _layer_zctas(t):
+    layer = S.set_crs(_parts(t).drop("p_name"), 3435).join(t.part, "p_partkey").select(
+        F.when(F.col("p_type") != "PROMO", F.col("p_partkey").cast("string")).alias("zcta"), F.col("p_name").alias("prmry_c"),
+        F.col("p_type").alias("prtl_pp"), F.col("p_size").alias("prcnt_d"), F.col("p_brand").alias("notes"), "geom", "srid",
+    )
+    national = _census(t, key="GEOID20", land="ALAND20", water="AWATER20").withColumn("geom", F.lit(None))
+    out = L.zctas(layer, national, 3435)
+    return out.select(
+        "geoid_zcta", "primary_city", "partial", "percent", "notes", *_thousandths("area_land_sqmi", "area_sqmi"), "srid"
+    )
+
+
+@query(
+    "sp_layer_municipalities",
+    f"""
+    WITH p AS (SELECT *, CASE WHEN p_type = 'PROMO' THEN 'Chicago' ELSE p_name || ' ' || p_partkey END AS name_place,
+                      CASE WHEN p_size % 3 = 0 THEN 'OOJ' ELSE p_brand END AS district FROM part),
+         a AS (SELECT p_partkey, {_AREAS_SQL} FROM part WHERE p_type <> 'PROMO')
+    SELECT name_place, CAST(a.p_partkey AS VARCHAR) AS geoid_place,
+           CASE WHEN district = 'OOJ' AND name_place <> 'Chicago' THEN 'SCC' WHEN district = 'OOJ' THEN 'Chicago' ELSE 'LOCAL' END AS location,
+           district, area_land_sqmi, area_sqmi FROM p LEFT JOIN a USING (p_partkey)
+    """,
+)
+def _layer_municipalities(t):
+    name = F.when(F.col("p_type") == "PROMO", F.lit("Chicago")).otherwise(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")))
+    layer = S.set_crs(_parts(t).drop("p_name"), 3435).join(t.part, "p_partkey").select(
+        name.alias("muni_name"), F.when(F.col("p_size") % 3 == 0, F.lit("OOJ")).otherwise(F.col("p_brand")).alias("district"),
+        F.lit(None).cast("string").alias("partial"), F.lit(None).cast("string").alias("exclude"), "geom", "srid",
+    )
+    places = _census(t, key="GEOID", land="ALAND", water="AWATER").join(
+        t.part.filter("p_type <> 'PROMO'").select(F.col("p_partkey").cast("string").alias("GEOID"), name.alias("NAME")), "GEOID"
+    ).withColumn("geom", F.lit(None))
+    out = L.municipalities(layer, places, 3435)
+    return out.select("name_place", "geoid_place", "location", "district", *_thousandths("area_land_sqmi", "area_sqmi"))
+
+
+@query(
+    "sp_layer_districts",
+    f"""
+    WITH {_PARTS_SQL}, d AS (SELECT p.*, p_name, p_type, (x2 - x1) * (y2 - y1) * 1000000 / 27878400.0 AS area FROM p JOIN part USING (p_partkey))
+    SELECT p_partkey, 'municipality' AS recipe, CASE WHEN p_type = 'PROMO' THEN 'OOJ' ELSE p_name END AS district,
+           round(area, 6) AS area_msqmi FROM d
+    UNION ALL
+    SELECT p_partkey, 'tract', CASE WHEN p_type = 'PROMO' THEN 'OOJ' ELSE {title_sql('p_name')} END, round(area, 6) FROM d
+    """,
+)
+def _layer_districts(t):
+    rows = _parts(t).join(t.part.select("p_partkey", "p_type"), "p_partkey")
+    shown = F.when(F.col("p_type") == "PROMO", F.lit("Outside")).otherwise(F.col("p_name"))
+    by_place = L.districts_by_municipality(rows.select("p_partkey", shown.alias("district"), "geom"))
+    raw = F.when(F.col("p_type") == "PROMO", F.lit("outside")).otherwise(F.col("p_name"))
+    by_tract = L.districts_by_tract(rows.select("p_partkey", raw.alias("district"), F.lit(1).alias("tracts"), F.lit(0.0).alias("sqmi"), "geom"))
+    area = F.round(F.col("area_sqmi") * 1000000, 6).alias("area_msqmi")
+    return by_place.select("p_partkey", F.lit("municipality").alias("recipe"), "district", area).unionByName(
+        by_tract.select("p_partkey", F.lit("tract").alias("recipe"), F.col("name_district").alias("district"), area)
+    )
+
+
+@query(
+    "sp_layer_tracts",
+    f"""
+    WITH d AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS fips, {title_sql('p_name')} AS name_district,
+                      CASE WHEN p_type = 'PROMO' THEN 'Chicago' ELSE p_type END AS location, p_brand, p_size, p_retailprice FROM part)
+    SELECT 2010 AS year, fips, name_district, location, p_brand AS name_tract, round(p_retailprice, 6) AS area FROM d
+    UNION ALL
+    SELECT 2020, fips, name_district, location, p_brand, round((p_retailprice + p_size) * 1000 / 27.8784, 6) FROM d
+    """,
+)
+def _layer_tracts(t):
+    fips = F.lpad(F.col("p_partkey").cast("string"), 11, "0")
+    layer = t.part.select(
+        fips.alias("fips"), F.col("p_name").alias("district"),
+        F.when(F.col("p_type") == "PROMO", F.lit("chicago")).otherwise(F.col("p_type")).alias("location"), F.lit(0.0).alias("sqmi"),
+    )
+    old = t.part.select(
+        F.substring(fips, 1, 2).alias("STATE"), F.substring(fips, 3, 3).alias("COUNTY"), F.substring(fips, 6, 6).alias("TRACT"),
+        F.col("p_brand").alias("NAME"), F.col("p_retailprice").alias("CENSUSAREA"), F.lit(None).alias("geom"),
+    )
+    new = t.part.select(
+        fips.alias("GEOID"), F.col("p_brand").alias("NAME"), (F.col("p_retailprice") * 1e6).alias("ALAND"),
+        (F.col("p_size") * 1e6).alias("AWATER"), F.lit(None).alias("geom"),
+    )
+    first, second = L.tracts_2010(layer, old), L.tracts_2020(layer, new)
+    return first.select(
+        F.lit(2010).alias("year"), F.col("geoid_tract_2010").alias("fips"), "name_district", "location",
+        F.col("name_tract_2010").alias("name_tract"), F.round("area_sqmi", 6).alias("area"),
+    ).unionByName(second.select(
+        F.lit(2020).alias("year"), F.col("geoid_tract_2020").alias("fips"), "name_district", "location",
+        F.col("name_tract_2020").alias("name_tract"), F.round(F.col("area_sqmi") * 1000, 6).alias("area"),
+    ))
+
+
+@query(
+    "sp_layer_boundary",
+    """
+    WITH c AS (SELECT max(p_partkey) * 10.0 + 30 AS w FROM part),
+         m AS (SELECT sum(4 * (1.0 + p_size % 2)) AS a, count(*) AS holes FROM part WHERE p_type = 'PROMO'),
+         s AS (SELECT count(*) * 5 * 2.0 AS a, count(*) AS holes FROM supplier WHERE s_nationkey < 5)
+    SELECT 'home' AS name, 3435 AS srid, 1 AS polygons, CAST(1 + m.holes + s.holes AS INTEGER) AS rings,
+           round(w * 40 - m.a - s.a, 4) AS area FROM c, m, s
+    """,
+)
+def _layer_boundary(t):
+    width = t.part.agg(F.max("p_partkey") * 10.0 + 30)
+    county = width.toDF("w").select(
+        F.lit("17").alias("STATEFP"), F.lit("031").alias("COUNTYFP"), G.box(F.lit(0.0), F.lit(-20.0), F.col("w"), F.lit(20.0)).alias("geom")
+    )
+    x = F.col("p_partkey") * 10.0
+    places = t.part.select(
+        F.when(F.col("p_type") == "PROMO", F.lit(V.MASK_PLACES[0])).otherwise(F.col("p_name")).alias("NAME"),
+        G.box(x + 3, F.lit(1.0), x + 7, 2.0 + F.col("p_size") % 2).alias("geom"),
+    )
+    sx = F.col("s_suppkey") * 10.0
+    townships = t.supplier.select(
+        F.lit("031").alias("COUNTYFP"), F.when(F.col("s_nationkey") < 5, F.lit(V.MASK_TOWNSHIPS[0])).otherwise(F.col("s_name")).alias("NAME"),
+        G.box(sx, F.lit(-5.0), sx + 5, F.lit(-3.0)).alias("geom"),
+    )
+    out = L.jurisdiction_boundary(county, places, townships, 3435, "home")
+    return out.select(
+        "name", "srid", F.size("geom").alias("polygons"), F.aggregate("geom", F.lit(0), lambda n, p: n + F.size(p)).alias("rings"),
+        F.round(G.area(F.col("geom")), 4).alias("area"),
+    )

@@ -220,6 +220,11 @@ WASTEWATER_TARGETS = {
     "sars_cov2": "pcr_target_avg_conc",
     "rsv": "rsv_copies_l_wastewater",
 }
+WASTEWATER_NAMES = {
+    "marker_mean": "pmmov_ref_conc_site",
+    "flow_mean": "flow_rte_site_avg",
+    "pcr_target_avg_conc": "sars_cov2_copies_l_wastewater",
+}
 
 # Units outside the jurisdiction.
 EXCLUDED_PLACES = [

@@ -58,5 +58,5 @@ def normalise_sites(samples: DataFrame, targets: dict[str, str], site: str = "sh
 
 
 def prepare(raw: DataFrame) -> DataFrame:
-    """The whole preparation of a raw extract."""
-    return normalise_sites(label_plants(raw), V.WASTEWATER_TARGETS)
+    """The whole preparation of a raw extract, under the names of the published table."""
+    return normalise_sites(label_plants(raw), V.WASTEWATER_TARGETS).withColumnsRenamed(V.WASTEWATER_NAMES)

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as entry_module
 from oracle import compare, connect
@@ -34,16 +35,51 @@ def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["match_town", "match_closest", "weekly_report", "win_share", "join_spatial_intersects"])
-def test_plan_has_no_cross_join(spark, name):
-    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+@pytest.fixture
+def plans_of(spark, monkeypatch):
+    """Physical plans of a query: of every table it writes on the way, and of its result."""
+    seen = []
+    write = DataFrameWriter.parquet
 
+    def recorded(self, path, *args, **options):
+        seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **options)
 
-@pytest.mark.parametrize("name", ["fn_address", "fn_town_rules", "fn_race_eth", "agg_median_sd", "ww_prepare", "win_share"])
-def test_plan_stays_in_the_jvm(spark, name):
-    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+
+    def run(name):
+        seen.clear()
+        last = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        return [*seen, last]
+
+    return run
+
+
+@pytest.mark.parametrize("name", [
+    "match_town", "match_closest", "match_closest_words", "match_unique_edit1", "match_method_compare", "weekly_report", "win_share",
+    "win_batch_id", "join_spatial_intersects", "sp_clip", "sp_dissolve", "trend_interval", "ww_prepare",
+])
+def test_plans_have_no_cross_join(plans_of, name):
+    for plan in plans_of(name):
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", [
+    "fn_address", "fn_town_rules", "fn_race_eth", "agg_median_sd", "ww_prepare", "win_share", "win_batch_id", "join_spatial_intersects",
+    "sp_clip", "match_unique_edit1",
+])
+def test_plans_stay_in_the_jvm(plans_of, name):
+    for plan in plans_of(name):
+        assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def test_numbering_writes_no_input_rows(plans_of):
+    assert len(plans_of("win_batch_id")) == 1
+
+
+def test_candidates_of_a_trend_ship_no_arrays(plans_of):
+    fits = [p for p in plans_of("trend_derivative_ci") if "FlatMapGroupsInPandas" in p]
+    assert any("resid_sd" in p and "covariance" not in p for p in fits)
 
 
 def test_scan_reads_only_the_needed_columns(spark):

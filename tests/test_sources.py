@@ -3,6 +3,8 @@ import time
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from epilode.sources import feeds, files
 
 FIELDS = "date string, count int, name string"
@@ -100,3 +102,34 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("60482", 'Worth, "IL"')], "zip string, city string")
     files.write_csv(df, str(tmp_path / "out"))
     assert files.read_csv(spark, str(tmp_path / "out"), "zip string, city string").collect() == df.collect()
+
+
+def test_payloads_that_can_not_be_read_are_reported(spark):
+    rows = [(1, "{", "details"), (2, '{"dataDetails":[{"a":1}]}', "details"), (3, "x", "list"), (4, "a\n1", "csv"), (5, "[]", "what"), (6, None, "csv")]
+    landed = spark.createDataFrame(rows, "id int, p string, kind string")
+    got = {tuple(r) for r in feeds.unreadable_payloads(landed, "p", ["id"], "kind").collect()}
+    assert got == {(1, "no dataDetails array"), (3, "not a list"), (5, "unknown kind"), (6, "empty")}
+
+
+def test_matrix_with_repeated_names_and_short_rows(spark):
+    rows = [(1, '[["NAME","a","a"],["x","1","2"]]'), (2, '[["NAME","a"],["y"]]'), (3, "{bad")]
+    landed = spark.createDataFrame(rows, "id int, p string")
+    got = sorted(tuple(r) for r in feeds.matrix_rows(landed, "p", ["id"], ["NAME"]).select("id", "NAME", "variable", "value").collect())
+    assert got[:2] == [(1, "x", "a", "1"), (1, "x", "a", "2")] and got[2] == (2, "y", "a", None) and len(got) == 3
+    reasons = {tuple(r) for r in feeds.unreadable_payloads(landed, "p", ["id"]).collect()}
+    assert reasons == {(1, "header names repeat"), (2, "rows of another length than the header"), (3, "not an array of rows")}
+
+
+def test_quoted_line_ends(spark):
+    landed = spark.createDataFrame([(1, 'a,b\n"x\ny",1\r\n"q ""u"", v",2\n', "csv")], "id int, p string, kind string")
+    got = sorted(tuple(r) for r in feeds.details_rows(landed, "p", "a string, b int", ["id"]).collect())
+    assert got == [(1, 'q "u", v', 2), (1, "x\ny", 1)]
+
+
+def test_layers_of_mixed_systems_are_refused(spark):
+    from epilode.sources import layers
+
+    mixed = spark.createDataFrame([(1, 3435), (2, 4326)], "id int, srid int")
+    with pytest.raises(ValueError):
+        layers.layer_srid(mixed)
+    assert layers.layer_srid(mixed.filter("id = 2")) == 4326 and layers.layer_srid(mixed.drop("srid")) == 3435
