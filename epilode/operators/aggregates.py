@@ -56,11 +56,16 @@ def site_means(df: DataFrame, site: str, columns: dict[str, str]) -> DataFrame:
     return df.groupBy(site).agg(*[strict_mean(F.col(c)).alias(n) for c, n in columns.items()])
 
 
+# Equal parts of the bracket around a median.
+_PARTS = 1024
+
+
 def median_sd(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median and sample deviation per group, missing values skipped.
 
-    A sketch brackets the median first; only the rows inside the bracket (about
-    one in 250 of a large group) are then ranked, so no task holds a group.
+    A sketch brackets the median first.  The values inside the bracket (about one in
+    250 of a large group) are counted in equal parts of it, and only the one or two
+    parts that hold the middle are ranked, so no task holds a fixed share of a group.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     stats = cut_lineage(
@@ -81,12 +86,25 @@ def median_sd(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         "median_counts",
     )
     below = counted.filter("v is null").select(*keys, F.col("c").alias("below"))
-    base = null_safe_join(stats.select(*keys, "n"), below, keys).fillna(0, ["below"])
-    w = Window.partitionBy(*keys).orderBy("v")
-    ranked = null_safe_join(
-        counted.filter("v is not null").withColumn("cum", F.sum("c").over(w)), base, keys
-    ).withColumns({"lo": F.col("below") + F.col("cum") - F.col("c"), "hi": F.col("below") + F.col("cum")})
     r1, r2 = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    base = null_safe_join(stats.select(*keys, "n", "br"), below, keys).fillna(0, ["below"])
+    # The bracket in equal parts; only the parts that hold the middle ranks are sorted.
+    width = (br[1] - br[0]) / _PARTS
+    part = F.when(width > 0, F.least(F.floor((v - br[0]) / width), F.lit(_PARTS - 1))).otherwise(F.lit(0)).cast("int")
+    inner = cut_lineage(
+        null_safe_join(counted.filter("v is not null"), base, keys).withColumn("part", part).drop("br"), "median_parts"
+    )
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = inner.groupBy(*keys, "part", "n", "below").agg(F.sum("c").alias("c")).withColumn(
+        "before", F.coalesce(F.sum("c").over(earlier), F.lit(0)) + F.col("below")
+    )
+    holds = [(F.col("before") < r) & (r <= F.col("before") + F.col("c")) for r in (r1, r2)]
+    chosen = cut_lineage(parts.filter(holds[0] | holds[1]).select(*keys, "part", "before"), "median_chosen")
+    w = Window.partitionBy(*keys, "part").orderBy("v")
+    near = null_safe_join(inner, chosen, [*keys, "part"], "inner")
+    ranked = near.withColumn("cum", F.sum("c").over(w) + F.col("before")).withColumns(
+        {"lo": F.col("cum") - F.col("c"), "hi": F.col("cum")}
+    )
     middle = ranked.groupBy(*keys).agg(
         (
             (F.max(F.when((F.col("lo") < r1) & (r1 <= F.col("hi")), F.col("v")))
