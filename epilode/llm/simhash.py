@@ -174,12 +174,20 @@ def keep_one(
     prints, groups = classes(docs, id_col, text_col, shingle, max_bits, paired)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
     chosen = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("own"))
-    kept_id, kept = fresh_name(docs, "kept_id"), fresh_name(docs, "kept_content")
-    chosen = cut_lineage(chosen.select(F.col("own.doc_id").alias(kept_id), F.col("own.content").alias(kept)), "kept")
-    id_, content, number = fresh_name(docs, "own_id"), fresh_name(docs, "own_content"), fresh_name(docs, "row")
-    keyed = docs.withColumn(id_, F.col(id_col).cast("long")).withColumn(content, _content(text_col))
+    # A null id is told apart by a column of its own, so that plain equality serves.
+    names = [fresh_name(docs, n) for n in ("own_null", "own_id", "own_content", "row", "kept_null", "kept_id", "kept_content")]
+    null, id_, content, number, *kept = names
+    zero = F.lit(0).cast("long")
+    chosen = cut_lineage(
+        chosen.select(*[
+            c.alias(n) for c, n in zip((F.col("own.last"), F.coalesce("own.doc_id", zero), F.col("own.content")), kept)
+        ]),
+        "kept",
+    )
+    long_id = F.col(id_col).cast("long")
+    keyed = docs.withColumn(null, long_id.isNull()).withColumn(id_, F.coalesce(long_id, zero)).withColumn(content, _content(text_col))
     # The window and the join share one shuffle; it drops repeats before that.
-    first = Window.partitionBy(id_, content).orderBy(F.lit(1))
+    first = Window.partitionBy(null, id_, content).orderBy(F.lit(1))
     keyed = keyed.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1)
-    same = F.col(id_).eqNullSafe(F.col(kept_id)) & (F.col(content) == F.col(kept))
+    same = [F.col(a) == F.col(b) for a, b in zip((null, id_, content), kept)]
     return keyed.join(chosen, same, "left_semi").select(*own_columns(docs))
