@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -60,21 +61,21 @@ class WordTokenizer:
 
     _shared: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task per core
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_str(definition)
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.words = _Memory()
 
     @classmethod
-    def of(cls, path: str) -> WordTokenizer:
-        """The worker's own instance, kept between tasks."""
+    def of(cls, path: str, definition: str | None = None) -> WordTokenizer:
+        """The process's own instance for a tokenizer file, kept between tasks."""
         if path not in cls._shared:
-            cls._shared[path] = cls(path)
+            cls._shared[path] = cls(definition or Path(path).read_text(encoding="utf-8"))
         return cls._shared[path]
 
     def _learn(self, unknown: set[str]) -> None:
@@ -136,7 +137,7 @@ def tokenize(
 ) -> DataFrame:
     """Pieces of at most `capacity` tokens: `doc_id, piece, start, length, ids_crc32[, ids], part, place`.
 
-    `tokenizer` is a tokenizer file whose pre-tokenizer drops white space.  `part` and
+    `tokenizer` is a tokenizer file whose pre-tokenizer drops white space; only the driver reads it.  `part` and
     `place` number the pieces of one length: `place` counts within a task's `part`.
     Null texts count as empty, and an empty text is the one token `end`.  Every row of
     `docs` is a document of its own, also where ids are null or repeated.
@@ -147,10 +148,11 @@ def tokenize(
         ("part", pa.int32()), ("place", pa.int64()),
     ])
     last = end.to_bytes(4, "little")
+    definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = WordTokenizer.of(tokenizer)
+        encoder = WordTokenizer.of(tokenizer, definition.value)
         seen: dict[int, int] = {}
         for batch in batches:
             out = []

@@ -1,6 +1,7 @@
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -35,14 +36,14 @@ def test_words_put_together_are_the_text(text):
 
 def test_a_full_memory_is_emptied(monkeypatch):
     monkeypatch.setattr(packing, "_REMEMBERED", 3)
-    own = packing.WordTokenizer(PATH)
+    own = packing.WordTokenizer(Path(PATH).read_text())
     texts = ["The cat, the DOG.", "a b c d e f g h", "the cat", "the THE a, (b) c!! d.), x<|endoftext|> y <|startoftext|>."] * 2
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == [plain_ids(t)[:-1] for t in texts]
 
 
 def test_mixed_words_of_the_table():
     rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
-    for text, got in zip(rows, packing.WordTokenizer(PATH).encode(rows)):
+    for text, got in zip(rows, packing.WordTokenizer.of(PATH).encode(rows)):
         assert np.frombuffer(got, "<u4").tolist() == plain_ids(text)[:-1]
 
 
