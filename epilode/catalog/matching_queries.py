@@ -194,7 +194,7 @@ _WORDS_SQL = """
     f"""
     WITH {_WORDS_SQL},
       s AS (SELECT items.w AS name, words.w AS match, round(1 - jaro_similarity(items.w, words.w), 12) AS d FROM items, words)
-    SELECT name, arg_min(match, ROW(d, match)) AS match, round(min(d), 9) AS distance FROM s WHERE d <= 0.2 GROUP BY name
+    SELECT name, arg_min(match, ROW(d, match)) AS match, round(min(d), 9) AS distance FROM s WHERE d <= 0.1 GROUP BY name
     """,
 )
 def _closest_words(t):
@@ -204,7 +204,7 @@ def _closest_words(t):
         return df.select(found.alias("w")).distinct().filter("length(w) > 3")
 
     known = words(t.documents).select("w", F.col("w").alias("ordinal"))
-    found = M.closest(words(t.benchmark), "w", known, "w", "ordinal", 0.2)
+    found = M.closest(words(t.benchmark), "w", known, "w", "ordinal", 0.1)
     return found.withColumn("distance", F.round("distance", 9))
 
 
