@@ -143,7 +143,8 @@ def _match_town(t):
 _MEASURES = {
     "jw": "round(1 - jaro_similarity(name, city), 12)",
     "cosine": f"round({cosine_sql('name', 'city')}, 12)",
-    "osa": "damerau_levenshtein(name, city)",
+    # A swap that costs two edits is no swap.
+    "osa": "levenshtein(name, city)",
 }
 
 
@@ -179,7 +180,7 @@ def _method_sql(method: str) -> str:
     """,
 )
 def _methods(t):
-    rows = method_table(part_towns(t), "town", "zip", gazetteer(t), ANCHOR)
+    rows = method_table(part_towns(t), "town", "zip", gazetteer(t), ANCHOR, weight=(1.0, 1.0, 1.0, 2.0))
     return rows.withColumns({c: F.round(c, 9) for c in ("jw_dist", "cos_dist")})
 
 

@@ -195,16 +195,19 @@ def compare_methods(df: DataFrame, town: str, zip_code: str | None, gaz: Gazette
     return rows.select("town", "zip", match.alias("match"))
 
 
-def method_table(df: DataFrame, town: str, zip_code: str, gaz: Gazetteer, anchor: str = V.ANCHOR_TOWN) -> DataFrame:
+def method_table(df: DataFrame, town: str, zip_code: str, gaz: Gazetteer, anchor: str = V.ANCHOR_TOWN,
+                 weight: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """Answers of the methods side by side, with and without zip: one row per (town, zip).
 
+    `weight` is that of `osa`.
+
     `jw_dist` and `cos_dist` are the town's Jaro and cosine distance from `jw_all`.
     """
     keys = cut_lineage(df.select(F.col(town).alias("town"), F.col(zip_code).cast("string").alias("zip")).distinct(), "table_keys")
     out = keys
     for method in ("jw", "cosine", "osa"):
-        with_zip = compare_methods(keys, "town", "zip", gaz, method, anchor).withColumnRenamed("match", method)
-        without = compare_methods(keys, "town", None, gaz, method, anchor).select("town", F.col("match").alias(f"{method}_all"))
+        with_zip = compare_methods(keys, "town", "zip", gaz, method, anchor, weight=weight).withColumnRenamed("match", method)
+        without = compare_methods(keys, "town", None, gaz, method, anchor, weight=weight).select("town", F.col("match").alias(f"{method}_all"))
         out = null_safe_join(null_safe_join(out, with_zip, ["town", "zip"]), without, ["town"])
     name = title_case(F.col("town"))
     return out.withColumns({"jw_dist": D.jaro(name, F.col("jw_all")), "cos_dist": D.cosine(name, F.col("jw_all"))})
