@@ -18,7 +18,7 @@ from epilode.catalog import QUERIES  # noqa: E402
 from epilode.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "weekly_report", "match_town", "match_closest", "match_closest_words", "match_unique_edit1", "match_method_compare",
+    "weekly_report", "match_town", "match_closest", "match_closest_all_words", "match_unique_edit1", "match_method_compare",
     "fn_town_rules", "fn_address", "fn_race_eth", "agg_median_sd", "win_first_row", "win_share",
     "win_batch_id", "ww_prepare", "trend_derivative_ci", "agg_jurisdiction", "agg_acs_table",
     "src_details_json", "sink_geocode_payload", "join_spatial_intersects", "sp_clip",

@@ -209,6 +209,19 @@ def _closest_words(t):
     return found.withColumn("distance", F.round("distance", 9))
 
 
+# No SQL: the product of two vocabularies is the operator's cost at its own threshold.
+@query("match_closest_all_words")
+def _closest_all_words(t):
+    """All words of the benchmark against all of the documents, at the operator's default threshold."""
+    def words(df):
+        found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
+        return df.select(found.alias("w")).distinct()
+
+    known = words(t.documents).select("w", F.col("w").alias("ordinal"))
+    found = M.closest(words(t.benchmark), "w", known, "w", "ordinal")
+    return found.withColumn("distance", F.round("distance", 9))
+
+
 @query(
     "match_report",
     f"""

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from epilode.catalog import QUERIES
 from epilode.functions.text import blank_to_null, normalise_town, title_case
 from epilode.operators import matching as M
 from epilode.plans.town_matching import Gazetteer, compare_methods, match_towns
@@ -286,3 +287,32 @@ def test_empty_texts_and_thresholds(spark):
     with pytest.raises(ValueError):
         M.nearest(names, "name", options, "candidate", "ordinal", "soundex")
     assert M.closest(names, "name", options, "candidate", "ordinal", 1, "osa").count() == 2
+
+
+def plain_jaro(a, b):
+    reach, taken, left = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, x in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == x), None)
+        if j is not None:
+            taken.add(j)
+            left.append(x)
+    m = len(left)
+    turned = sum(x != b[j] for x, j in zip(left, sorted(taken))) // 2
+    return (m / len(a) + m / len(b) + (m - turned) / m) / 3 if m else 0.0
+
+
+def test_all_words_equal_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    known = sorted({"".join(rng.choice("aeiouléñstr") for _ in range(rng.randint(1, 9))) for _ in range(400)})
+    asked = sorted({damage(rng, rng.choice(known)).lower().replace(" ", "") or "a" for _ in range(120)} | {"été", "il", "zzqq"})
+    for name, own in (("documents", known), ("benchmark", asked)):
+        rows = [(n, ", ".join(own[n::5]).upper() + ".") for n in range(5)]
+        spark.createDataFrame(rows, "id long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.name: (r.match, r.distance) for r in QUERIES["match_closest_all_words"](spark, str(tmp_path)).collect()}
+    want = {}
+    for a in asked:
+        d, w = min((round(1 - plain_jaro(a, w), 12), w) for w in known)
+        if d <= 0.25:
+            want[a] = (w, round(d, 9))
+    assert got == want
+    assert any(d > 0.1 for _, d in got.values()) and any(len(a) <= 3 for a in got) and any("é" in a for a in got)
