@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilode.catalog.registry import Tables
-from epilode.llm import chat, decontamination, language, licenses, packing, pii, simhash, substrings, topk, urls
+from epilode.llm import centroids, chat, decontamination, language, licenses, lines, negatives, packing, pii, simhash, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +214,83 @@ def op6_licences(t: Tables) -> DataFrame:
         F.concat_ws(",", F.array_sort(F.array_distinct("licences.notices.family"))).alias("families"),
         F.col("licences.notices").alias("notices"),
     )
+
+
+_KEPT_VECTORS = """
+  vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query("op11_negatives", f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND {_KEPT_VECTORS}),
+s AS (
+  SELECT q.r AS anchor, q.vec_id AS anchor_id, c.r, c.vec_id, c.label = q.label AS same, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) AS place FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY s.score DESC, s.vec_id, s.r)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+  WHERE place <= 5)
+SELECT * FROM n WHERE rank <= 3
+""")
+def op11_negatives(t: Tables) -> DataFrame:
+    """Three hard negatives for each of the five positives of every fiftieth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(t.embeddings, F.col("vec_id") % 50 == 0, label)
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Chained tables c0, a0, c1, ...: centroids, and each vector's nearest one."""
+    out = ["c0 AS (SELECT (row_number() OVER (ORDER BY h NULLS LAST, vec_id, e) - 1)::INTEGER AS cluster, e AS c FROM v ORDER BY cluster LIMIT 8)"]
+    for i in range(rounds + 1):
+        out.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, ROW(d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT r, cluster, list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""
+m{i} AS (SELECT cluster, g, sum(x) AS s, count(*) AS n FROM (
+  SELECT cluster, unnest(e) AS x, unnest(range(1, 65)) AS g FROM a{i} JOIN v USING (r)) GROUP BY ALL),
+l{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY g) AS c FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(l.c, o.c) AS c FROM c{i} AS o LEFT JOIN l{i} AS l USING (cluster))""")
+    return ",".join(out)
+
+
+@query("op12_centroids", f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, sha256('3:' || vec_id) AS h, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+{_rounds_sql(10)}
+SELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a10 JOIN v USING (r) JOIN c10 USING (cluster)
+""")
+def op12_centroids(t: Tables) -> DataFrame:
+    """Every vector's cluster after ten rounds over eight centroids."""
+    found = centroids.k_means(t.embeddings)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+@query("op13_lines", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT r, doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d)),
+k AS (
+  SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT r, doc_id, key FROM l WHERE length(key) >= 40)
+  GROUP BY key HAVING count(*) >= 5 AND max(doc_id) IS NOT NULL),
+j AS (SELECT r, l.doc_id, i, line, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM keeper AS dropped FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+""")
+def op13_lines(t: Tables) -> DataFrame:
+    """Every document without the lines that many share."""
+    found = lines.dedup(t.documents.select("doc_id", "text"))
+    return found.select(
+        F.col("doc_id").cast("long"), "lines.n_lines", "lines.n_dropped", F.sha2(F.coalesce("lines.text", F.lit("")), 256).alias("kept_sha256")
+    )
