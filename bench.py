@@ -1,7 +1,8 @@
 """Headline queries, timed; prints one JSON line.
 
 BENCH_SF_DIR names the table folder, BENCH_CPUS the local cores, and
-BENCH_QUERIES (optional) a comma list of query names.
+BENCH_QUERIES (optional) a comma list of query names.  BENCH_WORK_DIR (optional) is the
+folder for written intermediates; without it, a new temporary folder serves.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from epilode.catalog import QUERIES  # noqa: E402
 from epilode.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "weekly_report", "match_town", "match_closest", "match_closest_words", "match_unique_edit1", "match_method_compare",
+    "weekly_report", "match_town", "match_closest", "match_closest_all_words", "match_unique_edit1", "match_method_compare",
     "fn_town_rules", "fn_address", "fn_race_eth", "agg_median_sd", "win_first_row", "win_share",
     "win_batch_id", "ww_prepare", "trend_derivative_ci", "agg_jurisdiction", "agg_acs_table",
     "src_details_json", "sink_geocode_payload", "join_spatial_intersects", "sp_clip",
@@ -39,7 +40,7 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="epilode-bench-"),
+            "spark.checkpoint.dir": os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="epilode-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

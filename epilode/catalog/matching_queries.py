@@ -209,8 +209,26 @@ def _closest_words(t):
     return found.withColumn("distance", F.round("distance", 9))
 
 
-# No SQL: the product of two vocabularies is the operator's cost at its own threshold.
-@query("match_closest_all_words")
+def _all_words_sql(table: str) -> str:
+    return f"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+')) AS w FROM {table}"
+
+
+# DuckDB compares bytes: accented letters count as one character when a capital stands for each.
+_ACCENTED, _CAPITALS = "ßàáâäæçèéêëìíîïñòóôöùúûüÿœ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALL_WORDS_SQL = ", ".join(
+    f"{name} AS (SELECT w, translate(w, '{_ACCENTED}', '{_CAPITALS}') AS c FROM ({_all_words_sql(table)}))"
+    for name, table in (("words", "documents"), ("items", "benchmark"))
+)
+
+
+@query(
+    "match_closest_all_words",
+    f"""
+    WITH {_ALL_WORDS_SQL},
+      s AS (SELECT items.w AS name, words.w AS match, round(1 - jaro_similarity(items.c, words.c), 12) AS d FROM items, words)
+    SELECT name, arg_min(match, ROW(d, match)) AS match, round(min(d), 9) AS distance FROM s WHERE d <= 0.25 GROUP BY name
+    """,
+)
 def _closest_all_words(t):
     """All words of the benchmark against all of the documents, at the operator's default threshold."""
     def words(df):

@@ -163,17 +163,21 @@ def _char_count(text: Column, char: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, char, F.lit("")))).cast("double")
 
 
-def _dot(chars: Column, left: Column, right: Column) -> Column:
-    return F.aggregate(chars, F.lit(0.0), lambda s, c: s + _char_count(left, c) * _char_count(right, c))
-
-
 def characters(text: Column) -> Column:
     """The characters of a text as an array."""
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine distance between the character counts of two texts."""
-    chars_a, chars_b = F.array_distinct(characters(left)), F.array_distinct(characters(right))
-    norm = F.sqrt(_dot(chars_a, left, left)) * F.sqrt(_dot(chars_b, right, right))
-    return F.round(F.lit(1.0) - F.try_divide(_dot(chars_a, left, right), norm), DIGITS)
+def dot(left: Column, right: Column) -> Column:
+    """Inner product of the character counts of two texts: for each character of one, its count in the other."""
+    return F.aggregate(characters(left), F.lit(0.0), lambda s, c: s + _char_count(right, c))
+
+
+def cosine(left: Column, right: Column, left_square: Column | None = None, right_square: Column | None = None) -> Column:
+    """Cosine distance between the character counts of two texts.
+
+    The squared norms (`dot` of a text with itself) are computed unless they are given.
+    """
+    left_square = dot(left, left) if left_square is None else left_square
+    right_square = dot(right, right) if right_square is None else right_square
+    return F.round(F.lit(1.0) - F.try_divide(dot(left, right), F.sqrt(left_square) * F.sqrt(right_square)), DIGITS)

@@ -1,20 +1,31 @@
 """Fuzzy matching of names against a list of candidates.
 
-Nothing here compares every name with every candidate.  Names are reduced to
-their distinct values, and pairs come from equi-joins on keys that two strings
-within the threshold must share (see `_length_tokens` and `edit_keys`), so the
-joins partition, can be split by AQE when a key is hot, and turn into broadcast
-joins only when the measured size of the candidate side allows it.  Distances
-are computed on the surviving pairs, and the best candidate is a `min_by`, which
-combines on the map side.
-
-Keys are exploded with `explode_outer`: for a plain `explode` the optimizer adds
-a not-empty test on the key array and pushes it below the `distinct`, where the
-keys would be computed for every row instead of every distinct name.
+Names and candidates are reduced to distinct texts, written with their length and a
+64-bit mask of their characters.  Two masks bound from above how many characters the
+texts share, and with the lengths that bounds every distance from below, in a few
+machine instructions a pair.  Searches for the nearest candidate go best first: of some
+groups of candidates the one with the least bound is measured, and what it reaches limits
+which lengths the name meets and which pairs are measured at all.
+
+Pairs come from equi-joins on the length, and on a part of the candidates where there are
+many, so the joins partition and turn into broadcast joins only where the written size of
+a side allows it.  Where the product of both sides is large, names that equal a candidate
+leave first, then those with one nearby, found by an equi-join on keys that near texts
+must share: characters for Jaro (`_length_tokens`), segments for edits (`within_edits`),
+leading characters for cosine.  No step loses a pair that matters.
+
+Distances are computed on the surviving pairs, and the best candidate is a `min_by`, which
+combines on the map side.  Keys are exploded with `explode_outer`: for a plain `explode`
+the optimizer adds a not-empty test on the key array and pushes it below the `distinct`,
+where the keys would be computed for every row instead of every distinct name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +35,38 @@ from epilode.session import cut_lineage
 # Letters from rare to frequent; any fixed order is correct, a rarity order
 # makes the shared keys selective.  Other characters count as rare.
 _LETTERS = "qjxzkvbywgpfmucdlhrsniotae "
-
-# Level of the first pass when no threshold is given.
-_NEAR = 0.25
+# So many of the frequent ones have a bit for their second occurrence.
+_DOUBLED = 14
+
+# What counts as nearby where the product of both sides is large: a distance for Jaro and
+# cosine, edits otherwise.
+_NEAR = 0.1
+_EDITS = 2
+
+# Pairs of names and candidates from which on guesses come first, and from which on near
+# ones are looked up by keys first.  Neither changes a result.
+_FEW = 500_000
+_MANY = 20_000_000_000
+# Candidates of a list that is short.
+_SHORT = 200
+# Groups of candidates that each give a name one first guess.
+_GUESSES = 4
+# Candidates of a part, so that a length is no hot key.
+_PART_ROWS = 250_000
+# Names are spread by work and not by bytes: pairs of a task, at least where cores would
+# be idle and else, and tasks at most.
+_LEAST_PAIRS, _TASK_PAIRS, _TASKS = 5_000, 500_000, 4096
+# Rounding of floating-point bounds.
+_SLACK = 1e-9
 
 # Tokens that make a lookup key, and what parts them in it.
 _JOINED = 3
 _PART = "\u0001"
 
+_PLAIN = (1.0, 1.0, 1.0, 1.0)
+#: A measure: method, distance of two columns, prefix weight, edit weights.
+_Measure = tuple[str, Callable[[Column, Column], Column], float, tuple[float, float, float, float]]
+
 # A Jaro distance from here on need not mean a shared character.
 _JARO_LIMIT = 2.0 / 3.0
 
@@ -84,12 +119,13 @@ def _combinations(tokens: Column, size: Column) -> Column:
     return F.transform(picked, lambda c: c["t"])
 
 
-def _overlap_needed(la: Column, lb: Column, threshold: float) -> Column:
+def _overlap_needed(la: Column, lb: Column, threshold: Column | float) -> Column:
     """Shared characters two strings need to be within a Jaro distance.
 
     Similarity is at most (m/la + m/lb + 1)/3 for m shared characters.
     """
-    need = F.ceil(F.try_divide((2.0 - 3.0 * threshold) * la * lb, la + lb) - 1e-9)
+    limit = F.least(F.lit(threshold) if isinstance(threshold, float | int) else threshold, F.lit(1.0))
+    need = F.ceil(F.try_divide((2.0 - 3.0 * limit) * la * lb, la + lb) - _SLACK)
     # Two empty texts are equal.
     return F.when(la + lb == 0, F.lit(0)).otherwise(F.greatest(need, F.lit(1))).cast("int")
 
@@ -131,6 +167,85 @@ def _lengths_of(df: DataFrame, col: str) -> Column:
     return df.agg(F.collect_set(col)).scalar()
 
 
+def _mask(sorted_chars: Column) -> Column:
+    """A bit for each character and its number of occurrences; some share a bit.
+
+    Letters have bits of their own, and so has the second occurrence of frequent ones; all
+    else is hashed to the other bits.
+    """
+    def before(i: Column, n: int) -> Column:
+        return F.get(sorted_chars, i - n)
+
+    def bit(c: Column, i: Column) -> Column:
+        again = F.coalesce(before(i, 1) == c, F.lit(False))
+        third = again & F.coalesce(before(i, 2) == c, F.lit(False))
+        letter = F.instr(F.lit(_LETTERS), c)  # frequent ones last
+        own = len(_LETTERS) + _DOUBLED
+        hashed = own + F.pmod(F.hash(c) + F.when(third, 7).when(again, 5).otherwise(0), F.lit(64 - own))
+        twice = letter - 1 + _DOUBLED
+        place = F.when((letter > 0) & ~again, letter - 1).when((letter > 0) & ~third & (twice >= len(_LETTERS)), twice).otherwise(hashed)
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+    return F.aggregate(F.transform(sorted_chars, bit), F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(b))
+
+
+def _profiled(df: DataFrame, text: str, side: str) -> DataFrame:
+    """`df` with the text's length, mask and squared norm of character counts: `l`, `m`, `q` and the side."""
+    return df.withColumn("_chars", F.array_sort(D.characters(F.col(text)))).withColumns({
+        f"l{side}": F.length(text), f"m{side}": _mask(F.col("_chars")), f"q{side}": D.dot(F.col(text), F.col(text)),
+    }).drop("_chars")
+
+
+def _missing(a: str, b: str) -> Column:
+    """Characters of one text, at least, without an equal one in the other."""
+    return F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+
+
+def _shared() -> Column:
+    """Characters two texts share, at most."""
+    return F.least(F.col("la") - _missing("ma", "mb"), F.col("lb") - _missing("mb", "ma"))
+
+
+class _Options:
+    """Written candidates, with what a search needs to know about them."""
+
+    def __init__(self, candidates: DataFrame):
+        self.table = cut_lineage(_profiled(candidates, "candidate", "b"), "candidates")
+        # One row per length: as many as the longest candidate has characters.
+        rows = self.table.groupBy("lb").agg(F.count("*").alias("n"), F.min("ordinal").alias("first")).collect()
+        self.count, self.lengths = sum(r.n for r in rows), [r.lb for r in rows]
+        self.firsts = {r.lb: r.first for r in rows}
+        self.parts = max(1, -(-self.count // _PART_ROWS))
+
+    def lengths_column(self) -> Column:
+        return F.array(*[F.lit(n) for n in self.lengths]).cast("array<int>")
+
+    def met_by(self, names: DataFrame, facts: dict[str, Column] | None = None, length_matters: Column | None = None) -> DataFrame:
+        """Pairs of names and candidates of lengths that matter, with the bound `shared`.
+
+        `facts` are columns of the name and the candidate's length, computed once for both.
+        `is_first` tells the first candidate of a length: it stands for all that share
+        nothing with a name.
+        """
+        left = names.withColumn("lb", F.explode(self.lengths_column())).withColumns(facts or {})
+        left = left if length_matters is None else left.where(length_matters)
+        firsts = F.create_map(*[x for n, o in self.firsts.items() for x in (F.lit(n), F.lit(o))])
+        right = self.table.withColumn("is_first", F.col("ordinal") == firsts[F.col("lb")])
+        on = ["lb"]
+        if self.parts > 1:
+            left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
+            right, on = right.withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(self.parts)).cast("int")), ["lb", "part"]
+        return left.join(right, on).withColumn("shared", _shared())
+
+
+def _reachable(need: Column) -> Column:
+    """A pair that may share so many characters near enough for Jaro, by masks and places."""
+    name, candidate = F.col("name"), F.col("candidate")
+    return (F.col("shared") >= need) & _within_reach(name, candidate, F.col("la"), F.col("lb"), need) & _within_reach(
+        candidate, name, F.col("lb"), F.col("la"), need
+    )
+
+
 def jaro_pairs(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """All (name, candidate) pairs within a Jaro distance, each once.
 
@@ -145,11 +260,20 @@ def measured_pairs(names: DataFrame, candidates: DataFrame, threshold: float) ->
     """Pairs that may be within a Jaro distance, with their distance."""
     if not threshold < _JARO_LIMIT:
         raise ValueError(f"a Jaro threshold of {threshold} is not below 2/3")
+    extra = [c for c in candidates.columns if c not in ("candidate", "ordinal")]
+    options = _Options(candidates)
+    need = {"need": _overlap_needed(F.col("la"), F.col("lb"), threshold)}
+    met = options.met_by(_spread(_profiled(names.select("name"), "name", "a"), 0), need, F.col("need") <= F.least("la", "lb"))
+    met = met.where(_reachable(F.col("need")))
+    return met.select("name", "candidate", "ordinal", *extra).withColumn("distance", D.jaro(F.col("name"), F.col("candidate")))
+
+
+def _keyed_jaro_pairs(names: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """As `measured_pairs`, from an equi-join on characters that near texts share."""
     a = names.select("name", F.length("name").alias("la"), _tokens(F.col("name")).alias("tokens"))
     b = candidates.withColumn("lb", F.length("candidate")).withColumn("tokens", _tokens(F.col("candidate")))
     left = _length_tokens(a, "la", "lb", _lengths_of(b, "lb"), threshold)
     right = _length_tokens(b, "lb", "la", _lengths_of(a, "la"), threshold).withColumnsRenamed({"tokens": "tokens_b", "prefix": "prefix_b"}).drop("need", "joined")
-    extra = [c for c in candidates.columns if c not in ("candidate", "ordinal")]
     # Written first: a short list is broadcast and the names stay where they are.
     met = left.join(cut_lineage(right, "candidate_index"), ["la", "lb", "token"]).filter(
         # Prefixes keep the common order: count a pair at its first shared key.
@@ -158,7 +282,42 @@ def measured_pairs(names: DataFrame, candidates: DataFrame, threshold: float) ->
         & _within_reach(F.col("name"), F.col("candidate"), F.col("la"), F.col("lb"), F.col("need"))
         & _within_reach(F.col("candidate"), F.col("name"), F.col("lb"), F.col("la"), F.col("need"))
     )
-    return met.select("name", "candidate", "ordinal", *extra).withColumn("distance", D.jaro(F.col("name"), F.col("candidate")))
+    return met.select("name", "candidate", "candidate_text", "ordinal").withColumn("distance", D.jaro(F.col("name"), F.col("candidate")))
+
+
+def _segments(text: Column, length: Column, count: int, shift: Column | int) -> Column:
+    """The `count` segments of a text of some length, cut evenly; with a shift, what stands there in another text."""
+    def one(i: Column) -> Column:
+        start, stop = F.floor(i * length / count), F.floor((i + 1) * length / count)
+        return F.struct(i.alias("i"), (start + shift).alias("start"), (stop - start).alias("size"))
+
+    places = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), one)
+    inside = F.filter(places, lambda p: (p["start"] >= 0) & (p["start"] + p["size"] <= F.length(text)))
+    return F.transform(inside, lambda p: F.concat(
+        p["i"].cast("string"), F.lit(":"), F.substring(text, (p["start"] + 1).cast("int"), p["size"].cast("int"))
+    ))
+
+
+def within_edits(names: DataFrame, candidates: DataFrame, edits: int) -> DataFrame:
+    """All pairs at most so many edits apart, swaps of neighbours included: `name`, the candidate's columns, `edits`.
+
+    A candidate is cut into 2 * edits + 1 segments.  An edit spoils one of them, a swap
+    two at most, so one stands in the name as it is, shifted by `edits` at most; pairs
+    meet on the lengths and a segment with its number.
+    """
+    count = 2 * edits + 1
+    left = names.select("name").withColumn("la", F.length("name")).withColumn(
+        "lb", F.explode(F.sequence(F.greatest(F.col("la") - edits, F.lit(0)), F.col("la") + edits))
+    )
+    shifts = [_segments(F.col("name"), F.col("lb"), count, s) for s in range(-edits, edits + 1)]
+    left = left.withColumn("keys", _known(F.array_distinct(F.concat(*shifts)))).withColumn("key", F.explode_outer("keys"))
+    right = candidates.withColumn("lb", F.length("candidate")).withColumn("keys_b", _known(_segments(F.col("candidate"), F.col("lb"), count, 0)))
+    right = right.withColumn("key", F.explode_outer("keys_b"))
+    met = left.join(cut_lineage(right, "segments"), ["lb", "key"]).where(
+        # Count a pair at its first shared segment; a swap is two plain edits at most.
+        (F.element_at(F.array_intersect("keys", "keys_b"), 1) == F.col("key")) & (F.levenshtein("name", "candidate", 2 * edits) >= 0)
+    )
+    return met.drop("la", "lb", "key", "keys", "keys_b").withColumn("edits", D.osa(F.col("name"), F.col("candidate"))).where(F.col("edits") <= edits)
 
 
 def _best(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -187,13 +346,11 @@ def closest(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ord
     """
     names = df.select(F.lower(F.col(name)).alias("name")).filter("name is not null").distinct()
     folded = _folded(candidates, candidate, ordinal)
-    if method == "jw":
-        found = _best(jaro_pairs(names, folded, threshold), ["name"])
-    else:
-        # The nearest by the folded text, given back as it stands in the list.
-        found = nearest(names, "name", folded, "candidate", "ordinal", method).filter(F.col("distance") <= threshold)
-        texts = folded.groupBy("candidate").agg(F.min_by("candidate_text", "ordinal").alias("text"))
-        found = found.join(texts, F.col("match") == F.col("candidate")).select("name", F.col("text").alias("match"), "distance")
+    if method == "jw" and not threshold < _JARO_LIMIT:
+        raise ValueError(f"a Jaro threshold of {threshold} is not below 2/3")
+    # The nearest by the folded text, given back as it stands in the list.
+    found = _nearest_by(names, folded, {method: distance_of(method, 0.0, 0.0, _PLAIN)}, limit=threshold)
+    found = found.where(F.col(f"{method}.distance") <= threshold).select("name", f"{method}.match", f"{method}.distance")
     raw = df.select(F.col(name)).filter(F.col(name).isNotNull()).distinct()
     return raw.join(found, F.lower(raw[name]) == found["name"]).select(raw[name].alias("name"), "match", "distance")
 
@@ -224,10 +381,10 @@ def closest_in_block(df: DataFrame, name: str, block: str, candidates: DataFrame
         F.col(candidate).alias("candidate_text"),
     )
     la, lb = F.length("name"), F.length("candidate")
-    # Blocks are short lists, so lengths alone decide which pairs to measure.
+    # Blocks are short lists, so lengths and masks decide which pairs to measure.
     pairs = (
-        left.join(right, "block")
-        .filter(_overlap_needed(la, lb, threshold) <= F.least(la, lb))
+        _profiled(left.withColumn("_text", F.lower("name")), "_text", "a").join(cut_lineage(_profiled(right, "candidate", "b"), "block_lists"), "block")
+        .filter(_overlap_needed(la, lb, threshold) <= _shared())
         .withColumn("distance", D.jaro(F.lower("name"), F.col("candidate")))
         .filter(F.col("distance") <= threshold)
     )
@@ -306,14 +463,14 @@ def _sharing(names: DataFrame, candidates: DataFrame, keys) -> DataFrame:
     ).drop("key", "keys", "keys_b")
 
 
-def distance_of(method: str, p: float, bt: float, weight: tuple[float, float, float, float]):
-    """The distance of two columns by a method."""
+def distance_of(method: str, p: float, bt: float, weight: tuple[float, float, float, float]) -> _Measure:
+    """A method with its distance of two columns."""
     if method == "jw":
-        return lambda a, b: D.jaro(a, b, p, bt)
+        return method, lambda a, b: D.jaro(a, b, p, bt), p, weight
     if method == "osa":
-        return lambda a, b: D.osa(a, b, *weight)
+        return method, lambda a, b: D.osa(a, b, *weight), 0.0, weight
     if method == "cosine":
-        return D.cosine
+        return method, D.cosine, 0.0, weight
     raise ValueError(f"{method} is none of jw, osa, cosine")
 
 
@@ -325,55 +482,157 @@ def _apart(la: Column, lb: Column, weight: tuple[float, float, float, float]) ->
     return longer + both * min(substitution, deletion + insertion)
 
 
+def _bound(method: str, p: float, weight: tuple[float, float, float, float]) -> Column:
+    """A pair's least possible distance by its lengths, masks and norms."""
+    la, lb, shared = F.col("la"), F.col("lb"), F.col("shared")
+    if method == "jw":
+        # A common prefix shortens a distance to this share of it at least.
+        least = (1.0 - (F.try_divide(shared, la) + F.try_divide(shared, lb) + 1.0) / 3.0) * (1 - 4 * p)
+        least = F.when(shared > 0, least).when(la + lb == 0, 0.0).otherwise(1.0)
+    elif method == "osa":
+        least = _apart(la - shared, lb - shared, weight)
+    else:
+        # Counts that differ by n in all differ by n at least when squared.
+        apart = F.greatest(_missing("ma", "mb") + _missing("mb", "ma"), F.abs(la - lb))
+        likeness = F.try_divide(F.col("qa") + F.col("qb") - apart, 2.0 * F.sqrt(F.col("qa") * F.col("qb")))
+        least = 1.0 - F.coalesce(likeness, F.lit(0.0))
+    return least - _SLACK
+
+
+def _near_pairs(names: DataFrame, options: DataFrame, measure: _Measure) -> tuple[DataFrame, float] | None:
+    """Pairs among which is a name's nearest candidate if that is below the level."""
+    method, distance, p, weight = measure
+    if method == "jw":
+        pairs, level = _keyed_jaro_pairs(names, options, _NEAR), _NEAR * (1 - 4 * p)
+        return (pairs.withColumn("distance", distance(F.col("name"), F.col("candidate"))) if p else pairs), level
+    if method == "cosine":
+        pairs, level = _sharing(names, options, lambda t: _cosine_prefix(t, 1 - _NEAR)), _NEAR
+    elif min(weight) > 0:
+        # All others are this many of the least weight apart.
+        pairs, level = within_edits(names, options, _EDITS), (_EDITS + 1) * min(weight)
+    else:
+        return None
+    return pairs.withColumn("distance", distance(F.col("name"), F.col("candidate"))), level
+
+
+def _spread(names: DataFrame, pairs: int) -> DataFrame:
+    """Names in as many parts as their pairs are worth."""
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    if not pairs:  # not counted
+        return names.repartition(max(cores, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "name")
+    return names.repartition(max(1, min(cores, pairs // _LEAST_PAIRS), min(_TASKS, pairs // _TASK_PAIRS)), "name")
+
+
+def _search(names: DataFrame, count: int, options: _Options, measures: list[_Measure], limit: float | None) -> DataFrame:
+    """`name` and, per method, its best candidate: best first, over written and profiled names."""
+    name, candidate = F.col("name"), F.col("candidate")
+    spread = _spread(names, count * options.count)
+    jaro = next((m for m in measures if m[0] == "jw"), None)
+
+    def met(reached: dict[str, Column], names: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """Pairs that may be within what was reached, and which of them each method asks for."""
+        facts, lengths, wanted = {}, [], {}
+        if jaro:
+            facts["need"] = _overlap_needed(F.col("la"), F.col("lb"), reached["jw"] / (1 - 4 * jaro[2]))
+        for m in measures:
+            if m[0] == "jw":
+                lengths.append((F.col("need") <= F.least("la", "lb")) | (reached["jw"] >= 1.0 - _SLACK))
+                wanted["jw"] = (F.col("shared") >= F.col("need")) | (F.col("is_first") & (_bound(m[0], m[2], m[3]) <= reached["jw"]))
+                continue
+            if m[0] == "osa":
+                both = F.least("la", "lb")
+                lengths.append(_apart(F.col("la") - both, F.col("lb") - both, m[3]) - _SLACK <= reached["osa"])
+            else:
+                lengths.append(F.lit(True))
+            wanted[m[0]] = ((F.col("shared") > 0) | F.col("is_first")) & (_bound(m[0], m[2], m[3]) <= reached[m[0]])
+        return options.met_by(names, facts, reduce(or_, lengths)).where(reduce(or_, wanted.values())), wanted
+
+    reached = {m[0]: F.lit(float("inf") if limit is None else limit) for m in measures}
+    if count * options.count > _FEW:
+        # Of each group of candidates, the one with the least bound.
+        group = F.pmod(F.hash("candidate"), F.lit(_GUESSES))
+        guesses = met(reached, spread)[0].groupBy("name", group.alias("group")).agg(
+            *[F.min_by("candidate", F.struct(_bound(m[0], m[2], m[3]), "ordinal")).alias(m[0]) for m in measures]
+        )
+        guesses = guesses.select("name", *[F.coalesce(m[1](name, F.col(m[0])), F.lit(1.0)).alias(m[0]) for m in measures])
+        best = cut_lineage(guesses.groupBy("name").agg(*[F.min(m[0]).alias(f"reach_{m[0]}") for m in measures]), "guesses")
+        # A name without a guess has no candidate within the limit.
+        spread = spread.join(best, "name")
+        reached = {m: F.least(reached[m], F.col(f"reach_{m}")) for m in reached}
+    pairs, wanted = met(reached, spread)
+    pairs = pairs.select("name", "candidate", "candidate_text", "ordinal", "qa", "qb", *[w.alias(f"wanted_{m}") for m, w in wanted.items()])
+    for m in measures:
+        asked = F.col(f"wanted_{m[0]}")
+        # What is not asked for is null, which the measures leave out.
+        squares = (F.col("qa"), F.col("qb")) if m[0] == "cosine" else ()
+        pairs = pairs.withColumn(m[0], F.when(asked, F.coalesce(m[1](F.when(asked, name), F.when(asked, candidate), *squares), F.lit(1.0))))
+    return pairs.groupBy("name").agg(*[
+        F.struct(
+            F.min_by("candidate_text", F.when(F.col(m[0]).isNotNull(), F.struct(F.col(m[0]), "ordinal"))).alias("match"),
+            F.min(m[0]).alias("distance"),
+        ).alias(m[0]) for m in measures
+    ])
+
+
+def _nearest_by(names: DataFrame, options: DataFrame, measures: dict[str, _Measure], limit: float | None = None) -> DataFrame:
+    """`name` and, per method, a struct of its nearest candidate and the distance.
+
+    A name without a candidate (within the limit, if there is one) may be left out, or its
+    struct's fields null.
+    """
+    names, known = _profiled(names.select("name"), "name", "a"), _Options(options)
+    nothing = names.select("name", *[F.lit(None).cast("struct<match:string,distance:double>").alias(m) for m in measures])
+    if known.count <= _SHORT:
+        # So few that each name meets them all at once, and names need not be counted.
+        return _search(names, 0, known, list(measures.values()), limit) if known.count else nothing
+    names = cut_lineage(names, "names")
+    count = names.count()
+    if not count:
+        return nothing
+    if len(measures) > 1 and count * known.count <= _MANY:
+        return _search(names, count, known, list(measures.values()), limit)
+    found = None
+    for method, measure in measures.items():
+        left, settled = names, []
+        if method == "jw" or (method == "osa" and min(measure[3]) > 0):
+            # Nothing but an equal text is at distance zero.
+            equal = left.join(known.table.drop("la"), F.col("name") == F.col("candidate")).groupBy("name").agg(F.min_by("candidate_text", "ordinal").alias("match"))
+            settled.append(cut_lineage(equal.withColumn("distance", F.lit(0.0)), "equal"))
+            left = cut_lineage(left.join(settled[-1], "name", "left_anti"), "left_open")
+            count = left.count()
+        near = _near_pairs(left, known.table.select("candidate", "candidate_text", "ordinal"), measure) if count * known.count > _MANY else None
+        if near is not None:
+            settled.append(cut_lineage(_best(near[0], ["name"]).where(F.col("distance") < near[1]), "near"))
+            left = cut_lineage(left.join(settled[-1], "name", "left_anti"), "left_open")
+            count = left.count()
+        if count:
+            settled.append(_search(left, count, known, [measure], limit).select("name", f"{method}.match", f"{method}.distance"))
+        one = reduce(DataFrame.unionByName, [x.select("name", "match", "distance") for x in settled]) if settled else None
+        one = one.select("name", F.struct("match", "distance").alias(method))
+        found = one if found is None else found.join(one, "name", "full")
+    return found
+
+
 def nearest(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ordinal: str,
             method: str = "jw", p: float = 0.0, bt: float = 0.0,
-            weight: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
+            weight: tuple[float, float, float, float] = _PLAIN) -> DataFrame:
     """Nearest candidate without a threshold and without case folding.
 
     `method` is `jw` (with the prefix weight `p` above `bt`), `osa` (with the weights of
-    deletion, insertion, substitution and swap) or `cosine`.  A first pass looks close
-    by; only names it leaves open meet every candidate with a character in common.
-    Candidates without one are all at the distance one, or for `osa` at one that their
-    length tells, so the first of the list, or of each length, stands for them.
-    Returns (name, match, distance) per distinct name.
+    deletion, insertion, substitution and swap) or `cosine`.  Returns (name, match,
+    distance) per distinct name; the first candidate of the list wins a tie.
     """
-    measure = distance_of(method, p, bt, weight)
+    found = nearest_by(df, name, candidates, candidate, ordinal, (method,), p, bt, weight)
+    return found.select("name", f"{method}.match", f"{method}.distance")
+
+
+def nearest_by(df: DataFrame, name: str, candidates: DataFrame, candidate: str, ordinal: str, methods: tuple[str, ...],
+               p: float = 0.0, bt: float = 0.0, weight: tuple[float, float, float, float] = _PLAIN) -> DataFrame:
+    """As `nearest` by several methods at once: per distinct name, a struct (match, distance) for each."""
+    measures = {m: distance_of(m, p, bt, weight) for m in methods}
     names = df.select(F.col(name).alias("name")).filter("name is not null").distinct()
-    options = _folded(candidates, candidate, ordinal, fold=False)
-    near, level = None, _NEAR
-    if method == "jw":
-        # A common prefix shortens a distance to this share of it at least.
-        near, level = measured_pairs(names, options, _NEAR), _NEAR * (1 - 4 * p)
-        near = near.withColumn("distance", measure(F.col("name"), F.col("candidate"))) if p else near
-    elif method == "cosine":
-        near = _sharing(names, options, lambda t: _cosine_prefix(t, 1 - _NEAR)).withColumn(
-            "distance", measure(F.col("name"), F.col("candidate"))
-        )
-    elif min(weight) >= 1.0:
-        # Nothing but equal texts and those one edit away is within the least weight.
-        near = _sharing(names, options, edit_keys).withColumn("distance", measure(F.col("name"), F.col("candidate")))
-        level = min(weight)
-    # The threshold comes after the aggregate, so each distance is computed once.
-    close = _best(near, ["name"]).filter(F.col("distance") <= level) if near is not None else None
-    left_open = names if close is None else names.join(close, "name", "left_anti")
-    rest = _sharing(left_open, options, lambda t: F.array_sort(F.array_distinct(D.characters(t)))).withColumn(
-        "distance", measure(F.col("name"), F.col("candidate"))
-    ).select("name", "candidate_text", "ordinal", "distance")
-    if method == "osa":
-        by_length = options.groupBy(F.length("candidate").alias("lb")).agg(
-            F.min_by("candidate_text", "ordinal").alias("candidate_text"), F.min("ordinal").alias("ordinal")
-        )
-        lengths = by_length.agg(F.collect_list(F.struct("lb", "candidate_text", "ordinal"))).scalar()
-        bounds = left_open.withColumn("o", F.explode(lengths)).select(
-            "name", "o.candidate_text", "o.ordinal", _apart(F.length("name"), F.col("o.lb"), weight).alias("distance")
-        )
-        far = _best(rest.unionByName(bounds), ["name"])
-    else:
-        far = _best(rest, ["name"]).filter("distance < 1")
-    first = options.agg(F.min_by("candidate_text", "ordinal")).scalar()
-    found = far if close is None else close.unionByName(far)
-    return names.join(found, "name", "left").select(
-        "name",
-        F.coalesce("match", first).alias("match"),
-        F.coalesce("distance", F.lit(1.0)).alias("distance"),
-    )
+    found = _nearest_by(names, _folded(candidates, candidate, ordinal, fold=False), measures)
+    # Candidates without a common character are at the distance one: the first stands for them.
+    return found.select("name", *[
+        F.struct(F.col(f"{m}.match").alias("match"), F.coalesce(f"{m}.distance", F.lit(1.0)).alias("distance")).alias(m) for m in methods
+    ])

@@ -147,52 +147,59 @@ def match_towns(df: DataFrame, town: str, zip_code: str | None, gaz: Gazetteer,
     return null_safe_join(keyed, found, ["__town", "__zip"]).drop("__town", "__zip")
 
 
-def compare_methods(df: DataFrame, town: str, zip_code: str | None, gaz: Gazetteer, method: str = "jw",
-                    anchor: str = V.ANCHOR_TOWN, p: float = 0.0, bt: float = 0.0,
-                    weight: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
-    """(town, zip, match): nearest candidate without threshold or case folding.
-
-    `method`, `p`, `bt` and `weight` are those of `matching.nearest`.
+def _method_answers(keys: DataFrame, gaz: Gazetteer, methods: tuple[str, ...], anchor: str, p: float, bt: float,
+                    weight: tuple[float, float, float, float], table: bool) -> DataFrame:
+    """`keys` (town, zip, name) with each method's answer, and with `table` its answer without zip (`_all`) too.
 
-    Candidates are the zip's cities if the zip is listed, else all cities; an
-    exact area name means the anchor town when that is among the candidates.
+    Names are scored once against all cities, by all methods; (name, zip) pairs against
+    the cities of their zip.
     """
-    zips = F.col(zip_code).cast("string") if zip_code else F.lit(None).cast("string")
-    keys = cut_lineage(
-        df.select(F.col(town).alias("town"), zips.alias("zip")).distinct()
-        .withColumn("name", title_case(F.col("town"))),
-        "method_keys",
-    )
-    listed = gaz.city_zips.select(F.col("zip").alias("lz")).distinct()
-    in_list = keys.join(listed, F.col("zip") == F.col("lz"), "left_semi").filter("name is not null")
-    free = keys.join(listed, F.col("zip") == F.col("lz"), "left_anti")
-    measure = M.distance_of(method, p, bt, weight)
+    listed = gaz.city_zips.groupBy(F.col("zip").alias("lz")).agg(F.bool_or(F.col("city") == anchor).alias("has_anchor"))
+    keys = cut_lineage(keys.join(listed, F.col("zip") == F.col("lz"), "left"), "method_keys")
+    measures = {m: M.distance_of(m, p, bt, weight) for m in methods}
+    squares = {m: (F.col("qa"), F.col("qb")) if m == "cosine" else () for m in methods}
+    best = {m: F.min_by("city", F.struct(f"d_{m}", "ordinal")).alias(f"zip_{m}") for m in methods}
     blocked = (
-        in_list.select("name", "zip").distinct()
-        .join(gaz.city_zips.select("zip", "ordinal", "city"), "zip")
-        .withColumn("distance", measure(F.col("name"), F.col("city")))
-        .groupBy("name", "zip")
-        .agg(F.min_by("city", F.struct("distance", "ordinal")).alias("zip_match"))
+        keys.filter("lz is not null and name is not null").select("name", "zip").distinct()
+        .withColumn("qa", D.dot(F.col("name"), F.col("name")))
+        .join(gaz.city_zips.select("zip", "ordinal", "city", D.dot(F.col("city"), F.col("city")).alias("qb")), "zip")
+        .withColumns({f"d_{m}": measure[1](F.col("name"), F.col("city"), *squares[m]) for m, measure in measures.items()})
+        .groupBy(F.col("name").alias("bn"), F.col("zip").alias("bz")).agg(*best.values())
     )
-    anywhere = M.nearest(free, "name", gaz.cities, "city", "ordinal", method, p, bt, weight).select(
-        F.col("name").alias("fn"), F.col("match").alias("free_match")
+    free = keys if table else keys.filter("lz is null")
+    anywhere = M.nearest_by(free, "name", gaz.cities, "city", "ordinal", methods, p, bt, weight).select(
+        F.col("name").alias("fn"), *[F.col(f"{m}.match").alias(f"free_{m}") for m in methods]
     )
     areas = gaz.areas.select(F.col("area").alias("ar")).distinct()
-    anchors = gaz.city_zips.filter(F.col("city") == anchor).select(F.col("zip").alias("az")).distinct()
     has_anchor = gaz.cities.agg(F.coalesce(F.bool_or(F.col("city") == anchor), F.lit(False))).scalar()
     rows = (
-        keys.join(listed, F.col("zip") == F.col("lz"), "left")
-        .join(blocked.withColumnsRenamed({"name": "bn", "zip": "bz"}),
-              (F.col("name") == F.col("bn")) & (F.col("zip") == F.col("bz")), "left")
+        keys.join(blocked, (F.col("name") == F.col("bn")) & (F.col("zip") == F.col("bz")), "left")
         .join(anywhere, F.col("name") == F.col("fn"), "left")
         .join(areas, F.col("name") == F.col("ar"), "left")
-        .join(anchors, F.col("zip") == F.col("az"), "left")
-    )
-    anchored = F.col("ar").isNotNull() & F.when(F.col("lz").isNotNull(), F.col("az").isNotNull()).otherwise(has_anchor)
-    match = F.when(anchored, F.lit(anchor)).otherwise(
-        F.when(F.col("lz").isNotNull(), F.col("zip_match")).otherwise(F.col("free_match"))
     )
-    return rows.select("town", "zip", match.alias("match"))
+    known, area = F.col("lz").isNotNull(), F.col("ar").isNotNull()
+    out = {}
+    for m in methods:
+        near = F.when(known, F.col(f"zip_{m}")).otherwise(F.col(f"free_{m}"))
+        out[m] = F.when(area & F.when(known, F.col("has_anchor")).otherwise(has_anchor), F.lit(anchor)).otherwise(near)
+        if table:
+            out[f"{m}_all"] = F.when(area & has_anchor, F.lit(anchor)).otherwise(F.col(f"free_{m}"))
+    return rows.select("town", "zip", "name", *[c.alias(n) for n, c in out.items()])
+
+
+def compare_methods(df: DataFrame, town: str, zip_code: str | None, gaz: Gazetteer, method: str = "jw",
+                    anchor: str = V.ANCHOR_TOWN, p: float = 0.0, bt: float = 0.0,
+                    weight: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 1.0)) -> DataFrame:
+    """(town, zip, match): nearest candidate without threshold or case folding.
+
+    `method`, `p`, `bt` and `weight` are those of `matching.nearest`.
+
+    Candidates are the zip's cities if the zip is listed, else all cities; an
+    exact area name means the anchor town when that is among the candidates.
+    """
+    zips = F.col(zip_code).cast("string") if zip_code else F.lit(None).cast("string")
+    keys = df.select(F.col(town).alias("town"), zips.alias("zip")).distinct().withColumn("name", title_case(F.col("town")))
+    return _method_answers(keys, gaz, (method,), anchor, p, bt, weight, False).select("town", "zip", F.col(method).alias("match"))
 
 
 def method_table(df: DataFrame, town: str, zip_code: str, gaz: Gazetteer, anchor: str = V.ANCHOR_TOWN,
@@ -203,14 +210,9 @@ def method_table(df: DataFrame, town: str, zip_code: str, gaz: Gazetteer, anchor
 
     `jw_dist` and `cos_dist` are the town's Jaro and cosine distance from `jw_all`.
     """
-    keys = cut_lineage(df.select(F.col(town).alias("town"), F.col(zip_code).cast("string").alias("zip")).distinct(), "table_keys")
-    out = keys
-    for method in ("jw", "cosine", "osa"):
-        with_zip = compare_methods(keys, "town", "zip", gaz, method, anchor, weight=weight).withColumnRenamed("match", method)
-        without = compare_methods(keys, "town", None, gaz, method, anchor, weight=weight).select("town", F.col("match").alias(f"{method}_all"))
-        out = null_safe_join(null_safe_join(out, with_zip, ["town", "zip"]), without, ["town"])
-    name = title_case(F.col("town"))
-    return out.withColumns({"jw_dist": D.jaro(name, F.col("jw_all")), "cos_dist": D.cosine(name, F.col("jw_all"))})
+    keys = df.select(F.col(town).alias("town"), F.col(zip_code).cast("string").alias("zip")).distinct()
+    out = _method_answers(keys.withColumn("name", title_case(F.col("town"))), gaz, ("jw", "cosine", "osa"), anchor, 0.0, 0.0, weight, True)
+    return out.withColumns({"jw_dist": D.jaro(F.col("name"), F.col("jw_all")), "cos_dist": D.cosine(F.col("name"), F.col("jw_all"))}).drop("name")
 
 
 def match_report(df: DataFrame, town: str, zip_code: str, with_zip: str, without_zip: str,

@@ -177,8 +177,18 @@ def cosine(a, b):
     return round(1 - dot / (sum(a.count(c) ** 2 for c in chars) * sum(b.count(c) ** 2 for c in chars)) ** 0.5, 12)
 
 
+#: The ways a search goes by the number of pairs: all at once, after guesses, after near keys, over parts of a list.
+WAYS = [{}, {"_SHORT": 0}, {"_SHORT": 0, "_FEW": 0}, {"_SHORT": 0, "_FEW": 0, "_MANY": 0}, {"_SHORT": 0, "_FEW": 0, "_PART_ROWS": 7}]
+
+
+@pytest.fixture(params=WAYS, ids=["short", "counted", "guessed", "keyed", "parts"])
+def way(request, monkeypatch):
+    for name, value in request.param.items():
+        monkeypatch.setattr(M, name, value)
+
+
 @pytest.mark.parametrize("method", ["jw", "cosine"])
-def test_nearest_without_threshold(spark, method):
+def test_nearest_without_threshold(spark, method, way):
     rng = random.Random(4)
     words = sorted({"".join(rng.choices("abcdexyz", k=rng.randint(1, 8))) for _ in range(120)} | {"QQ"})
     others = list(dict.fromkeys("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(20)))
@@ -254,7 +264,7 @@ def _osa(a, b, d=1.0, i=1.0, s=1.0, t=1.0):
 
 
 @pytest.mark.parametrize("weight", [(1.0, 1.0, 1.0, 1.0), (1.0, 2.0, 3.0, 1.5), (0.3, 0.5, 1.0, 0.2)])
-def test_nearest_by_edits_equals_brute_force(spark, weight):
+def test_nearest_by_edits_equals_brute_force(spark, weight, way):
     rng = random.Random(7)
     names = {"".join(rng.choice("abcdxyz") for _ in range(rng.randrange(0, 7))) for _ in range(60)} | {"qqqq", ""}
     options = sorted({"".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 7))) for _ in range(40)})
@@ -316,3 +326,39 @@ def test_all_words_equal_brute_force(spark, tmp_path):
             want[a] = (w, round(d, 9))
     assert got == want
     assert any(d > 0.1 for _, d in got.values()) and any(len(a) <= 3 for a in got) and any("é" in a for a in got)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_all_pairs_within_some_edits(spark, edits):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choices("abcd", k=rng.randint(0, 12))) for _ in range(90)} | {""})
+    options = sorted({damage(rng, rng.choice(names) or "a").lower() for _ in range(90)} | {"", "dcba"})
+    got = sorted((r["name"], r["candidate"], r["edits"]) for r in M.within_edits(
+        spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(o,) for o in options], "candidate string"), edits
+    ).collect())
+    distances = ((n, o, _osa(n, o)) for n in names for o in options)
+    assert got == sorted(x for x in distances if x[2] <= edits)
+
+
+def test_closest_goes_every_way(spark, way):
+    rng = random.Random(31)
+    known = sorted({"".join(rng.choice("aeioulnstr") for _ in range(rng.randint(1, 9))) for _ in range(150)})
+    asked = sorted({damage(rng, rng.choice(known)).lower().replace(" ", "") or "a" for _ in range(60)} | {"zzqq"})
+    frame = spark.createDataFrame
+    found = M.closest(frame([(w,) for w in asked], "w string"), "w", frame(list(enumerate(known)), "o int, c string"), "c", "o").collect()
+    dist = all_distances(asked, known)
+    want = {a: min((dist[a, k], n) for n, k in enumerate(known)) for a in asked}
+    assert {r["name"]: r["match"] for r in found} == {a: known[n] for a, (d, n) in want.items() if d <= 0.25}
+
+
+@pytest.mark.parametrize("way", [WAYS[0], WAYS[2]], indirect=True, ids=["short", "guessed"])
+def test_methods_are_scored_together(spark, way):
+    rng = random.Random(17)
+    known = sorted({"".join(rng.choices("abcdefgh", k=rng.randint(1, 8))) for _ in range(60)})
+    asked = [(damage(rng, rng.choice(known)) or "a",) for _ in range(40)] + [("",), (None,)]
+    args = (spark.createDataFrame(asked, "w string"), "w", spark.createDataFrame(list(enumerate(known)), "o int, c string"), "c", "o")
+    together = {r["name"]: r for r in M.nearest_by(*args, ("jw", "cosine", "osa")).collect()}
+    assert set(together) == {a for a, in asked if a is not None}
+    for method in ("jw", "cosine", "osa"):
+        alone = {r["name"]: (r["match"], r["distance"]) for r in M.nearest(*args, method).collect()}
+        assert {n: tuple(r[method]) for n, r in together.items()} == alone

@@ -56,7 +56,7 @@ def plans_of(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("name", [
-    "match_town", "match_closest", "match_closest_words", "match_unique_edit1", "match_method_compare", "weekly_report", "win_share",
+    "match_town", "match_closest", "match_closest_words", "match_closest_all_words", "match_unique_edit1", "match_method_compare", "weekly_report", "win_share",
     "win_batch_id", "join_spatial_intersects", "sp_clip", "sp_dissolve", "trend_interval", "ww_prepare",
 ])
 def test_plans_have_no_cross_join(plans_of, name):
