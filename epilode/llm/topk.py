@@ -6,10 +6,11 @@ the least contribution that the dimension has in the shard, and quantised to `LE
 steps of the largest.  Postings are processed score at a time: all segments of the
 higher levels, over all dimensions, before any of the lower ones.
 
-After some levels, a vector's score lies between what it has gathered and that plus one
-level's impact for each dimension not yet met.  The search stops where it is proved that
-few vectors can still reach the k-th best exact score found so far; those are scored
-exactly.  Without such a proof it goes on to the last level.
+After the segments of some levels, a vector's score is at most what it has gathered and
+one level's impact for each dimension not yet met.  The search stops where it is proved
+that few vectors can still reach the k-th best exact score found so far; those are scored
+exactly.  Without such a proof it goes on to the last level.  A query first seeks a proof
+after as many levels as the one before it in the block needed.
 """
 
 from __future__ import annotations
@@ -23,23 +24,29 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from epilode.session import cut_lineage
 
 #: Vectors of a shard and queries of a block.
-SHARD = 8192
+SHARD = 4096
 BLOCK = 8192
 LEVELS = 256
 _STOPS = (160, 112, 80, 60, 46, 36, 28, 22, 17, 13, 9, 6, 3, 0)  # levels after which proof is sought
 _LONG = (1 << 63) - 1
 
-HITS = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+HITS = pa.schema([
+    ("query_row", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()),
+])
 
 
 class ImpactIndex:
     """The posting lists of a shard of integer vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]  # ties fall to the smaller id
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, numbers: np.ndarray | None = None):
+        numbers = np.arange(len(ids)) if numbers is None else numbers
+        order = np.lexsort((numbers, ids))
+        # Ties fall to the smaller id; rows are told apart by their numbers.
+        self.ids, self.numbers, self.vectors = ids[order], numbers[order], vectors[order]
         self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(self.vectors.T, self.rows, axis=1)
+        self.first = 0  # place in `_STOPS` at which the last proof was found
+        self.met, self.impacts = np.empty(self.rows.size, np.int64), np.empty(self.rows.size)
 
     def exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Integer scores of some rows."""
@@ -51,16 +58,33 @@ class ImpactIndex:
         scores = [sum(int(a) * b for a, b in zip(row, whole)) for row in part.tolist()]
         return np.array([max(-_LONG, min(_LONG, s)) for s in scores], np.int64)
 
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k highest scores, ties to smaller ids; the query's own id is no candidate."""
+    def best(self, number: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the k highest scores, ties to smaller ids; the row of this number is no candidate."""
         n, dims = self.vectors.shape
-        allowed = self.ids != query_id
+        allowed = self.numbers != number
         rows = np.flatnonzero(allowed)
         if dims and len(rows) > 4 * k:
             rows = self._possible(query, k, allowed)
         scores = self.exact(rows, query)
-        chosen = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][chosen], scores[chosen]
+        chosen = np.lexsort((rows, -scores))[:k]
+        return rows[chosen], scores[chosen]
+
+    def _gathered(self, query: np.ndarray, least: np.ndarray, floor: float) -> np.ndarray:
+        """For each row, how far the impacts of all segments down to `floor` are above it, summed."""
+        n, filled = len(self.ids), 0
+        for d in np.flatnonzero(query).tolist():
+            # Values whose impact is at least the floor are one end of the list.
+            edge = (least[d] + floor) / query[d]
+            if query[d] > 0:
+                part = slice(int(np.searchsorted(self.values[d], edge, "left")), n)
+            else:
+                part = slice(0, int(np.searchsorted(self.values[d], edge, "right")))
+            end = filled + part.stop - part.start
+            self.met[filled:end] = self.rows[d, part]
+            np.multiply(self.values[d, part], query[d], out=self.impacts[filled:end])
+            self.impacts[filled:end] -= least[d] + floor
+            filled = end
+        return np.bincount(self.met[:filled], self.impacts[:filled], n)
 
     def _possible(self, query: np.ndarray, k: int, allowed: np.ndarray) -> np.ndarray:
         """Rows that may be among the k best: a proved superset."""
@@ -70,38 +94,24 @@ class ImpactIndex:
         unit = float((np.maximum(low, high) - least).max()) / LEVELS
         if unit == 0.0:
             return np.flatnonzero(allowed)
-        gathered, met = np.zeros(n), np.zeros(n, np.int64)
-        done = np.zeros(dims, np.int64)
         slack = 1 + 1e-9 * float(np.abs(low).sum() + np.abs(high).sum())  # rounding of very large numbers
-        for stop in _STOPS:
-            rows, impacts = [], []
-            for d in np.flatnonzero(query).tolist():
-                # Values whose impact is at least `stop` levels are one end of the list.
-                edge = (least[d] + stop * unit) / query[d]
-                if query[d] > 0:
-                    new = n - int(np.searchsorted(self.values[d], edge, "left"))
-                    part = slice(n - new, n - int(done[d]))
-                else:
-                    new = int(np.searchsorted(self.values[d], edge, "right"))
-                    part = slice(int(done[d]), new)
-                if new > done[d]:
-                    rows.append(self.rows[d, part])
-                    impacts.append(self.values[d, part] * query[d] - least[d])
-                    done[d] = new
-            if rows:
-                where = np.concatenate(rows)
-                gathered += np.bincount(where, np.concatenate(impacts), n)
-                met += np.bincount(where, minlength=n)
-            most = gathered + (dims - met) * (stop * unit)
+        for place in range(self.first, len(_STOPS)):
+            stop = _STOPS[place]
+            # A dimension that is not met adds the floor at most.
+            above = self._gathered(query, least, stop * unit)
+            most = above + dims * stop * unit
             # The k-th best of some exact scores is reached by all that matter.
-            lead = np.argpartition(np.where(allowed, gathered, -1.0), n - k)[n - k :]
+            lead = np.argpartition(np.where(allowed, above, -1.0), n - k)[n - k :]
             lead = lead[allowed[lead]]
             if len(lead) < k:
                 continue
             reached = float(self.exact(lead, query).min()) - float(least.sum())
             possible = np.flatnonzero(allowed & (most >= reached - slack))
             if len(possible) <= max(8 * k, n // 64) or stop == 0:
+                # The next query begins here, or a step earlier if this proof was easy.
+                self.first = max(0, place - (len(possible) <= max(8 * k, n // 256)))
                 return possible
+        self.first = len(_STOPS) - 1
         return np.flatnonzero(allowed)
 
 
@@ -126,25 +136,23 @@ def top_k(
 
     A component x counts as floor(scale * x).  `is_query` is a condition on the columns of
     `vectors`.  Ties go to the smaller id.  A vector takes no part if it or its id is null
-    or a component is null or not finite.  Rows that repeat id and vector count once; a
-    query id with several vectors is searched for with each, and no row of the query's
-    id is its candidate.  Vectors meet only vectors of their own length.  Scores beyond
-    64 bits are cut off there.  Every query meets every shard: the work grows with the
-    number of queries times that of vectors, in blocks.
+    or a component is null or not finite.  Every other row of any id is a candidate, equal
+    ones too, and each row of a query id is a query of its own.  Vectors meet only vectors
+    of their own length.  Scores beyond 64 bits are cut off there.  An empty table, or one
+    without queries, gives an empty one.  Every query meets every shard: the work grows
+    with the number of queries times that of vectors, in blocks.
     """
     cleaned = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.transform(vector_col, lambda x: x.cast("double")).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"),
     )
-    cleaned = cleaned.withColumn("key", F.xxhash64("vector"))
-    # One row for each (id, vector), a query if any of them is.
-    cleaned = cleaned.groupBy("vec_id", "key", "vector").agg(F.max("is_query").alias("is_query"))
-    cleaned = cut_lineage(cleaned.withColumn("dims", F.size("vector")), "vectors")
+    # Written with a number, which then stays the row's own.
+    cleaned = cut_lineage(cleaned.withColumn("row", F.monotonically_increasing_id()).withColumn("dims", F.size("vector")), "vectors")
     sizes = cleaned.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).first()
     shards, blocks = max(1, -(-sizes.n // shard)), max(1, -(-(sizes.q or 0) // block))
     # Queries meet every shard, vectors every block of queries.
-    mixed = F.xxhash64("vec_id", "key")
+    mixed = F.xxhash64("row")
     rows = cleaned.withColumn("shard", F.pmod(mixed, F.lit(shards)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
@@ -153,21 +161,22 @@ def top_k(
     )
 
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, ...]] = []
         if own.num_rows and asked.num_rows:
-            index = ImpactIndex(own.column("vec_id").to_numpy(), np.floor(scale * _stack(own)))
+            index = ImpactIndex(own.column("vec_id").to_numpy(), np.floor(scale * _stack(own)), own.column("row").to_numpy())
             wanted = np.floor(scale * _stack(asked))
-            for query_id, key, query in zip(asked.column("vec_id").to_pylist(), asked.column("key").to_pylist(), wanted):
-                ids, scores = index.best(query_id, query, k)
-                out += [(query_id, key, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+            for number, query_id, query in zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), wanted):
+                rows, scores = index.best(number, query, k)
+                found = zip(index.numbers[rows].tolist(), index.ids[rows].tolist(), scores.tolist())
+                out += [(number, query_id, *hit) for hit in found]
         columns = list(zip(*out)) if out else [()] * len(HITS)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, HITS)], schema=HITS)
 
     keys = ["dims", "shard", "block"]
-    names = [*keys, "vec_id", "key", "vector"]
+    names = [*keys, "row", "vec_id", "vector"]
     found = rows.select(names).groupBy(*keys).cogroup(queries.select(names).groupBy(*keys)).applyInArrow(
         search, from_arrow_schema(HITS)
     )
-    by = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    by = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

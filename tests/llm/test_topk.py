@@ -12,14 +12,12 @@ from oracle import compare, connect
 
 
 def brute(rows, ask, k=5):
-    known = {}
-    for key, v in rows:
-        if key is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            known[(key, tuple(math.floor(256 * x) for x in v), tuple(v))] = None
+    known = [(key, tuple(math.floor(256 * x) for x in v)) for key, v in rows
+             if key is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, qv, _ in known:
+    for n, (q, qv) in enumerate(known):
         if ask(q):
-            scores = sorted((-sum(a * b for a, b in zip(qv, v)), c) for c, v, _ in known if c != q and len(v) == len(qv))
+            scores = sorted((-sum(a * b for a, b in zip(qv, v)), c) for m, (c, v) in enumerate(known) if m != n and len(v) == len(qv))
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -61,9 +59,10 @@ def test_stopping_loses_nothing(n, dims, seed, spread):
     vectors = rng.integers(-spread, spread + 1, (n, dims)).astype(float)
     query, ids = rng.integers(-spread, spread + 1, dims).astype(float), rng.permutation(n)
     index = topk.ImpactIndex(ids, vectors)
-    got = index.best(int(ids[0]), query, 2)
-    want = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors) if i != ids[0])[:2]
-    assert [(-s, i) for i, s in zip(*(x.tolist() for x in got))] == want
+    for turn in range(3):  # later searches begin where earlier ones ended
+        rows, scores = index.best(0, query * (turn + 1), 2)
+        want = sorted((-(turn + 1) * int(v @ query), int(i)) for n, (i, v) in enumerate(zip(ids, vectors)) if n != 0)[:2]
+        assert [(-s, i) for i, s in zip(index.ids[rows].tolist(), scores.tolist())] == want
 
 
 def test_it_stops_early():
@@ -73,6 +72,7 @@ def test_it_stops_early():
     index = topk.ImpactIndex(np.arange(4000), vectors)
     possible = index._possible(query, 5, np.arange(4000) != 7)
     assert len(possible) <= 4000 // 64
+    assert topk._STOPS[index.first] > 0  # proved before the last level
 
 
 def test_equals_sql(spark):
