@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,8 +37,16 @@ _REMEMBERED = 500_000
 _JOINED = 1000  # new words encoded in one call
 _WORD_END = "</w>"
 _MARKS = r"[!-&(-/:-@\[-`{-~]"  # ASCII without letters, digits and the apostrophe
+
+
+def _unfolded_end() -> str:
+    """Letters whose normalised lower case ends in something else: a combining mark, which joins the marks behind it."""
+    letters = (chr(c) for part in (range(0x80, 0x3000), range(0xF900, 0xFB50)) for c in part if chr(c).isalpha())
+    return "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
+
+
 # Marks between a letter and white space are a token run of their own.
-_AFTER_LETTER = re.compile(rf"{_MARKS}(?<=[^\W\d_].){_MARKS}*(?=[ \n])", re.DOTALL)
+_AFTER_LETTER = re.compile(rf"{_MARKS}(?<=[^\W\d_{_unfolded_end()}].){_MARKS}*(?=[ \n])", re.DOTALL)
 _ONLY_MARKS = re.compile(rf"{_MARKS}+")
 
 
@@ -52,7 +61,7 @@ class _Memory(dict):
 
 
 class WordTokenizer:
-    """Token ids of whole texts, for tokenizers that drop white space before merging.
+    """Token ids of whole texts, for tokenizers that normalise (NFC), lower-case and drop white space before merging.
 
     Such a tokenizer never merges across a blank or line end, so a text's ids are the
     ids of its blank-parted words put together; each word is encoded once per worker.

@@ -1,3 +1,4 @@
+import random
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -34,6 +35,24 @@ def test_words_put_together_are_the_text(text):
     assert np.frombuffer(encoded, "<u4").tolist() == plain_ids(text)[:-1]
 
 
+def test_any_letter_stands_before_marks():
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    texts = [f"a{c}, b {c}.) {c}x! {c}\n" for c in letters]
+    whole = MODEL.encode_batch_fast(texts, add_special_tokens=False)
+    for text, want, got in zip(texts, whole, packing.WordTokenizer.of(PATH).encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
+def test_odd_letters_marks_and_blanks():
+    alphabet = "İIıiabAZéßΣς\u0307\u0301\u0327\u0338\u0958ǅ½²7日🙂 \n\t" + "".join(map(chr, range(33, 127)))
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("İi\u0307 \n" if n % 3 else "İ \n,.-", k=rng.randint(0, 6))) + "".join(rng.choices(alphabet, k=rng.randint(0, 30))) for n in range(30_000)]
+    texts += ["İ. a", "İ- x", "BAKİ-- a", "DİYARBAKIRLİ, a", *(f"İ{chr(m)} a{chr(m)}İ\n{chr(m)}" for m in range(33, 127))]
+    whole = MODEL.encode_batch_fast(texts, add_special_tokens=False)
+    for text, want, got in zip(texts, whole, packing.WordTokenizer.of(PATH).encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
 def test_a_full_memory_is_emptied(monkeypatch):
     monkeypatch.setattr(packing, "_REMEMBERED", 3)
     own = packing.WordTokenizer(Path(PATH).read_text())
