@@ -142,6 +142,29 @@ def _clip(t):
     return S.edge_area(S.clip(base, mask)).select(F.round("area", 4).alias("area"))
 
 
+# A county's cut by a slanted water line: m = height * share, a fixed value that keeps all corners finite decimals.
+_SHARES = (0.5, 0.56)
+
+
+@query(
+    "sp_clip_slanted",
+    """
+    WITH t AS (SELECT p_partkey, 4.0::DOUBLE + p_size % 7 AS h, CASE WHEN p_size % 2 = 0 THEN 0.5::DOUBLE ELSE 0.56::DOUBLE END AS c FROM part)
+    SELECT p_partkey, round(5 * h - 5 * (2 * c * h / (c + 2)) - 0.5 * 0.8 * 0.12 * h, 4) AS area FROM t
+    """,
+)
+def _clip_slanted(t):
+    """A triangle with a triangular hole per part, less the triangle under a slanted line."""
+    key, h = F.col("p_partkey"), F.lit(4.0) + F.col("p_size") % 7
+    x, m = key * 10.0, h * F.when(F.col("p_size") % 2 == 0, _SHARES[0]).otherwise(_SHARES[1])
+    outline = G.ring((x, 0 * h), (x + 10, 0 * h), (x + 5, h))
+    hole = G.ring((x + 4.6, F.round(h * 0.68, 2)), (x + 5.4, F.round(h * 0.68, 2)), (x + 5, F.round(h * 0.8, 2)))
+    layer = t.part.select(F.array(F.array(outline, hole)).alias("geom"))
+    mask = t.part.select(F.array(F.array(G.ring((x, 0 * h), (x + 10, 0 * h), (x + 10, F.round(m, 4))))).alias("geom"))
+    pieces = S.clip(layer, mask).withColumn("p_partkey", F.floor((F.col("x1") + F.col("x2")) / 20).cast("long"))
+    return S.edge_area(pieces, "p_partkey").select("p_partkey", F.round("area", 4).alias("area"))
+
+
 @query(
     "src_layer_read",
     f"WITH {_PARTS_SQL} SELECT p_partkey, 3435 AS srid, x1, y1, x2, y2 FROM p",

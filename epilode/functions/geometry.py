@@ -22,12 +22,15 @@ RING = f"array<{POINT}>"
 GEOM = f"array<array<{RING}>>"
 
 
+def ring(*corners: tuple[Column, Column]) -> Column:
+    """Closed ring through some corners."""
+    points = [F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners]
+    return F.array(*points, points[0])
+
+
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Axis-parallel rectangle, counter-clockwise."""
-    def pt(x: Column, y: Column) -> Column:
-        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-    return F.array(F.array(F.array(pt(x1, y1), pt(x2, y1), pt(x2, y2), pt(x1, y2), pt(x1, y1))))
+    return F.array(F.array(ring((x1, y1), (x2, y1), (x2, y2), (x1, y2))))
 
 
 def ring_area(ring: Column) -> Column:

@@ -163,12 +163,42 @@ def box_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str) ->
     return _meeting(boxes(left, left_id, "l"), boxes(right, right_id, "r"), *sides).select("l", "r")
 
 
-def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
-    """Sign of the turn p -> q -> r."""
-    return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+# Significant digits of the numbers that decide a turn exactly.
+_EXACT = 17
 
 
-def _edges_meet() -> Column:
+def _largest(*edge_tables: DataFrame) -> float:
+    """The largest absolute coordinate of edges."""
+    found = [t.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in t.columns if c in (*EDGE, "u1", "v1", "u2", "v2")])).alias("m")).first()["m"] for t in edge_tables]
+    return max([m for m in found if m], default=1.0)
+
+
+def _decimal(largest: float) -> str:
+    """A type that holds coordinates up to the largest as they are written, and whose products are exact."""
+    whole = max(1, math.floor(math.log10(largest)) + 2)
+    return f"decimal({_EXACT},{max(0, _EXACT - whole)})"
+
+
+def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column, exact: str) -> Column:
+    """Sign of the turn p -> q -> r, as the coordinates are written.
+
+    A turn that floating point may have wrong (by the rounding of the coordinates, their
+    differences and products) is decided by decimals.
+    """
+    ax, ay, bx, by = qx - px, ry - py, qy - py, rx - px
+    turn = ax * ay - bx * by
+    size = (
+        (F.abs(qx) + F.abs(px)) * F.abs(ay) + (F.abs(ry) + F.abs(py)) * F.abs(ax)
+        + (F.abs(qy) + F.abs(py)) * F.abs(by) + (F.abs(rx) + F.abs(px)) * F.abs(bx)
+    )
+    p_x, p_y, q_x, q_y, r_x, r_y = (c.try_cast(exact) for c in (px, py, qx, qy, rx, ry))
+    left, right = (q_x - p_x) * (r_y - p_y), (q_y - p_y) * (r_x - p_x)
+    sure = F.abs(turn) > size * 1e-15
+    # Numbers beyond the type are left to floating point.
+    return F.when(sure, F.signum(turn)).when(left > right, 1.0).when(left < right, -1.0).when(left == right, 0.0).otherwise(F.signum(turn))
+
+
+def _edges_meet(exact: str) -> Column:
     """Edge a (x1..y2) and edge b (u1..v2) share a point."""
     x1, y1, x2, y2, u1, v1, u2, v2 = (F.col(c) for c in (*EDGE, "u1", "v1", "u2", "v2"))
     overlap = (
@@ -177,8 +207,8 @@ def _edges_meet() -> Column:
     )
     return (
         overlap
-        & (_side(x1, y1, x2, y2, u1, v1) * _side(x1, y1, x2, y2, u2, v2) <= 0)
-        & (_side(u1, v1, u2, v2, x1, y1) * _side(u1, v1, u2, v2, x2, y2) <= 0)
+        & (_side(x1, y1, x2, y2, u1, v1, exact) * _side(x1, y1, x2, y2, u2, v2, exact) <= 0)
+        & (_side(u1, v1, u2, v2, x1, y1, exact) * _side(u1, v1, u2, v2, x2, y2, exact) <= 0)
     )
 
 
@@ -226,7 +256,8 @@ def intersects(left: DataFrame, left_id: str, right: DataFrame, right_id: str) -
     le, re = cut_lineage(edges(le, "l"), "left_edges"), _other(cut_lineage(edges(re, "r"), "right_edges"))
     lb, a = _edge_box(le, *EDGE)
     rb, b = _edge_box(re, "u1", "v1", "u2", "v2")
-    crossing = cut_lineage(_meeting(lb, rb, a, b).filter(_edges_meet()).select("l", "r").distinct(), "crossing")
+    exact = _decimal(_largest(le, re))
+    crossing = cut_lineage(_meeting(lb, rb, a, b).filter(_edges_meet(exact)).select("l", "r").distinct(), "crossing")
     open_ = pairs.join(crossing, ["l", "r"], "left_anti")
     lp = left.select(F.col(left_id).alias("l"), F.col("geom")[0][0][0].alias("p"))
     rp = right.select(F.col(right_id).alias("r"), F.col("geom")[0][0][0].alias("p"))
@@ -281,27 +312,29 @@ def _resolution(boundary: DataFrame) -> int:
 
     Relative to the layer, so degrees and feet are treated alike.
     """
-    largest = boundary.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in EDGE])).alias("m")).first()["m"]
-    return 11 - math.ceil(math.log10(largest)) if largest else 11
+    return 11 - math.ceil(math.log10(_largest(boundary)))
 
 
-def _pieces(all_edges: DataFrame, weights: list[str], size: float | None = None) -> DataFrame:
+def _pieces(all_edges: DataFrame, weights: list[str]) -> DataFrame:
     """Undirected pieces of edges that meet others only at their ends.
 
+    Edges meet at the coarser of their levels, so a long one among short ones, or a dense
+    place in a wide layer, takes four cells a level at most.
+
     `weights` are columns of `all_edges`; a piece carries, for each, their sum over the
     edges that run along it forwards, less those that run backwards.
     """
-    digits = _resolution(all_edges)
+    largest = _largest(all_edges)
+    digits, exact = 11 - math.ceil(math.log10(largest)), _decimal(largest)
     kept = [F.col(w) for w in weights]
     rounded = all_edges.select(*[F.round(c, digits).alias(c) for c in EDGE], *kept).filter("x1 != x2 or y1 != y2")
     sums = [F.sum(F.col("d") * F.col(w)).alias(w) for w in weights]
     lines = cut_lineage(_forward(rounded, *kept).groupBy(*EDGE).agg(*sums), "lines")
-    size = size or _edge_size(lines)
-    mine = _edges_by_cell(lines.select(*EDGE), "x1", "y1", "x2", "y2", size)
-    theirs = _edges_by_cell(_other(lines.select(*EDGE)), "u1", "v1", "u2", "v2", size)
+    mine, a = _edge_box(lines.select(*EDGE), *EDGE)
+    theirs, b = _edge_box(_other(lines.select(*EDGE)), "u1", "v1", "u2", "v2")
     c = F.col
     same = (c("x1") == c("u1")) & (c("y1") == c("v1")) & (c("x2") == c("u2")) & (c("y2") == c("v2"))
-    met = mine.join(theirs, ["cx", "cy"]).filter(~same & _edges_meet())
+    met = _meeting(mine, theirs, a, b).filter(~same & _edges_meet(exact))
     dx, dy, ex, ey = c("x2") - c("x1"), c("y2") - c("y1"), c("u2") - c("u1"), c("v2") - c("v1")
     den = dx * ey - dy * ex
     length2 = dx * dx + dy * dy
@@ -442,7 +475,7 @@ def overlay(a: DataFrame, b: DataFrame | None = None, how: str = "union", size:
         rows = part if rows is None else rows.unionByName(part)
     rows = cut_lineage(rows, "edges")
     # Where edges of a layer cancel each other, nothing changes from side to side.
-    pieces = _pieces(rows, weights, size).filter(" or ".join(f"{w} != 0" for w in weights))
+    pieces = _pieces(rows, weights).filter(" or ".join(f"{w} != 0" for w in weights))
     pieces = cut_lineage(pieces, "pieces")
     sides = _sides(pieces, weights, size or _edge_size(pieces))
 
@@ -480,10 +513,10 @@ def clip(layer: DataFrame, mask: DataFrame, noded: bool = False, **options) -> D
     return cancel_shared(edges(layer).select(*EDGE).unionByName(cut))
 
 
-def is_noded(layer: DataFrame, size: float | None = None) -> bool:
+def is_noded(layer: DataFrame) -> bool:
     """No edge of the layer is met by another between its ends."""
     lines = edges(layer).select(*EDGE, F.lit(1).cast("bigint").alias("n"))
-    pieces = _pieces(lines, ["n"], size).select(*EDGE)
+    pieces = _pieces(lines, ["n"]).select(*EDGE)
     digits = _resolution(lines)
     whole = _forward(lines.select(*[F.round(c, digits).alias(c) for c in EDGE])).select(*EDGE).distinct()
     return whole.join(pieces, EDGE, "left_anti").limit(1).count() == 0

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,50 @@ def test_layer_recipes(spark):
     z = shape.withColumns({"zcta": F.lit("60482"), "prmry_c": F.lit("Worth"), "prtl_pp": F.lit(0), "prcnt_d": F.lit(1.0), "notes": F.lit("")})
     us = spark.createDataFrame([("60482", 27878400.0, 0.0)], "GEOID20 string, ALAND20 double, AWATER20 double")
     assert L.zctas(z, us, 3435).first()["area_sqmi"] == 1.0
+
+
+def test_turns_are_decided_as_written(spark):
+    """Points a last digit beside a long line, with coordinates of eleven digits, against rational numbers."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(400):
+        a = [Fraction(rng.randrange(10**10, 10**11), 10**4) for _ in range(2)]
+        step = [Fraction(rng.randrange(-(10**6), 10**6), 10**4) for _ in range(2)]
+        n, m = rng.randrange(2, 999), rng.randrange(1, 2000)
+        b = [p + n * s for p, s in zip(a, step)]
+        c = [p + m * s + Fraction(rng.choice([-1, 0, 0, 1]), 10**4) for p, s in zip(a, step)]
+        rows.append((*a, *b, *c))
+    want = [(q - p) * (w - r) - (s - r) * (v - p) for p, r, q, s, v, w in rows]
+    names = "px double, py double, qx double, qy double, rx double, ry double"
+    df = spark.createDataFrame([tuple(float(x) for x in row) for row in rows], names)
+    exact = S._decimal(10.0**7)
+    got = [r["s"] for r in df.select(S._side(*[F.col(n.split()[0]) for n in names.split(", ")], exact).alias("s")).collect()]
+    assert got == [(w > 0) - (w < 0) for w in want]
+    assert {0.0, 1.0, -1.0} == set(got)
+
+
+def test_turns_of_any_size(spark):
+    row = spark.range(1).select(
+        S._side(*[F.lit(x) for x in (0.0, 0.0, 1e30, 1e30, 1e30, 2e30)], S._decimal(2e30)).alias("huge"),
+        S._side(*[F.lit(x) for x in (0.1, 0.1, 0.3, 0.3, 0.7, 0.7)], S._decimal(0.7)).alias("line"),
+    ).first()
+    assert tuple(row) == (1.0, 0.0)
+
+
+def test_long_edges_make_few_cells(spark):
+    rows = [(0.0, 0.5, 100_000.0, 70_000.5)] + [(float(i), 0.0, i + 1.0, 0.3) for i in range(2000)]
+    lines = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double")
+    mine, box = S._edge_box(lines, *S.EDGE)
+    levels = mine.select("own").distinct().count()
+    cells = S._cells_by_level(mine, S._levels(mine), *box).groupBy(*S.EDGE).count()
+    assert cells.agg(F.max("count")).first()[0] <= 4 * levels
+
+
+def test_long_and_short_edges_dissolve(spark):
+    """A triangle of 100,000 ft whose slanted edge cuts a row of boxes of 1 ft."""
+    wide = spark.createDataFrame([("POLYGON((0 0, 100000 0, 100000 50000, 0 0))",)], "w string").select(G.from_wkt(F.col("w")).alias("geom"))
+    small = spark.range(0, 400, 2).select(G.box(F.col("id") * 1.0, F.lit(-0.5), F.col("id") + 1.0, F.lit(0.5)).alias("geom"))
+    joined = S.dissolve(wide.unionByName(small))
+    area = S.edge_area(joined).first()["area"]
+    # A box adds its lower half; of the first, a quarter stands above the slanted line.
+    assert area == pytest.approx(100_000 * 50_000 / 2 + 200 * 0.5 + 0.25, abs=1e-3)
