@@ -111,6 +111,31 @@ def _details(t):
     return feeds.details_rows(landed, "payload", fields, ["batch"]).drop("batch")
 
 
+@query(
+    "src_undeclared_json",
+    """
+    SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS condition, CASE WHEN value >= 10 THEN value END AS value,
+           CASE WHEN event_id % 3 = 0 THEN user_id END AS user_id FROM events
+    """,
+)
+def _undeclared(t):
+    # Ragged rows in four shapes; neither fields nor shape are told to the reader.
+    rows = t.events.select(
+        F.floor(F.col("event_id") / 250).alias("batch"), "event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("condition"),
+        F.when(F.col("value") >= 10, F.col("value")).alias("value"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("user_id"),
+    )
+    arrays = collect_batches(rows, "batch", "event_id", {c: c for c in ("event_id", "condition", "value", "user_id")}, "r")
+    json, shape = F.to_json("r"), F.col("batch") % 4
+    payload = (
+        F.when(shape == 0, F.to_json(F.struct(F.col("r").alias("dataDetails"))))
+        .when(shape == 1, json)
+        .when(shape == 2, F.concat(F.lit("["), json, F.lit("]")))
+        .otherwise(F.concat(F.lit('["series",'), json, F.lit("]")))
+    )
+    found = feeds.undeclared_rows(arrays.select("batch", payload.alias("payload")), "payload", ["batch"])
+    return found.select("event_id", "condition", F.col("value").cast("double").alias("value"), "user_id")
+
+
 @query(
     "src_matrix_json",
     """

@@ -105,6 +105,9 @@ def number_rows(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
     make ranges of like size.  Rows are counted by key and a hash of the whole row, so
     that the rows of a frequent key fall into several parts.  The counts are summed up
     within a range, and those of the ranges before are added.  Missing keys come first.
+    Rows of a key follow two hashes of all their columns, so a task that runs again, or
+    another number of partitions, gives every row the same number; only equal rows may
+    change places.
     """
     k = F.col(key)
     sample = df.select(k.alias("k")).filter("k IS NOT NULL").orderBy(F.xxhash64("k")).limit(_CUT_SAMPLE).collect()
@@ -124,7 +127,8 @@ def number_rows(df: DataFrame, key: str, out: str = "row_id") -> DataFrame:
     starts = parts.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(offsets, "__range").select(
         key, "__salt", (F.col("__start") + F.col("__before")).alias("__start")
     )
-    within = F.row_number().over(Window.partitionBy(key, "__salt").orderBy(F.lit(1)))
+    whole = [F.xxhash64(*df.columns), F.xxhash64(F.lit(1), *df.columns)]
+    within = F.row_number().over(Window.partitionBy(key, "__salt").orderBy(*whole))
     numbered = null_safe_join(salted.withColumn("__pos", within), starts, [key, "__salt"])
     return numbered.withColumn(out, F.col("__start") + F.col("__pos")).drop("__pos", "__start", "__salt")
 

@@ -170,6 +170,9 @@ def fit_smooth(x: np.ndarray, n: np.ndarray, s: np.ndarray, ss: np.ndarray, sl:
     }
 
 
+# Tasks that share a group's basis sizes.
+_PARTS = 8
+
 _MODEL = (
     "k int, resid_sd double, edf double, scale double, origin double, span double, "
     "knots array<double>, coef array<double>, centring array<double>, covariance array<double>"
@@ -213,7 +216,8 @@ def fit_trends(df: DataFrame, keys: list[str], date: str, value: str) -> DataFra
 
     Every group has a row.  `ok` rows hold a model; `insufficient` groups have too few
     usable samples, and those `without enough days` too few days once outliers are gone.
-    Candidates only return their score; the chosen one is fitted again.
+    Candidates only return their score; the chosen one is fitted again.  A group's sizes
+    are dealt into `_PARTS` parts at most, each of which gets the days once.
     """
     support = cut_lineage(trend_support(df, keys, date, value), "trend_support")
     v = F.col(value).cast("double")
@@ -227,16 +231,19 @@ def fit_trends(df: DataFrame, keys: list[str], date: str, value: str) -> DataFra
         "daily_sums",
     )
     enough = support.filter("status = 'ok'")
-    sizes = enough.select(*keys, F.explode(F.sequence(F.lit(K_MIN), "k_max")).alias("k"))
+    last = F.least(F.col("k_max") - K_MIN, F.lit(_PARTS - 1))
+    parts = enough.select(*keys, "k_max", F.explode(F.sequence(F.lit(0), last)).alias("part"))
     cols = _types(df, keys)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, sums = int(pdf["k"].iloc[0]), _sums(pdf)
-        if len(pdf) < k:
-            return pd.DataFrame(columns=[*keys, "k", "resid_sd"])
-        return pdf[keys].head(1).assign(k=k, resid_sd=fit_smooth(*sums, k)["resid_sd"])
-
-    candidates = null_safe_join(daily, sizes, keys, "inner").groupBy(*keys, "k").applyInPandas(
+        sums = _sums(pdf)
+        # Every so many sizes from the part's own on, so that parts are alike.
+        sizes = [k for k in range(K_MIN + int(pdf["part"].iloc[0]), int(pdf["k_max"].iloc[0]) + 1, _PARTS) if k <= len(pdf)]
+        scores = [fit_smooth(*sums, k)["resid_sd"] for k in sizes]
+        heads = pd.concat([pdf[keys].head(1)] * len(sizes), ignore_index=True) if sizes else pdf[keys].head(0)
+        return heads.assign(k=sizes, resid_sd=scores)
+
+    candidates = null_safe_join(daily, parts, keys, "inner").groupBy(*keys, "part").applyInPandas(
         score, f"{cols}, k int, resid_sd double"
     )
     chosen = cut_lineage(choose_model(candidates, keys), "chosen_sizes")

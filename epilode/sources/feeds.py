@@ -9,7 +9,7 @@ form the optimizer tests the array beforehand, which parses every payload twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -125,31 +125,97 @@ def matrix_rows(landed: DataFrame, payload: str, keys: list[str], ids: list[str]
     return rows.filter("c.variable IS NOT NULL").select(*keys, "row_id", *ids, "c.variable", "c.value")
 
 
-def unreadable_payloads(landed: DataFrame, payload: str, keys: list[str], kind: str | None = None) -> DataFrame:
-    """(keys, reason) of the payloads that give no or only some of their rows.
-
-    With `kind`, payloads are those of `details_rows`, else those of `matrix_rows`.
-    """
-    text = F.col(payload)
+def _reason(text: Column, kind: str | None) -> Column:
+    """Why a payload gives no or only some of its rows, NULL if it gives them all."""
     missing = F.when(text.isNull() | (F.btrim(text) == ""), F.lit("empty"))
     json = F.json_array_length(text)
     if kind is None:
         m = F.from_json(text, "array<array<string>>")
         short = F.exists(F.slice(m, F.lit(2), F.greatest(F.size(m), F.lit(1))), lambda r: ~F.size(r).eqNullSafe(F.size(m[0])))
-        reason = (
+        return (
             missing.when(json.isNull() | m.isNull(), F.lit("not an array of rows"))
             .when(F.size(m) == 0, F.lit("no header"))
             .when(F.size(F.array_distinct(m[0])) < F.size(m[0]), F.lit("header names repeat"))
             .when(short, F.lit("rows of another length than the header"))
         )
-    else:
-        what = F.col(kind)
-        reason = (
-            missing.when(~F.coalesce(what.isin("details", "csv", "list"), F.lit(False)), F.lit("unknown kind"))
-            .when((what == "details") & F.get_json_object(text, "$.dataDetails").isNull(), F.lit("no dataDetails array"))
-            .when((what == "list") & json.isNull(), F.lit("not a list"))
-        )
-    return landed.select(*keys, reason.alias("reason")).filter("reason IS NOT NULL")
+    what = F.col(kind)
+    return (
+        missing.when(~F.coalesce(what.isin("details", "csv", "list"), F.lit(False)), F.lit("unknown kind"))
+        .when((what == "details") & F.get_json_object(text, "$.dataDetails").isNull(), F.lit("no dataDetails array"))
+        .when((what == "list") & json.isNull(), F.lit("not a list"))
+    )
+
+
+def unreadable_payloads(landed: DataFrame, payload: str, keys: list[str], kind: str | None = None) -> DataFrame:
+    """(keys, reason) of the payloads that give no or only some of their rows.
+
+    With `kind`, payloads are those of `details_rows`, else those of `matrix_rows`.
+    """
+    return landed.select(*keys, _reason(F.col(payload), kind).alias("reason")).filter("reason IS NOT NULL")
+
+
+def keep_readable(landed: DataFrame, payload: str, kind: str | None = None) -> tuple[DataFrame, Observation]:
+    """The payloads that can be read, and counts taken in the same pass.
+
+    Once the returned rows have been used, `.get` of the observation holds `landed`, `kept`
+    and `failed`.  What counts as failed is what `unreadable_payloads` lists.
+    """
+    counts, why = Observation(), "__why"
+    marked = landed.withColumn(why, _reason(F.col(payload), kind))
+    seen = marked.observe(
+        counts, F.count(F.lit(1)).alias("landed"), F.count_if(F.col(why).isNull()).alias("kept"), F.count(why).alias("failed")
+    )
+    return seen.filter(F.col(why).isNull()).drop(why), counts
+
+
+# ---- payloads whose fields are not declared ------------------------------------
+
+
+def _variant_rows(payload: Column) -> Column:
+    """The rows of a payload as an array of variants, whichever of the known shapes it has; NULL if none."""
+    parsed = F.try_parse_json(payload)
+
+    def rows(path: str) -> Column:
+        return F.try_variant_get(parsed, path, "array<variant>")
+
+    plain, size = rows("$"), F.size(rows("$"))
+    # An object with its rows inside, rows second in a list of two, a list in a list, a list.
+    return (
+        F.when(rows("$.dataDetails").isNotNull(), rows("$.dataDetails"))
+        .when((size == 2) & rows("$[1]").isNotNull(), rows("$[1]"))
+        .when((size == 1) & rows("$[0]").isNotNull(), rows("$[0]"))
+        .otherwise(plain)
+    )
+
+
+def _plain_type(found: str) -> str | None:
+    """The column type for a field of a variant type; None for what has no single plain one."""
+    return None if found.split("<")[0].split("(")[0] in ("VARIANT", "OBJECT", "ARRAY") else "string" if found == "VOID" else found
+
+
+def undeclared_rows(landed: DataFrame, payload: str, keys: list[str]) -> DataFrame:
+    """Rows of landed JSON payloads whose fields nobody declared: the union of all fields, by name.
+
+    A first pass gathers the fields and the type that holds all their values, one row per
+    field name; a second reads them.  A field that a row lacks is NULL.  Numbers of several
+    kinds get the wider type; fields that mix kinds, and nested ones, come as JSON text.
+    Payloads and rows that are no JSON objects give no rows.
+    """
+    found = landed.select(*keys, F.explode_outer(_variant_rows(F.col(payload))).alias("r"))
+    found = found.select(*keys, F.try_variant_get("r", "$", "map<string,variant>").alias("r")).filter("r IS NOT NULL")
+    # One row per field name, however many payloads there are.
+    fields = found.select(F.explode_outer("r").alias("name", "value")).filter("name IS NOT NULL").groupBy("name").agg(
+        F.schema_of_variant_agg("value").alias("type")
+    ).orderBy("name").collect()
+
+    def column(name: str, kind: str) -> Column:
+        value, plain = F.col("r")[F.lit(name)], _plain_type(kind)
+        if plain:
+            return F.try_variant_get(value, "$", plain).alias(name)
+        text = F.schema_of_variant(value) == "STRING"
+        return F.when(text, F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value)).alias(name)
+
+    return found.select(*keys, *[column(f["name"], f["type"]) for f in fields])
 
 
 _BATCH = (

@@ -180,3 +180,14 @@ def test_union_distinct_drops_lists(spark):
     a = spark.createDataFrame([("x",), ("y",)], "a string")
     b = spark.createDataFrame([("y",), ("p, q",)], "b string")
     assert rows(S.union_distinct(a, "a", b, "b"), "area") == [("x",), ("y",)]
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    """Rows of one hot key keep their numbers whatever the partitions; equal rows may change places."""
+    rows = [(None if i % 7 == 0 else i % 5 if i % 3 else 1, f"row {i}", i / 3) for i in range(600)] + [(1, "twice", 0.0)] * 2
+    df = spark.createDataFrame(rows, "k int, t string, v double")
+    first, second = (
+        sorted((r["row_id"], r["k"], r["t"], r["v"]) for r in O.number_rows(some, "k").collect())
+        for some in (df.repartition(3), df.orderBy(F.desc("t")).repartition(11, "t"))
+    )
+    assert first == second and [r[0] for r in first] == list(range(1, 603))

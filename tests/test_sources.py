@@ -133,3 +133,32 @@ def test_layers_of_mixed_systems_are_refused(spark):
     with pytest.raises(ValueError):
         layers.layer_srid(mixed)
     assert layers.layer_srid(mixed.filter("id = 2")) == 4326 and layers.layer_srid(mixed.drop("srid")) == 3435
+
+
+def test_undeclared_fields_are_united(spark):
+    payloads = [
+        '{"dataDetails":[{"a":1,"b":"x"},{"a":2.5,"c":true}]}', '[{"a":3,"it\'s \\"q\\"":"q"}]', '[[{"b":"y","n":{"z":1}}]]',
+        '[{"meta":1},[{"b":7,"d":null}]]', "junk", None, "", "[]", '{"x":1}', "[1,2]", '[{"a":1},{"a":2}]', '[{}]',
+    ]
+    df = spark.createDataFrame(list(enumerate(payloads)), "id int, p string")
+    found = feeds.undeclared_rows(df, "p", ["id"])
+    assert found.columns == ["id", "a", "b", "c", "d", 'it\'s "q"', "n"]
+    rows = sorted(((r[0], *(None if x is None else str(x) for x in r[1:])) for r in found.collect()), key=repr)
+    assert rows == sorted([
+        (0, "1.0", "x", None, None, None, None), (0, "2.5", None, "True", None, None, None), (1, "3.0", None, None, None, "q", None),
+        (2, None, "y", None, None, None, '{"z":1}'), (3, None, "7", None, None, None, None), (10, "1.0", None, None, None, None, None),
+        (10, "2.0", None, None, None, None, None), (11, None, None, None, None, None, None),
+    ], key=repr)
+    assert feeds.undeclared_rows(df.limit(0), "p", ["id"]).collect() == []
+
+
+def test_failed_payloads_are_counted_on_the_way(spark, tmp_path):
+    rows = [(1, '[["a"],["1"]]'), (2, "junk"), (3, None), (4, '[["a","b"],["1"]]'), (5, '[["a","b"],["1","2"]]')]
+    spark.createDataFrame(rows, "id int, p string").write.parquet(f"{tmp_path}/landed")
+    landed = spark.read.parquet(f"{tmp_path}/landed")
+    kept, counts = feeds.keep_readable(landed, "p")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in kept.collect()) == [1, 5] and kept.columns == ["id", "p"]
+    failed = feeds.unreadable_payloads(landed, "p", ["id"]).count()
+    assert counts.get == {"landed": 5, "kept": 2, "failed": failed} and failed == 3
+    assert plan.count("FileScan") == 1

@@ -1,7 +1,9 @@
 import datetime as dt
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,71 @@ def test_targets_side_by_side(spark):
     wide = T.wide_trends(T.trend_curve(df, ["site"], "day", "value"), [], "day", "site", ["inf_a_x", "rsv_x"])
     row = wide.orderBy(F.desc("day")).first()
     assert row["inf_a_fst_deriv"] == pytest.approx(0.01, abs=1e-5) and row["rsv_fst_deriv"] == pytest.approx(0.02, abs=1e-5)
+
+
+def test_days_are_shipped_a_bounded_number_of_times(spark):
+    """Whatever the number of basis sizes, a group's days go to eight tasks at most, and every size is scored."""
+    rng = np.random.default_rng(3)
+    rows = [("s", dt.date(2021, 1, 1) + dt.timedelta(days=2 * i), float(np.exp(3 + np.sin(i / 9) + rng.normal(scale=0.2)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "site string, d date, v double")
+    seen = {}
+    original = T.choose_model
+
+    def spied(candidates, keys):
+        seen["sizes"] = sorted(r["k"] for r in candidates.collect())
+        groups = re.findall(r"FlatMapGroupsInPandas \[([^\]]*)\]", candidates._jdf.queryExecution().optimizedPlan().toString())
+        seen["groups"] = [re.sub(r"#\d+", "", g) for g in groups]
+        return original(candidates, keys)
+
+    T.choose_model = spied
+    try:
+        chosen = T.fit_trends(df, ["site"], "d", "v").first()
+    finally:
+        T.choose_model = original
+    most = T.trend_support(df, ["site"], "d", "v").first()["k_max"]
+    assert seen["sizes"] == list(range(T.K_MIN, most + 1)) and most - T.K_MIN > T._PARTS
+    assert seen["groups"] == ["site, part"] and T._PARTS == 8
+    assert chosen["k"] in seen["sizes"]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_smoothing_is_the_least_of_a_fine_scan(seed):
+    """The search against a scan of the criterion, written anew: penalised least squares on working values, solved to a fixed point."""
+    rng = np.random.default_rng(seed)
+    x = np.arange(0.0, 120.0, 3.0)
+    y = np.exp(2 + np.sin(x / 15) + rng.normal(scale=0.15, size=len(x)))
+    one = np.ones(len(x))
+    k = 9
+    found = T.fit_smooth(x, one, y, y * y, y * np.log(y), k)
+    u = (x - x.min()) / (x.max() - x.min())
+    knots = np.quantile(u, np.linspace(0, 1, k))
+    z = T._centred(knots, u, one)
+    design = T._design(knots, u, z)
+    penalty = np.zeros((k, k))
+    penalty[1:, 1:] = z.T @ T._shrunk(T._curvature(knots)[1], T.SHRINK) @ z
+    penalty *= (design**2).sum() / np.abs(penalty).sum(axis=0).max()
+
+    def criterion(weight):
+        eta = np.log(y + 0.1)
+        for _ in range(500):
+            mu = np.exp(eta)
+            root = np.sqrt(mu)[:, None]
+            # Rows of the penalty's root below the data: one ordinary least squares.
+            values, vectors = np.linalg.eigh(weight * penalty)
+            below = np.sqrt(np.maximum(values, 0))[:, None] * vectors.T
+            beta = np.linalg.lstsq(np.vstack([root * design, below]), np.concatenate([root[:, 0] * (eta + y / mu - 1), np.zeros(k)]), rcond=None)[0]
+            new = design @ beta
+            if np.abs(new - eta).max() < 1e-12:
+                break
+            eta = new
+        mu = np.exp(eta)
+        info = design.T @ (mu[:, None] * design)
+        edf = np.trace(np.linalg.solve(info + weight * penalty, info))
+        deviance = 2 * (y * np.log(y / mu) - y + mu).sum()
+        return len(x) * deviance / (len(x) - edf) ** 2, edf
+
+    scan = [criterion(w) for w in np.exp(np.linspace(-20, 20, 801))]
+    least, edf = min(scan)
+    near = [e for c, e in scan if c <= least * (1 + 1e-6)]
+    assert min(near) - 0.05 <= found["edf"] <= max(near) + 0.05
+    assert found["edf"] == pytest.approx(edf, abs=0.2)
