@@ -248,7 +248,9 @@ def train(
 
     About `sample` documents per language are used, chosen by a hash of the id.  Null
     texts and labels teach nothing; a language whose documents hold no letters is not
-    learned.  The model has a row per piece and a column per language.
+    learned.  A row without an id is in no fold, and teaches nothing either, and so do
+    words of over 32 letters.  An empty table gives a model without languages.  The model has a row per
+    piece and a column per language.
     """
     spark = docs.sparkSession
     labelled = docs.select(

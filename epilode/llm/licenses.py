@@ -236,7 +236,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Fit and calibrate the classifier.
 
     About `sample` documents, chosen by a hash of id and text, give lines of the unknown
-    class; lines that a template confirms are left out.  Null texts teach nothing.
+    class; lines that a template confirms are left out.  Null texts teach nothing, and an
+    empty table gives a classifier of the templates' variations alone.
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
