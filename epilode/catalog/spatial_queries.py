@@ -11,7 +11,7 @@ from epilode.functions import geometry as G
 from epilode.operators import spatial as S
 from epilode.plans import layers as L
 from epilode.session import fresh_path
-from epilode.sources.layers import read_layer_path, write_layer_path
+from epilode.sources.layers import read_layer_path, read_region, write_layer_path, write_layer_regions
 
 _PARTS_SQL = """
     p AS (SELECT p_partkey, p_partkey * 10.0 AS x1, CAST(p_size AS DOUBLE) AS y1,
@@ -176,6 +176,22 @@ def _layer_read(t):
     return rows.select("p_partkey", "srid", G.bounds(F.col("geom")).alias("b")).select("p_partkey", "srid", "b.*")
 
 
+@query(
+    "src_layer_region",
+    f"""
+    WITH {_PARTS_SQL}, m AS (SELECT max(p_partkey) AS k FROM part)
+    SELECT p_partkey, 3435 AS srid, x1, y1, x2, y2 FROM p, m WHERE x2 >= k * 2.5 AND x1 <= k * 5.0 AND y2 >= 20 AND y1 <= 40
+    """,
+)
+def _layer_region(t):
+    """A quarter of the layer's length, read from files that are ordered by place."""
+    path = fresh_path(t.spark, "layer")
+    write_layer_regions(S.set_crs(_parts(t), 3435).drop("p_name"), path)
+    last = t.part.agg(F.max("p_partkey").alias("k")).first()["k"] or 0
+    rows = read_region(t.spark, path, (last * 2.5, 20.0, last * 5.0, 40.0))
+    return rows.select("p_partkey", "srid", G.bounds(F.col("geom")).alias("b")).select("p_partkey", "srid", "b.*")
+
+
 @query(
     "sink_layer_write",
     f"""

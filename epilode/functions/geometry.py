@@ -72,6 +72,28 @@ def bounds(geom: Column) -> Column:
     )
 
 
+def curve_place(x: Column, y: Column, bits: int = 16) -> Column:
+    """Place of a cell (whole numbers below 2^bits) along Hilbert's curve through a square of 2^bits cells a side.
+
+    Cells that are close along the curve are close in the square.
+    """
+    far = F.lit((1 << bits) - 1).cast("bigint")
+    start = F.struct(
+        x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("place")
+    )
+
+    def quarter(at: Column, side: Column) -> Column:
+        right, top = at["x"].bitwiseAND(side) != 0, at["y"].bitwiseAND(side) != 0
+        before = F.when(right & top, 2).when(right, 3).when(top, 1).otherwise(0)
+        # The curve runs transposed in the lower quarters, and backwards in the right one.
+        across = F.when(top, at["x"]).when(right, far - at["y"]).otherwise(at["y"])
+        up = F.when(top, at["y"]).when(right, far - at["x"]).otherwise(at["x"])
+        return F.struct(across.alias("x"), up.alias("y"), (at["place"] + side * side * before).alias("place"))
+
+    sides = F.array(*[F.lit(1 << k).cast("bigint") for k in reversed(range(bits))])
+    return F.aggregate(sides, start, quarter)["place"]
+
+
 def to_wkt(geom: Column) -> Column:
     """MULTIPOLYGON text."""
     def wrap(parts: Column) -> Column:
