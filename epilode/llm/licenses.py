@@ -4,8 +4,9 @@ A paragraph (a line) is counted words, pairs and triples of words.  A multinomia
 logistic regression with an L1 penalty, which leaves most of its weights zero, tells the
 families of `TEMPLATES` and an unknown class apart.  It is trained here: on variations
 of the templates, and, for the unknown class, on lines from a sample of the corpus.  A
-held-out part of both calibrates it: a temperature makes its probabilities fit, and a
-threshold keeps false alarms among unknown lines under `FALSE_ALARMS`.
+held-out part of both calibrates it: a temperature makes its probabilities fit.  The
+threshold comes from the whole corpus: of all its different lines that no template
+confirms, at most a share of `FALSE_ALARMS` reaches it.
 
 A prediction counts only if a template of the family confirms it, by the share of the
 template's word pairs that the paragraph holds (or, for a fragment of a long notice,
@@ -15,12 +16,14 @@ so only the others are put to the classifier.
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
@@ -39,6 +42,8 @@ UNKNOWN = "unknown"
 _OTHER = "#other"
 _MOST_OTHER = 20
 _GROUP = 1 << 21
+# Steps of log odds in which the corpus counts its unconfirmed lines, and the largest odds a double tells from certainty.
+_STEPS, _SURE = 100, 36.0
 
 # Public wordings by which licences are declared, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -211,6 +216,20 @@ class LicenceModel:
         where[where == len(self.codes)] = 0
         return np.unique(np.searchsorted(edges, both[self.codes[where] == code]))
 
+    def alarms(self, texts: list[bytes | None]) -> set[tuple[int, int]]:
+        """(hash, step of the log odds) of lines that some family gets at least half of, but no template confirms."""
+        out = set()
+        lines = list({line for text in texts if text for line in text.split(b"\n")})
+        for at in self.hopeful(lines).tolist() if lines else ():
+            own = words(lines[at])
+            odds = self.probabilities(own)[[f != UNKNOWN for f in self.families]].max()
+            if odds < 0.5:
+                continue
+            pairs = pairs_of(own)
+            if all(similarity(pairs, f) < CONFIRM for f in TEMPLATES):
+                out.add((xxhash.xxh64_intdigest(lines[at]) - (1 << 63), step_of(odds)))
+        return out
+
     def scan(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, str, float, float]]]]:
         """(number of paragraphs, [(paragraph, family, probability, similarity)]) of each text."""
         out, lines, owner, size = [], [], [], 0
@@ -236,8 +255,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Fit and calibrate the classifier.
 
     About `sample` documents, chosen by a hash of id and text, give lines of the unknown
-    class; lines that a template confirms are left out.  Null texts teach nothing, and an
-    empty table gives a classifier of the templates' variations alone.
+    class; lines that a template confirms are left out.  The threshold is set over all
+    documents.  Null texts teach nothing, and an empty table gives a classifier of the
+    templates' variations alone, with a threshold of one half.
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -271,16 +291,53 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     index = F.col("label").cast("int")
     held = model.transform(data.where("part = 0")).select(index.alias("label"), "rawPrediction").collect()
     raw = np.array([r.rawPrediction.toArray() for r in held]) if held else np.zeros((0, len(families)))
-    temperature, threshold = calibrate(raw, np.array([r.label for r in held], np.int64), len(families) - 1)
+    temperature = calibrate(raw, np.array([r.label for r in held], np.int64))
     matrix = model.coefficientMatrix.toArray()
     weights = {g.encode(): matrix[:, n] for n, g in enumerate(vocabulary) if matrix[:, n].any()}
-    return LicenceModel(families, weights, model.interceptVector.toArray(), temperature, threshold)
+    fitted = LicenceModel(families, weights, model.interceptVector.toArray(), temperature, 0.5)
+    fitted.threshold = threshold(texts.select("text"), fitted)
+    return fitted
+
 
+def step_of(probability: float) -> int:
+    """Step of the log odds."""
+    rest = 1.0 - probability
+    return math.floor(_STEPS * (min(_SURE, math.log(probability / rest)) if rest > 0 else _SURE))
 
-def calibrate(raw: np.ndarray, labels: np.ndarray, unknown: int) -> tuple[float, float]:
-    """(temperature of least loss, threshold that few unknown rows reach); at least one half."""
+
+def threshold(texts: DataFrame, model: LicenceModel) -> float:
+    """Least probability, at least one half, that at most `FALSE_ALARMS` of the unconfirmed lines reach.
+
+    `texts` has one column of texts.  Equal lines count once; a line that shares no word
+    pair with a template is never put to the classifier and reaches nothing.  All lines are counted by a
+    sketch (2 % off); those that reach one half are counted exactly, by steps of their log
+    odds, which are the rows that come to the driver: a few thousand at any size.
+    """
+    lines = texts.select(F.explode(F.split(F.col(texts.columns[0]), "\n")).alias("line"))
+    total = lines.agg(F.approx_count_distinct(F.xxhash64("line"), 0.02).alias("n")).first()["n"]
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("line", pa.int64()), ("step", pa.int64())])
+    found = arrow_map(
+        texts.select(F.col(texts.columns[0]).cast("binary")), schema, lambda batch: list(shared.value.alarms(batch.column(0).to_pylist()))
+    )
+    steps = found.groupBy("line").agg(F.max("step").alias("step")).groupBy("step").count().collect()
+    return threshold_of({r["step"]: r["count"] for r in steps}, int(FALSE_ALARMS * total))
+
+
+def threshold_of(counts: dict[int, int], allowed: int) -> float:
+    """Probability at the end of the first step beyond which at most `allowed` lines lie."""
+    above = 0
+    for step in sorted(counts, reverse=True):
+        above += counts[step]
+        if above > allowed:
+            return 1.0 / (1.0 + math.exp(-(step + 1) / _STEPS))
+    return 0.5
+
+
+def calibrate(raw: np.ndarray, labels: np.ndarray) -> float:
+    """Temperature of least loss."""
     if not len(raw):
-        return 1.0, 0.5
+        return 1.0
 
     def soft(t: float) -> np.ndarray:
         exp = np.exp((raw - raw.max(axis=1, keepdims=True)) / t)
@@ -288,10 +345,7 @@ def calibrate(raw: np.ndarray, labels: np.ndarray, unknown: int) -> tuple[float,
 
     steps = np.geomspace(0.25, 8, 41)
     loss = [-np.log(np.maximum(soft(t)[np.arange(len(raw)), labels], 1e-12)).mean() for t in steps]
-    best = float(steps[int(np.argmin(loss))])
-    wrong = np.sort(np.delete(soft(best), unknown, axis=1).max(axis=1)[labels == unknown])[::-1]
-    allowed = int(FALSE_ALARMS * len(wrong))
-    return best, float(max(0.5, np.nextafter(wrong[allowed], 1.0))) if allowed < len(wrong) else 0.5
+    return float(steps[int(np.argmin(loss))])
 
 
 def scan(docs: DataFrame, model: LicenceModel, into: str = "licences", text_col: str = "text") -> DataFrame:

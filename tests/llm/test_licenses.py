@@ -52,9 +52,37 @@ def test_accuracy_on_held_out_variations(model):
 
 def test_calibration():
     raw = np.array([[4.0, 0.0], [3.0, 0.0], [0.0, 4.0], [2.0, 0.0]])
-    temperature, threshold = L.calibrate(raw, np.array([0, 0, 1, 1]), 1)
-    assert temperature > 1 and threshold > 0.5
-    assert L.calibrate(np.zeros((0, 2)), np.zeros(0, int), 1) == (1.0, 0.5)
+    assert L.calibrate(raw, np.array([0, 0, 1, 1])) > 1
+    assert L.calibrate(np.zeros((0, 2)), np.zeros(0, int)) == 1.0
+    assert L.threshold_of({}, 0) == L.threshold_of({50: 3, 10: 2}, 5) == 0.5
+    # One line of odds e^0.5 may reach it, three may not.
+    assert L.threshold_of({90: 1, 50: 3}, 1) == pytest.approx(1 / (1 + np.exp(-0.51)))
+    assert L.step_of(1.0) == 3600 and L.step_of(0.5) == 0
+
+
+def test_threshold_over_the_corpus(spark, model, monkeypatch):
+    # Cut notices: the classifier knows them, no template confirms them; and copies, which count once.
+    cut = [" ".join(w for k, w in enumerate(t.split()) if k % 7 < 4) for _, t in L.variations(40, seed=5)]
+    lines = cut + [f"line {n} of the text" for n in range(600)] + cut[:50] * 4
+    texts = ["\n".join(lines[n::9]) for n in range(9)] + [None, ""]
+    monkeypatch.setattr(L, "FALSE_ALARMS", 0.01)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = L.threshold(docs, model)
+    odds = []
+    for line in {x for t in texts if t is not None for x in t.split("\n")}:
+        own = L.words(line.encode())
+        pairs = L.pairs_of(own)
+        if any(pairs & t for sets in L._PAIRS.values() for t in sets) and all(L.similarity(pairs, f) < L.CONFIRM for f in L.TEMPLATES):
+            odds.append(max(p for f, p in zip(model.families, model.probabilities(own)) if f != L.UNKNOWN))
+    allowed = int(0.01 * len({x for t in texts if t is not None for x in t.split("\n")}))
+    assert sum(p >= 0.5 for p in odds) > allowed and got > 0.5
+    assert sum(p >= got for p in odds) <= allowed < sum(p >= 1 / (1 + np.exp(0.01) * (1 / got - 1)) for p in odds)
+
+
+def test_threshold_does_not_hang_on_the_draw(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = [L.train(docs, sample=n).threshold for n in (100, 300)]
+    assert abs(found[0] - found[1]) <= 0.05
 
 
 def test_query_over_the_table(spark):
