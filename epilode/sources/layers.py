@@ -119,7 +119,7 @@ def write_layer_regions(layer: DataFrame, path: str, srid: int = HOME_SRID, sour
     moved = reproject(layer, layer_srid(layer) if source is None else source, srid)
     box = G.bounds(F.col("geom"))
     boxed = moved.withColumns({b: box[b.removeprefix("box_")] for b in BOX}).withColumn("geom_wkb", G.to_wkb(F.col("geom"))).drop("geom")
-    # Written once: the extent and the bounds of the parts read the boxes alone.
+    # Written once and read three times: boxes alone for the extent, then a sample, then all for the shuffle.
     stored = cut_lineage(boxed, "layer")
     keys = [_along_curve(stored), F.xxhash64("geom_wkb")]
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
