@@ -119,19 +119,33 @@ def _levels(rows: DataFrame) -> Column:
 
 
 def _cells_by_level(rows: DataFrame, others: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> DataFrame:
-    """One row per cell that a box touches, at its `own` level and all coarser ones of the other side.
+    """One row per cell that a box touches, at those of the given levels that are not below its `own`.
 
     A box is no wider than a cell of its own level, so it touches four at most.
     """
-    at = rows.withColumn("others", others).withColumn(
-        "level", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter("others", lambda v: v >= F.col("own")))))
-    ).drop("others")
+    at = rows.withColumn("others", others).withColumn("level", F.explode(F.filter("others", lambda v: v >= F.col("own")))).drop("others")
     size = F.pow(F.lit(2.0), F.col("level"))
     return at.withColumn("cx", F.explode(F.sequence(F.floor(x1 / size), F.floor(x2 / size)))).withColumn(
         "cy", F.explode(F.sequence(F.floor(y1 / size), F.floor(y2 / size)))
     )
 
 
+def _meeting_smaller(left: DataFrame, right: DataFrame, a: list[Column], b: list[Column], equal: bool = True) -> DataFrame:
+    """Rows of both sides whose boxes meet, where the level of the left is the coarser one, or `equal`.
+
+    The left stands in the cells of its own level only, so that the many small boxes in a
+    large cell meet the few large ones there and not each other.
+    """
+    large = _cells_by_level(left, F.array("own"), *a)
+    small = _cells_by_level(right, _levels(left), *b).withColumnRenamed("own", "own_r")
+    size = F.pow(F.lit(2.0), F.col("level"))
+    return large.join(small if equal else small.filter("level > own_r"), ["level", "cx", "cy"]).filter(
+        (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+        & (F.col("cx") == F.floor(F.greatest(a[0], b[0]) / size))
+        & (F.col("cy") == F.floor(F.greatest(a[1], b[1]) / size))
+    )
+
+
 def _meeting(left: DataFrame, right: DataFrame, a: list[Column], b: list[Column]) -> DataFrame:
     """Rows of both sides whose boxes meet (touching counts), each pair once.
 
@@ -139,15 +153,8 @@ def _meeting(left: DataFrame, right: DataFrame, a: list[Column], b: list[Column]
     meet at the coarser of their levels, in the cell that holds the lower left corner of
     their overlap.
     """
-    lc = _cells_by_level(left, _levels(right), *a)
-    rc = _cells_by_level(right, _levels(left), *b).withColumnRenamed("own", "own_r")
-    size = F.pow(F.lit(2.0), F.col("level"))
-    return lc.join(rc, ["level", "cx", "cy"]).filter(
-        (F.col("level") == F.greatest("own", "own_r"))
-        & (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
-        & (F.col("cx") == F.floor(F.greatest(a[0], b[0]) / size))
-        & (F.col("cy") == F.floor(F.greatest(a[1], b[1]) / size))
-    )
+    larger = _meeting_smaller(left, right, a, b).drop("own", "own_r")
+    return larger.unionByName(_meeting_smaller(right, left, b, a, equal=False).drop("own", "own_r"))
 
 
 def box_pairs(left: DataFrame, left_id: str, right: DataFrame, right_id: str) -> DataFrame:
@@ -205,11 +212,13 @@ def _edges_meet(exact: str) -> Column:
         (F.least(x1, x2) <= F.greatest(u1, u2)) & (F.least(u1, u2) <= F.greatest(x1, x2))
         & (F.least(y1, y2) <= F.greatest(v1, v2)) & (F.least(v1, v2) <= F.greatest(y1, y2))
     )
-    return (
-        overlap
-        & (_side(x1, y1, x2, y2, u1, v1, exact) * _side(x1, y1, x2, y2, u2, v2, exact) <= 0)
+    # Edges with an end in common need no turns, which are dear where they are close.
+    shared = ((x1 == u1) & (y1 == v1)) | ((x1 == u2) & (y1 == v2)) | ((x2 == u1) & (y2 == v1)) | ((x2 == u2) & (y2 == v2))
+    crossed = (
+        (_side(x1, y1, x2, y2, u1, v1, exact) * _side(x1, y1, x2, y2, u2, v2, exact) <= 0)
         & (_side(u1, v1, u2, v2, x1, y1, exact) * _side(u1, v1, u2, v2, x2, y2, exact) <= 0)
     )
+    return overlap & (shared | crossed)
 
 
 def _other(edge_rows: DataFrame) -> DataFrame:
@@ -334,7 +343,14 @@ def _pieces(all_edges: DataFrame, weights: list[str]) -> DataFrame:
     theirs, b = _edge_box(_other(lines.select(*EDGE)), "u1", "v1", "u2", "v2")
     c = F.col
     same = (c("x1") == c("u1")) & (c("y1") == c("v1")) & (c("x2") == c("u2")) & (c("y2") == c("v2"))
-    met = _meeting(mine, theirs, a, b).filter(~same & _edges_meet(exact))
+    # Both sides are the same edges: each pair is met from its larger one, and then told to both.
+    half = _meeting_smaller(mine, theirs, a, b).filter(~same & _edges_meet(exact))
+    corners = ["u1", "v1", "u2", "v2"]
+    told = F.array_compact(F.array(
+        F.struct(*EDGE, *corners),
+        F.when(c("own") > c("own_r"), F.struct(*[c(y).alias(x) for x, y in zip(EDGE + corners, corners + EDGE)])),
+    ))
+    met = half.select(F.explode(told).alias("m")).select("m.*")
     dx, dy, ex, ey = c("x2") - c("x1"), c("y2") - c("y1"), c("u2") - c("u1"), c("v2") - c("v1")
     den = dx * ey - dy * ex
     length2 = dx * dx + dy * dy
@@ -437,7 +453,7 @@ def _sides(pieces: DataFrame, weights: list[str], size: float) -> DataFrame:
     """
     c = F.col
     steep = F.abs(c("y2") - c("y1")) > c("x2") - c("x1")
-    numbered = cut_lineage(pieces.withColumns({"id": F.concat_ws(",", *EDGE), "steep": steep}), "pieces")
+    numbered = cut_lineage(pieces.withColumns({"id": F.monotonically_increasing_id(), "steep": steep}), "pieces")
     flat = _below(numbered.withColumn("probed", ~c("steep")).drop("steep"), weights, size)
     # Mirrored at the diagonal; an edge is turned where it runs the other way then.
     turned = c("y1") > c("y2")

@@ -346,3 +346,25 @@ def test_long_and_short_edges_dissolve(spark):
     area = S.edge_area(joined).first()["area"]
     # A box adds its lower half; of the first, a quarter stands above the slanted line.
     assert area == pytest.approx(100_000 * 50_000 / 2 + 200 * 0.5 + 0.25, abs=1e-3)
+
+
+def test_small_boxes_in_a_large_cell_do_not_meet_each_other(spark, monkeypatch):
+    # 500 small boxes and one that holds them: the pairs that share a cell grow with the boxes, not with their square.
+    met = []
+    cells_by_level = S._cells_by_level
+
+    def counted(*args):
+        met.append(cells_by_level(*args))
+        return met[-1]
+
+    monkeypatch.setattr(S, "_cells_by_level", counted)
+    boxes = [(i, 10.0 * i, 0.0, 10.0 * i + 4, 3.0) for i in range(500)] + [(500, -10.0, -10.0, 6000.0, 10.0)]
+    layer = spark.createDataFrame(boxes, "l long, x1 double, y1 double, x2 double, y2 double")
+    near = layer.select("l", G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("geom"))
+    pairs = S.box_pairs(near, "l", near.withColumnRenamed("l", "r"), "r")
+    assert pairs.count() == pairs.distinct().count() == 501 + 2 * 500
+    shared = 0
+    for large, small in zip(met[::2], met[1::2]):
+        on = ["level", "cx", "cy"]
+        shared += large.select(on).join(small.select(on), on).count()
+    assert shared < 10 * len(boxes)
