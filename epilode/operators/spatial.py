@@ -190,7 +190,8 @@ def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column
     """Sign of the turn p -> q -> r, as the coordinates are written.
 
     A turn that floating point may have wrong (by the rounding of the coordinates, their
-    differences and products) is decided by decimals.
+    differences and products) is decided by the signs of the differences, where the two
+    products do not have the same sign, and otherwise by decimals, which take far longer.
     """
     ax, ay, bx, by = qx - px, ry - py, qy - py, rx - px
     turn = ax * ay - bx * by
@@ -198,11 +199,21 @@ def _side(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column
         (F.abs(qx) + F.abs(px)) * F.abs(ay) + (F.abs(ry) + F.abs(py)) * F.abs(ax)
         + (F.abs(qy) + F.abs(py)) * F.abs(by) + (F.abs(rx) + F.abs(px)) * F.abs(bx)
     )
+    # Two numbers that differ by more than the last digit of the type differ as they are written.
+    digit = 10.0 ** -int(exact.rstrip(")").split(",")[1])
+    signs = [F.signum(d) for d in (ax, ay, bx, by)]
+    ahead, behind = signs[0] * signs[1], signs[2] * signs[3]
+    told = (ahead != behind) | (ahead == 0)
+    for d in (ax, ay, bx, by):
+        told = told & ((d == 0) | (F.abs(d) > 2 * digit))
     p_x, p_y, q_x, q_y, r_x, r_y = (c.try_cast(exact) for c in (px, py, qx, qy, rx, ry))
     left, right = (q_x - p_x) * (r_y - p_y), (q_y - p_y) * (r_x - p_x)
     sure = F.abs(turn) > size * 1e-15
     # Numbers beyond the type are left to floating point.
-    return F.when(sure, F.signum(turn)).when(left > right, 1.0).when(left < right, -1.0).when(left == right, 0.0).otherwise(F.signum(turn))
+    return (
+        F.when(sure, F.signum(turn)).when(told, F.signum(ahead - behind))
+        .when(left > right, 1.0).when(left < right, -1.0).when(left == right, 0.0).otherwise(F.signum(turn))
+    )
 
 
 def _edges_meet(exact: str) -> Column:
@@ -214,11 +225,16 @@ def _edges_meet(exact: str) -> Column:
     )
     # Edges with an end in common need no turns, which are dear where they are close.
     shared = ((x1 == u1) & (y1 == v1)) | ((x1 == u2) & (y1 == v2)) | ((x2 == u1) & (y2 == v1)) | ((x2 == u2) & (y2 == v2))
-    crossed = (
-        (_side(x1, y1, x2, y2, u1, v1, exact) * _side(x1, y1, x2, y2, u2, v2, exact) <= 0)
-        & (_side(u1, v1, u2, v2, x1, y1, exact) * _side(u1, v1, u2, v2, x2, y2, exact) <= 0)
-    )
-    return overlap & (shared | crossed)
+
+    def crossed(e: Column) -> Column:
+        x1, y1, x2, y2, u1, v1, u2, v2 = (e[n] for n in (*EDGE, "u1", "v1", "u2", "v2"))
+        return (
+            (_side(x1, y1, x2, y2, u1, v1, exact) * _side(x1, y1, x2, y2, u2, v2, exact) <= 0)
+            & (_side(u1, v1, u2, v2, x1, y1, exact) * _side(u1, v1, u2, v2, x2, y2, exact) <= 0)
+        )
+
+    # A lambda, since the turns make one method out of the join that is too long to be compiled.
+    return overlap & (shared | F.exists(F.array(F.struct(*EDGE, "u1", "v1", "u2", "v2")), crossed))
 
 
 def _other(edge_rows: DataFrame) -> DataFrame:

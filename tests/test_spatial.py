@@ -368,3 +368,19 @@ def test_small_boxes_in_a_large_cell_do_not_meet_each_other(spark, monkeypatch):
         on = ["level", "cx", "cy"]
         shared += large.select(on).join(small.select(on), on).count()
     assert shared < 10 * len(boxes)
+
+
+def test_the_meeting_of_edges_is_compiled(spark):
+    # The virtual machine interprets methods of more than 8,000 bytes, which takes many times as long.
+    lines = spark.createDataFrame([(float(i), 0.5, i + 1.0, i % 3 + 0.7) for i in range(50)], "x1 double, y1 double, x2 double, y2 double")
+    mine, a = S._edge_box(lines, *S.EDGE)
+    theirs, b = S._edge_box(S._other(lines), "u1", "v1", "u2", "v2")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = S._meeting(mine, theirs, a, b).filter(S._edges_meet("decimal(17,13)"))
+        stages = met._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
+    assert met.filter("x1 = u1 and y2 = v2").count() == 50
