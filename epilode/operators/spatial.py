@@ -616,6 +616,7 @@ def assemble_rings(boundary: DataFrame) -> DataFrame:
 
 def rings_to_shape(rings: DataFrame) -> DataFrame:
     """Polygons of the closed rings: (ring_id, geom), holes given to the outline around them."""
+    rings = cut_lineage(rings, "rings")  # read once for each use below
     outer = rings.filter("area > 0").select("ring_id", "area", F.array(F.array("ring")).alias("geom"))
     holes = rings.filter("area < 0").select(F.col("ring_id").alias("hole_id"), F.array(F.array("ring")).alias("geom"))
     pairs = box_pairs(holes, "hole_id", outer, "ring_id")
